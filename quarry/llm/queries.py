@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe_codec, language, packing, quality, sstable, token_counts
+from quarry.llm import bpe_codec, language, licenses, mips, neardup, packing, quality, setjoin, sstable, token_counts
+from quarry.llm.common import importable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,10 +28,26 @@ def op3_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(spark, table(spark, sf_dir, "documents"), vocab="word_bpe_49k.json", end_id=1)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), fold=2, folds=4)
 
 
+def op8_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mips.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
 
@@ -40,7 +58,7 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_quality_classifier, op3_token_id_shards, op7_language_id, op9_token_counts, op10_lexical_packing)
+    for f in (op1_bpe_round_trip, op2_quality_classifier, op3_token_id_shards, op4_license_scan, op5_embedding_near_duplicates, op6_ngram_jaccard_join, op7_language_id, op8_inner_product_search, op9_token_counts, op10_lexical_packing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": licenses.oracle()}
