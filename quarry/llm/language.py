@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,17 +150,26 @@ def sample_rows(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SA
 _SCORERS: dict[int, Scorer] = {}
 
 
+def _scorer(packed: bytes) -> Scorer:
+    """One scorer for each model and worker."""
+    mark = zlib.crc32(packed)
+    if mark not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[mark] = Scorer(pickle.loads(packed))
+    return _SCORERS[mark]
+
+
+def _model(docs: DataFrame, fold: int, folds: int, sample: int) -> Broadcast:
+    """The model, of bounded size, packed."""
+    return docs.sparkSession.sparkContext.broadcast(pickle.dumps(Model(sample_rows(docs, fold, folds, sample))))
+
+
 def identify(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    packed = pickle.dumps(Model(sample_rows(docs, fold, folds, sample)))
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    shared = _model(docs, fold, folds, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = zlib.crc32(shared.value)
-        if mark not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[mark] = Scorer(pickle.loads(shared.value))
-        scorer = _SCORERS[mark]
+        scorer = _scorer(shared.value)
         for batch in batches:
             for first, rows in in_slices(batch.column(1)):
                 langs, scores = scorer.predict(rows)
@@ -167,3 +177,19 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SAMPL
 
     scored = texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return scored.select("doc_id", F.coalesce(crc_fold("doc_id", folds) == fold, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, least: float = 0.35, fold: int = 2, folds: int = 4, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, that have a language: not `und`, and a
+    score of at least least."""
+    shared = _model(docs, fold, folds, sample)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared.value)
+        for batch in batches:
+            for first, rows in in_slices(batch.column(at)):
+                kept = [lang != "und" and score >= least for lang, score in zip(*scorer.predict(rows))]
+                yield batch.slice(first, len(rows)).filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

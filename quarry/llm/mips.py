@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.vectors import by_dimension, matrix, plain, sample
+from quarry.llm.vectors import by_dimension, matrix, packed, plain, sample
 
 SAMPLE, ROUNDS, THRESHOLD = 8192, 8, 0.25
 CANDIDATES, QUERIES, RERANK, SLAB = 32768, 2048, 640, 64
@@ -138,12 +138,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERAN
             ids = batch.column(0)
             for d, (at, x) in by_dimension(batch.column(1)).items():
                 codes = [c.tobytes() for c in shared.value[d].encode(x)] if d in shared.value else [b""] * len(x)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.full(len(at), d, dtype=np.int32)), pa.array(codes, pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "d", "code", "v"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.full(len(at), d, dtype=np.int32)), pa.array(codes, pa.binary()), pa.array(packed(x), pa.binary())], names=["vec_id", "d", "code", "v"])
 
-    packed = rows.mapInArrow(pack, "vec_id long, d int, code binary, v binary")
+    coded = rows.mapInArrow(pack, "vec_id long, d int, code binary, v binary")
     tile = F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")
-    candidates = packed.select("d", tile.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))).alias("q"), F.lit(0).alias("side"), "vec_id", "code", "v")
-    asked = packed.where(F.col("vec_id") % every == 0)
+    candidates = coded.select("d", tile.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))).alias("q"), F.lit(0).alias("side"), "vec_id", "code", "v")
+    asked = coded.where(F.col("vec_id") % every == 0)
     query_tile = F.pmod(F.xxhash64("vec_id"), F.lit(query_tiles)).cast("int")
     asked = asked.select("d", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("c"), query_tile.alias("q"), F.lit(1).alias("side"), "vec_id", F.lit(b"").alias("code"), "v")
 
@@ -155,8 +155,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERAN
         if len(own) and len(other):
             own, other = own[np.unique(ids[own], return_index=True)[1]], other[np.unique(ids[other], return_index=True)[1]]
             v = table["v"].combine_chunks()
-            q, x = matrix(v.take(pa.array(own))), matrix(v.take(pa.array(other)))
-            quantiser = shared.value.get(q.shape[1])
+            d = table["d"][0].as_py()
+            q, x = matrix(v.take(pa.array(own)), d), matrix(v.take(pa.array(other)), d)
+            quantiser = shared.value.get(d)
             codes = np.frombuffer(b"".join(table["code"].combine_chunks().take(pa.array(other)).to_pylist()), dtype=np.uint8).reshape(len(other), -1) if quantiser else None
             found = list(best_of(q, ids[own], x, ids[other], codes, quantiser, k, rerank))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0)]

@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
 from quarry.llm.components import components, union_counts
-from quarry.llm.vectors import by_dimension, matrix, plain, rotated, rotation, sample, usable
+from quarry.llm.vectors import by_dimension, matrix, packed, plain, rotated, rotation, sample, usable
 
-BLOCK, CHUNK, CELLS, PER_CELL, SAMPLE, SLAB = 8, 1024, 256, 2048, 4096, 128
+BLOCK, CHUNK, CELLS, PER_CELL, SAMPLE, SLAB = 8, 4096, 256, 2048, 4096, 128
 
 
 def blocks_of(d: int) -> list[slice]:
@@ -152,7 +152,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
                 salt = np.array([xxhash.xxh3_64_intdigest(int(i).to_bytes(8, "little", signed=True)) >> 8 for i in ids], dtype=np.int64)
                 out: list[tuple] = []
                 for d, at, x, b, row, cell, own in placed(batch):
-                    packed = [v.tobytes() for v in x]
+                    rows = packed(x)
                     for r, c, o in zip(row.tolist(), cell.tolist(), own.tolist()):
                         h, n = chunks.get((d, b, c, True), 0), chunks.get((d, b, c, False), 0)
                         me = int(salt[at[r]]) % (h if o else n)
@@ -160,7 +160,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
                             tasks = [(min(me, j), max(me, j), int(me > j)) for j in range(h)] + [(me, h + j, 0) for j in range(n)]
                         else:
                             tasks = [(i, h + me, 1) for i in range(h)]
-                        out += [(d, b, c, i, j, side, int(ids[at[r]]), int(w[at[r]]), packed[r]) for i, j, side in tasks]
+                        out += [(d, b, c, i, j, side, int(ids[at[r]]), int(w[at[r]]), rows[r]) for i, j, side in tasks]
                 columns = list(zip(*out)) or [[]] * 9
                 kinds = [pa.int32()] * 6 + [pa.int64()] * 2 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["d", "b", "cell", "i", "j", "side", "vec_id", "w", "v"])
@@ -169,7 +169,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         block, i, j = key[1].as_py(), key[3].as_py(), key[4].as_py()
         table = table.sort_by([("vec_id", "ascending")]).combine_chunks()
         side = table["side"].to_numpy()
-        ids, w, v = table["vec_id"].to_numpy(), table["w"].to_numpy(), matrix(table["v"].combine_chunks())
+        ids, w, v = table["vec_id"].to_numpy(), table["w"].to_numpy(), matrix(table["v"].combine_chunks(), key[0].as_py())
         first, second = (np.arange(len(ids)),) * 2 if i == j else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         n = np.zeros(len(ids), dtype=np.int64)
         stars: dict[int, int] = {}

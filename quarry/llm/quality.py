@@ -27,6 +27,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,18 +164,26 @@ def sample_rows(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int =
 _SCORERS: dict[int, Scorer] = {}
 
 
+def _scorer(logits: np.ndarray) -> Scorer:
+    """One scorer for each model and worker."""
+    mark = zlib.crc32(logits.tobytes())
+    if mark not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[mark] = Scorer(logits)
+    return _SCORERS[mark]
+
+
+def _model(docs: DataFrame, labels: DataFrame, fold: int, folds: int, sample: int) -> Broadcast:
+    """The bucket logits: BUCKETS + 2 doubles."""
+    return docs.sparkSession.sparkContext.broadcast(bucket_logits(*train(sample_rows(docs, labels, fold, folds, sample))))
+
+
 def classify(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    spark = docs.sparkSession
-    logits = bucket_logits(*train(sample_rows(docs, labels, fold, folds, sample)))
-    shared = spark.sparkContext.broadcast(logits)  # BUCKETS doubles
+    shared = _model(docs, labels, fold, folds, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = zlib.crc32(shared.value.tobytes())
-        if mark not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[mark] = Scorer(shared.value)
-        scorer = _SCORERS[mark]
+        scorer = _scorer(shared.value)
         for batch in batches:
             for first, rows in in_slices(batch.column(1)):
                 s = scorer.scores(rows)
@@ -182,3 +191,17 @@ def classify(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3,
 
     scored = texts(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(crc_fold("doc_id", folds) == fold, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, fold: int = 1, folds: int = 3, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least least."""
+    shared = _model(docs, labels, fold, folds, sample)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared.value)
+        for batch in batches:
+            for first, rows in in_slices(batch.column(at)):
+                yield batch.slice(first, len(rows)).filter(pa.array([x >= least for x in scorer.scores(rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

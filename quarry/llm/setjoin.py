@@ -335,3 +335,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         if not more.isEmpty():
             label = components(label.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more))
     return rows.join(label, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """The rows of docs, all columns, but for those whose component has a
+    smaller doc_id: one document of each group stays."""
+    found = jaccard_components(docs, k, num, den)
+    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

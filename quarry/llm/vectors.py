@@ -43,10 +43,19 @@ def by_dimension(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of packed doubles as a matrix."""
-    flat = np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64)
-    return flat.reshape(len(column), -1)
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row's bytes: as floats where that loses nothing, else as doubles."""
+    short = x.astype(np.float32)
+    fits = (short == x).all(axis=1)
+    return [(s if f else v).tobytes() for s, v, f in zip(short, x, fits.tolist())]
+
+
+def matrix(column: pa.Array, d: int) -> np.ndarray:
+    """Rows of packed vectors of d components as a matrix of doubles."""
+    rows = column.to_pylist()
+    if all(len(r) == 4 * d for r in rows):
+        return np.frombuffer(b"".join(rows), dtype=np.float32).reshape(len(rows), d).astype(np.float64)
+    return np.stack([np.frombuffer(r, dtype=np.float32 if len(r) == 4 * d else np.float64).astype(np.float64) for r in rows])
 
 
 def rotation(d: int, seed: int = 11) -> np.ndarray:
