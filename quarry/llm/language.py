@@ -138,9 +138,13 @@ def sample_rows(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SA
     languages, outside the held-out fold."""
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     keys = keys.where(F.col("lang").isNotNull() & (crc_fold("doc_id", folds) != fold))
-    most = [r["lang"] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    keys = keys.where(F.col("lang").isin(most)).withColumn("h", F.xxhash64("doc_id"))
+    most = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not most:
+        return []
+    # ids whose hash is low enough to be among the first, before any shuffle
+    share = F.create_map(*[F.lit(x) for r in most for x in (r["lang"], min(1.0, 2.0 * sample / r["count"]))])
+    keys = keys.withColumn("h", F.xxhash64("doc_id")).where(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "doc_id")
     keys = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
     found = texts(docs).join(F.broadcast(keys), "doc_id").select("doc_id", "lang", "text")  # at most sample x languages rows
     found = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
