@@ -1,0 +1 @@
+"""The engine is a batch engine; there is no streaming operator."""
