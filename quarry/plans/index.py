@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.analysis import CANONICAL, Analyzer, bigrams
+from quarry.plans.checkpoints import checkpointed
 
 ZONES = ("body", "title", "court")
 
@@ -91,13 +92,15 @@ class Index:
         self.vocabulary().select("term").write.mode("overwrite").text(path)
 
 
-def build(corpus: DataFrame, analyzer: Analyzer = CANONICAL, zones: tuple[str, ...] = ZONES, kinds: tuple[str, ...] = ("uni", "bi"), only: list[str] | None = None) -> Index:
+def build(corpus: DataFrame, analyzer: Analyzer = CANONICAL, zones: tuple[str, ...] = ZONES, kinds: tuple[str, ...] = ("uni", "bi"), only: list[str] | None = None, checkpoint: bool = False) -> Index:
     """The index of a corpus. only: restrict it to these terms, before any
-    shuffle; their df and idf are the same as in the whole index."""
+    shuffle; their df and idf are the same as in the whole index. checkpoint:
+    make the postings once, for queries that read them and the dictionary."""
     terms = term_rows(corpus, analyzer, zones, kinds)
     if only is not None:
         terms = terms.where(F.col("term").isin(only))
     postings = counts(terms).select("zone", "kind", "term", "doc_id", (1 + F.log10("tf")).cast("float").alias("wtf"))
+    postings = checkpointed(postings) if checkpoint else postings
     stats = corpus.agg(F.count_distinct("document_id").alias("n_docs"))
     df = postings.groupBy("zone", "kind", "term").agg(F.count("*").alias("df"))
     n = stats.select(F.log(F.col("n_docs").cast("double")).alias("_n"))  # one row

@@ -190,7 +190,7 @@ def ranked(texts: list[str], analyzer: an.Analyzer = an.WS, **options) -> Query:
 def _free(spark: SparkSession, sf_dir: str, texts: list[str], analyzer: an.Analyzer, synonyms: DataFrame | None = None, **options) -> DataFrame:
     specs = list(enumerate(texts))
     _, names = search.query_terms(spark, search.free_text_terms(spark, specs, analyzer, synonyms, options.get("zones", True)))
-    index = build(corpus_of(spark, sf_dir), analyzer, kinds=("uni",), only=names)
+    index = build(corpus_of(spark, sf_dir), analyzer, kinds=("uni",), only=names, checkpoint=True)
     return search.free_text(spark, index, specs, analyzer, synonyms, **options)
 
 
@@ -240,7 +240,7 @@ SELECT CAST(0 AS BIGINT) AS query_id, row_number() OVER (ORDER BY score DESC, do
 def _boolean(text: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         items = [r["term"] for r in search.boolean_plan(spark, [(0, text)], an.WS).collect()]  # a query's items
-        index = build(corpus_of(spark, sf_dir), an.WS, only=sorted(set(items)))
+        index = build(corpus_of(spark, sf_dir), an.WS, only=sorted(set(items)), checkpoint=True)
         return search.boolean(spark, index, [(0, text)], an.WS)
 
     return run
