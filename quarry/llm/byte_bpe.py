@@ -13,6 +13,7 @@ run of marks as a whole.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from functools import lru_cache
@@ -35,6 +36,8 @@ _PRETOKEN = regex.compile(PATTERN)
 #: Fragments that a worker keeps, and the longest of them.
 CACHE, KEPT_CHARS = 600_000, 48
 NONE = np.iinfo(np.int64).max
+#: Sequences of more symbols are merged by a heap.
+LONG = 4096
 
 
 def byte_chars() -> dict[int, str]:
@@ -168,7 +171,7 @@ class RankMerger:
 
     def __init__(self, size: int, merges: dict[tuple[int, int], tuple[int, int]]):
         """size: ids are below it; merges: (left, right) -> (rank, merged)."""
-        self.size = np.int64(size)
+        self.merges, self.size = merges, np.int64(size)
         bits = 20
         while (1 << bits) < 8 * max(1, len(merges)):
             bits += 1
@@ -202,7 +205,42 @@ class RankMerger:
         return np.append(np.where(fits, self.rank[slot], NONE), NONE), slot
 
     def merge(self, symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, each id's sequence), in order, of symbols and their sequences."""
+        """(ids, each id's sequence), in order, of symbols and their sequences
+        (ascending). Very long sequences, which would need a round for nearly
+        each of their merges, go through a heap one by one."""
+        size = np.bincount(of) if len(of) else of
+        long = np.flatnonzero(size > LONG)
+        if not len(long):
+            return self._rounds(symbols, of)
+        inside = np.isin(of, long)
+        ids, owner = self._rounds(symbols[~inside], of[~inside])
+        found = [(k, self._heap(symbols[of == k].tolist())) for k in long.tolist()]
+        ids = np.concatenate([ids, *[np.array(x, dtype=np.int64) for _, x in found]])
+        owner = np.concatenate([owner, *[np.full(len(x), k) for k, x in found]])
+        order = np.argsort(owner, kind="stable")
+        return ids[order], owner[order]
+
+    def _heap(self, ids: list[int]) -> list[int]:
+        """One sequence's merges, by a heap of pairs over linked places."""
+        n, merges = len(ids), self.merges
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            ids[i], ids[j], after[i] = merges[a, b][1], -1, after[j]
+            if (k := after[i]) >= 0:
+                before[k] = i
+                if m := merges.get((ids[i], ids[k])):
+                    heapq.heappush(heap, (m[0], i, ids[i], ids[k]))
+            if (k := before[i]) >= 0 and (m := merges.get((ids[k], ids[i]))):
+                heapq.heappush(heap, (m[0], k, ids[k], ids[i]))
+        return [x for x in ids if x >= 0]
+
+    def _rounds(self, symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         done_ids, done_of = [], []
         while len(symbols) > 1:
             rank, slot = self._ranks(symbols, of)

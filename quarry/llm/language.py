@@ -118,6 +118,8 @@ class Scorer(byte_bpe.FragmentTable):
 
     def predict(self, batch: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
+        if self.used > 2 * self.cache:  # words too long to keep have filled it
+            self.known = dict(self.fixed)
         for found in self.resolve(batch):
             at = np.array(found, dtype=np.int64)
             at = at[at > 0]

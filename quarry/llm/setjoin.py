@@ -325,8 +325,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     stars = stars.join(label.alias("la"), F.col("a") == F.col("la.id"), "left").join(label.alias("lb"), F.col("b") == F.col("lb.id"), "left")
     stars = materialize(stars.select("key", "a", "b", name("a").alias("ca"), name("b").alias("cb")), "stars")
     open_keys = stars.where("ca <> cb").select("key").distinct()
-    members = stars.join(open_keys, "key", "left_semi")
-    members = members.select("key", F.col("a").alias("x"), F.col("ca").alias("c")).union(members.select("key", "b", "cb")).distinct()
+    both = F.array(F.struct(F.col("a").alias("x"), F.col("ca").alias("c")), F.struct(F.col("b").alias("x"), F.col("cb").alias("c")))
+    members = stars.join(open_keys, "key", "left_semi").select("key", F.explode(both).alias("m")).select("key", "m.x", "m.c").distinct()
+    members = materialize(members, "members")
     other = members.select("key", F.col("x").alias("y"), F.col("c").alias("d"))
     cross = members.join(other, "key").where("c < d").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
