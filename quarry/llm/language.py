@@ -76,9 +76,10 @@ class Model:
         self.tables.append({w: np.array([np.log((counts[lang].get(w, 0) + SMOOTH) / size[lang]) for lang in self.languages], dtype=np.float32) for w in kept})
 
     def word(self, word: str) -> np.ndarray | None:
-        """Scores of a word by language; None if it has no letter."""
+        """Scores of a word by language; None if it has no letter, or the model
+        no language."""
         plain = letters(word)
-        if not plain:
+        if not plain or not self.languages:
             return None
         if (found := self.tables[0].get(plain)) is not None:
             return found

@@ -1,6 +1,6 @@
 """Operator 4, licence scans by sentence rules, in DataFrame functions alone.
 
-Texts are split into sentences at line ends and after stops, sentences are
+Texts are split into sentences after stops and at line ends, sentences are
 normalised (ASCII lower case, letters and digits only, single blanks), and
 those that are known map to licence-sentence identifiers. The sequence of a
 document's identifiers is then matched against ordered licence rules, each a
@@ -75,11 +75,15 @@ def known(sentences: dict[str, list[str]]) -> dict[str, str]:
     return {normal(form): name for name, forms in sentences.items() for form in forms}
 
 
-def _sentences(text: Column) -> Column:
-    """Normalised sentences. A stop ends one before a line end, or before
-    blanks and a letter, a double quote or a bracket (so not in `v. 2.0`)."""
+def _sentences(text: Column, table: Column) -> Column:
+    """Normalised sentences. A stop or colon ends one before blanks or a line
+    end and then a letter, a double quote or a bracket (so not in `v. 2.0`),
+    and so does an empty line. Sentences may go over several lines; where one
+    isn't known, its lines are looked at by themselves."""
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.transform(F.split(F.regexp_replace(lower, r"([.!?])[ \t]+([a-z\"(])", "$1\n$2"), r"[\r\n]+"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    parts = F.split(F.regexp_replace(lower, r"([.!?:])[ \t\r\n]+([a-z\"(])", "$1\n\n$2"), r"\n[ \t\r]*\n[ \t\r\n]*")
+    plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+    return F.flatten(F.transform(parts, lambda s: F.when(F.map_contains_key(table, plain(s)), F.array(plain(s))).otherwise(F.transform(F.split(s, r"[\r\n]+"), plain))))
 
 
 def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
@@ -88,7 +92,7 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
     has taken)."""
     by_text = known(sentences or SENTENCES)
     table = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _sentences(F.col("text").cast("string")).alias("s"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _sentences(F.col("text").cast("string"), table).alias("s"))
     found = found.select("doc_id", F.transform(F.filter("s", lambda s: F.map_contains_key(table, s)), lambda s: F.element_at(table, s)).alias("ids"))
     found = found.withColumn("left", F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda x: F.concat(x, F.lit(" "))), "")))
     hits = []
@@ -111,9 +115,10 @@ def oracle(sentences: dict[str, list[str]] | None = None, rules: list[tuple[str,
     names = ", ".join(f"CASE WHEN r{k} THEN '{rule[0]}' END" for k, rule in enumerate(rules or RULES))
     n = len(rules or RULES)
     return rf"""
-WITH s AS (
-  SELECT doc_id, list_transform(string_split_regex(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '([.!?])[ \t]+([a-z\"(])', '\1' || chr(10) || '\2', 'g'), '[\r\n]+'),
-         lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))) AS s FROM documents),
+WITH g AS (
+  SELECT doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '([.!?:])[ \t\r\n]+([a-z\"(])', '\1' || chr(10) || chr(10) || '\2', 'g'), '\n[ \t\r]*\n[ \t\r\n]*') AS g FROM documents),
+s AS (SELECT doc_id, flatten(list_transform(g, lambda x: CASE WHEN ({table})[trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))] IS NOT NULL THEN [trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))]
+  ELSE list_transform(string_split_regex(x, '[\r\n]+'), lambda y: trim(regexp_replace(y, '[^a-z0-9]+', ' ', 'g'))) END)) AS s FROM g),
 i AS (SELECT doc_id, list_filter(list_transform(s, lambda x: ({table})[x]), lambda x: x IS NOT NULL) AS ids FROM s),
 l AS (SELECT doc_id, ids, ' ' || coalesce(list_aggregate(list_transform(ids, lambda x: x || ' '), 'string_agg', ''), '') AS left0 FROM i),
 {", ".join(steps)}

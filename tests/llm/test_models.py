@@ -87,7 +87,7 @@ def test_language_learns_nothing_from_null(spark):
 def test_licenses(spark):
     mit = " ".join(s for k in ("MITGrant", "MITNotice") for s in licenses.SENTENCES[k][:1])
     rows = [
-        (1, f"Title\n{mit}\nRest of it."), (2, "Text. licensed under the  APACHE License, version 2.0. More."), (3, None), (4, ""), (5, "Nothing here. Licensed to kill."),
+        (1, f"Title\n\n{mit}\nRest of it.".replace(" the Software", "\n the  Software")), (2, "Text. licensed under the  APACHE License, version 2.0. More."), (3, None), (4, ""), (5, "Nothing here. Licensed to kill."),
         (6, licenses.SENTENCES["MITNotice"][0]), (6, licenses.SENTENCES["MITNotice"][0]), (None, "Released under the MIT License."),
         (7, "Released under the MIT License.\nwords words\nAll rights reserved.\nLicensed under CC BY-NC 4.0."),
     ]
