@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.stem import stem_sql, stems
+from quarry.functions.stem import stem_array, stem_sql
 from quarry.functions.stopwords import ENGLISH
 
 #: Fixed value: ASCII punctuation in its usual order.
@@ -99,21 +99,13 @@ class Analyzer:
         return {"letters": letters_only, "punct_drop": without_punctuation, "punct_substring": not_in_punctuation}[self.keep](tokens)
 
     def tokens(self, text: Column) -> Column:
-        """Lower-cased tokens without stop words, not yet stemmed."""
+        """The indexed tokens: without stop words, lower-cased and stemmed."""
         found = self.surface(text)
         found = without_stopwords(found, list(self.stop)) if self.stop else found
-        return F.transform(found, F.lower)
-
-    def stemmed(self, rows: DataFrame, column: str = "term") -> DataFrame:
-        """rows with their term replaced by its stem. The rules run on each
-        distinct term once."""
-        if not self.stem:
-            return rows
-        table = stems(rows.select(column).distinct(), column, "_stem")
-        return rows.join(table, column).withColumn(column, F.col("_stem")).drop("_stem")
+        return stem_array(found) if self.stem else F.transform(found, F.lower)
 
     def sql(self, expression: str) -> str:
-        """tokens() of an SQL expression, as a DuckDB list."""
+        """tokens() of an SQL expression before stemming, as a DuckDB list."""
         x = f"coalesce({expression}, '')"
         if self.split == "treebank":
             for pattern, new in TREEBANK:
@@ -131,7 +123,7 @@ class Analyzer:
         return f"list_transform({x}, lambda t: lower(t))"
 
     def sql_stemmed(self, query: str, column: str = "term") -> str:
-        """stemmed() of an SQL query."""
+        """An SQL query with its term replaced by the stem."""
         if not self.stem:
             return query
         table = stem_sql(f"(SELECT DISTINCT {column} FROM ({query}))", column, "_stem")

@@ -10,9 +10,12 @@ consonants. Words of one or two letters stay as they are.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _C, _V = "[^aeiouy#]", "[aeiouy]"
@@ -79,6 +82,52 @@ def stems(words: DataFrame, word: str = "term", to: str = "stem") -> DataFrame:
     return words.withColumn(to, stem_column(F.col(word)))
 
 
+_COMPILED = [[(re.compile(g).search, re.compile(p).sub, n) for g, p, n in step] for step in STEPS]
+#: Words whose stems a worker keeps.
+KEPT = 500_000
+_known: dict[str, str] = {}
+
+
+def stem_word(word: str) -> str:
+    """The stem of one word, by the same rules."""
+    w = word.lower()
+    if w in IRREGULAR or len(w) <= 2:
+        return IRREGULAR.get(w, w)
+    for step in _COMPILED:
+        for guard, replace, new in step:
+            if guard(w):
+                w = replace(new, w)
+                break
+    return w.replace("Y", "y")
+
+
+def _stem_lists(lists: pd.Series) -> pd.Series:
+    if len(_known) > KEPT:
+        _known.clear()
+    known = _known
+    out = []
+    for words in lists:
+        found = [known.get(w) for w in words]
+        if None in found:
+            for i, w in enumerate(words):
+                if found[i] is None:
+                    found[i] = known[w] = stem_word(w)
+        out.append(found)
+    return pd.Series(out)
+
+
+def stem_array(tokens: Column) -> Column:
+    """Each token's stem. Tokens repeat so often that a worker's table of
+    stems answers nearly all of them: one Arrow batch in and out, no shuffle,
+    where a join with the stemmed vocabulary would move every token."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:  # workers on this machine find the package where the driver has
+        root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        env["PYTHONPATH"] = os.pathsep.join(paths if root in paths else [root, *paths])
+    return F.pandas_udf(_stem_lists, "array<string>")(tokens)
+
+
 def stem_sql(source: str, word: str = "term", to: str = "stem", keep: str = "*") -> str:
     """The same as a SQL query text for DuckDB; source: a table or subquery."""
     sql = f"SELECT {keep}, lower({word}) AS _l, lower({word}) AS _w FROM {source}"

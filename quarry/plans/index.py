@@ -31,7 +31,7 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 
 def token_rows(corpus: DataFrame, analyzer: Analyzer, zones: tuple[str, ...] = ZONES) -> DataFrame:
-    """doc_id, zone, pos, term: tokens as they are before stemming."""
+    """doc_id, zone, pos, term: every indexed token."""
     column = {"body": "content", "title": "title", "court": "court"}
     one = F.array(*[F.struct(F.lit(z).alias("zone"), analyzer.tokens(F.col(column[z])).alias("t")) for z in zones])
     rows = corpus.select(F.col("document_id").alias("doc_id"), F.explode(one).alias("z"))
@@ -40,15 +40,6 @@ def token_rows(corpus: DataFrame, analyzer: Analyzer, zones: tuple[str, ...] = Z
 
 def term_rows(corpus: DataFrame, analyzer: Analyzer, zones: tuple[str, ...] = ZONES, kinds: tuple[str, ...] = ("uni", "bi")) -> DataFrame:
     """doc_id, zone, kind, term: every occurrence of every indexed term."""
-    if analyzer.stem:
-        # stems of the vocabulary first, so that bigrams are made of stems
-        rows = analyzer.stemmed(token_rows(corpus, analyzer, zones))
-        uni = rows.select("doc_id", "zone", F.lit("uni").alias("kind"), "term")
-        if "bi" not in kinds or "body" not in zones:
-            return uni
-        lists = rows.where("zone = 'body'").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("t"))
-        bi = lists.select("doc_id", F.lit("body").alias("zone"), F.lit("bi").alias("kind"), F.explode(bigrams(F.col("t"))).alias("term"))
-        return uni.union(bi) if "uni" in kinds else bi
     column = {"body": "content", "title": "title", "court": "court"}
     tokens = corpus.select(F.col("document_id").alias("doc_id"), *[analyzer.tokens(F.col(column[z])).alias(z) for z in zones])
     lists = [F.struct(F.lit(z).alias("zone"), F.lit("uni").alias("kind"), F.col(z).alias("t")) for z in zones if "uni" in kinds]
@@ -112,7 +103,7 @@ def first_seen(corpus: DataFrame, analyzer: Analyzer) -> DataFrame:
     """term, doc_id, pos of each term's first occurrence, and its rank."""
     from pyspark.sql import Window
 
-    rows = analyzer.stemmed(token_rows(corpus, analyzer, ("body",)))
+    rows = token_rows(corpus, analyzer, ("body",))
     first = rows.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
     first = first.select("term", F.col("f.doc_id").alias("doc_id"), F.col("f.pos").cast("long").alias("pos"))
     return first.withColumn("term_id", F.row_number().over(Window.orderBy("doc_id", "pos")).cast("long"))

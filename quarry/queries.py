@@ -50,7 +50,7 @@ dictionary AS (SELECT zone, kind, term, count(*) AS df, ln((SELECT n FROM n)::DO
 
 def _tokens(analyzer: an.Analyzer) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = analyzer.stemmed(token_rows(corpus_of(spark, sf_dir), analyzer, ("body",)))
+        rows = token_rows(corpus_of(spark, sf_dir), analyzer, ("body",))
         return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
 
     return run
