@@ -192,3 +192,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     every = every.withColumn("v", F.when(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False)), F.col("v")))
     out = every.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def oracle(least: float = 0.95) -> str:
+    """The same in DuckDB's SQL over embeddings, by comparing all pairs."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= {least}),
+r AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT l.b, r.r FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(r) AS component_id FROM r GROUP BY vec_id),
+d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN c USING (vec_id) LEFT JOIN d ON d.a = e.vec_id"""

@@ -61,4 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_bpe_round_trip, op2_quality_classifier, op3_token_id_shards, op4_license_scan, op5_embedding_near_duplicates, op6_ngram_jaccard_join, op7_language_id, op8_inner_product_search, op9_token_counts, op10_lexical_packing)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_license_scan": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": licenses.oracle(),
+    "op5_embedding_near_duplicates": neardup.oracle(least=0.95),
+    "op6_ngram_jaccard_join": setjoin.oracle(k=4, num=85, den=100),
+}

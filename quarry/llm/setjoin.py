@@ -344,3 +344,19 @@ def keep_one(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Data
     found = jaccard_components(docs, k, num, den)
     gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+
+
+def oracle(k: int = 4, num: int = 85, den: int = 100) -> str:
+    """The same in DuckDB's SQL over documents, by counting shared shingles."""
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {den} * c >= {num} * (x.n_shingles + y.n_shingles - c)),
+m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT m.b, r.r FROM r JOIN m ON m.a = r.doc_id)
+SELECT n.doc_id, n_shingles, min(r.r) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL"""
