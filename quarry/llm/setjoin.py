@@ -9,7 +9,7 @@ serves a band, whichever costs fewer keys:
 exact    T + 1 + e segments: at least 1 + e of them hold the same subset in
          both sets. Subsets of fewer than two shingles say little and would
          meet too often, so they get no key; e is chosen so that all but about
-         one set in a thousand have at most e of them, and if either set does,
+         one set in a hundred have at most e of them, and if either set does,
          a shared key remains. Sets that have more (for pairs of two such
          sets) also get the keys of the other allocation.
 deletion (T + 1) / 2 segments: at least one differs by at most one shingle, so
@@ -18,11 +18,14 @@ deletion (T + 1) / 2 segments: at least one differs by at most one shingle, so
 
 Keys travel packed, by bucket, each batch having met its own repeated keys
 first. Sets that share a key are candidates of the key's smallest document
-(a star, never all pairs of a key). All candidates are verified exactly on
-their whole shingle sets. Keys whose members then still lie in different
-components are expanded between those components, and verified too: pairs
-inside one component can't change the result. So no link between components
-is lost, whatever the sizes of groups.
+(a star, never all pairs of a key). First each document is verified exactly,
+on its whole shingle set, against the candidate it shares most keys with. Keys
+whose members then still lie in different components are compared between
+those components, in tiles, by signatures: a byte for each of many segments of
+which linked sets differ in no more segments than in shingles. Only pairs that
+pass leave the task, and all of them are verified exactly. Pairs inside one
+component can't change the result, so no link between components is lost,
+whatever the sizes of groups.
 
 Shingles are compared by 64-bit hashes. Words are as the contract has them:
 A-Z lower-cased, runs of anything but ASCII white space. Null and empty texts
@@ -47,7 +50,9 @@ from quarry.llm.bpe_codec import in_slices
 from quarry.llm.common import materialize, shuffle_parts, texts
 from quarry.llm.components import components
 
-RATIO, LOW, DEFICIENT = 1.4, 2, 1e-3
+RATIO, LOW, DEFICIENT = 1.4, 2, 1e-2
+#: Members of a key compared at once, bits of the map of needed documents.
+TILE, MAP_BITS = 1024, 1 << 24
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -152,6 +157,16 @@ def set_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def signatures(s: np.ndarray, bands: Bands) -> list[tuple[int, bytes]]:
+    """(band, a byte for each segment) for each band of a set. Linked sets of
+    a band differ in no more segments than in shingles."""
+    v, out = mix(s + _STEP), []
+    for b in bands.of(len(s)):
+        sums = _segments(s, v, 2 * bands.most_apart(b) + 16)[2]
+        out.append((b, (mix(sums) >> np.uint64(56)).astype(np.uint8).tobytes()))
+    return out
+
+
 def _segments(s: np.ndarray, v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(each shingle's segment, segments' sizes, and sums of their values)."""
     seg = (s >> np.uint64(9)).astype(np.int64) % m
@@ -240,8 +255,18 @@ def _meet(packed: DataFrame, parts: int) -> DataFrame:
             if held:
                 both = np.concatenate(held, axis=1)
                 key, doc, least = _runs(both[0], both[1])
-                again = doc != least
-                yield rows(STARS, key[again], least[again], doc[again])
+                # of keys with the same members one says it all
+                head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                size = np.diff(np.r_[head, len(key)])
+                many = np.repeat(size > 1, size)
+                key, doc, least = key[many], doc[many], least[many]
+                if len(key):
+                    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                    size = np.diff(np.r_[head, len(key)])
+                    first = np.zeros(len(head), dtype=bool)
+                    first[np.unique(np.add.reduceat(mix(doc.view(np.uint64)), head), return_index=True)[1]] = True
+                    again = (doc != least) & np.repeat(first, size)
+                    yield rows(STARS, key[again], least[again], doc[again])
 
         for batch in batches:
             for at, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -264,38 +289,54 @@ def _meet(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, key long, a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, per_task: int = 4000) -> DataFrame:
-    """The pairs (a, b) that link, compared on whole sets."""
-    parts = shuffle_parts(pairs.sparkSession)
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    held = texts(docs).join(need, "doc_id", "left_semi")
+def _needed(docs: DataFrame, need: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """id, n, sigs, blob (signatures and whole shingle set) of the documents
+    in need, and of a few others: a bit map of fixed size tells which texts
+    are looked at, so that texts aren't shuffled."""
+    spark = docs.sparkSession
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    words = need.select(place(F.col("id")).alias("h")).groupBy((F.col("h") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 32 AS INT))")).alias("m")).toArrow()
+    bits = np.zeros(MAP_BITS // 32, dtype=np.uint32)
+    bits[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)
+    shared = spark.sparkContext.broadcast(bits.tobytes())  # MAP_BITS / 8 bytes
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, held = Bands(num, den), np.frombuffer(shared.value, dtype=np.uint32)
+        kind = pa.list_(pa.struct([("band", pa.int32()), ("sig", pa.binary())]))
         for batch in batches:
-            for first, rows in in_slices(batch.column(1), rows=1024, chars=1 << 23):
-                blobs = [shingles(t, k).tobytes() for t in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(blobs, pa.binary())], names=["id", "blob"])
+            h = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((held[h // 32] >> (h % 32).astype(np.uint32)) & 1 == 1))
+            for first, rows in in_slices(batch.column(1), rows=512, chars=1 << 22):
+                sets = [shingles(t, k) for t in rows]
+                sigs = [[{"band": b, "sig": x} for b, x in signatures(s, bands)] if len(s) else [] for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, kind), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "sigs", "blob"])
+
+    rows = texts(docs).where(F.col("doc_id").isNotNull()).withColumn("h", place(F.col("doc_id")))
+    return rows.mapInArrow(run, "id long, n long, sigs array<struct<band:int,sig:binary>>, blob binary")
+
 
-    sets = held.mapInArrow(pack, "id long, blob binary")
-    # a document with many candidates is sent to several tasks
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_task: int = 4000) -> DataFrame:
+    """The pairs (a, b) that link, compared on whole sets. A document with
+    many candidates is sent to several tasks."""
+    parts = shuffle_parts(pairs.sparkSession)
     count = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("n"))
-    left = count.join(sets, count.a == sets.id).select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "blob")
-    right = pairs.join(count, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("part"), "b")
-    right = right.join(sets, right.b == sets.id).select("a", "part", "b", "blob")
-    met = left.union(right).repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    left = count.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(False).alias("second"))
+    right = pairs.join(count, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("part"), F.lit(True).alias("second"))
+    routes = materialize(left.union(right), "routes")
+    met = routes.join(sets.select("id", "blob"), "id").repartition(parts, "a", "part").sortWithinPartitions("a", "part", "second")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sets_a = None, []
+        at, firsts = None, []
         for batch in batches:
             out = []
-            for a, b, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for b, a, part, second, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 s = np.frombuffer(blob.as_py(), dtype=np.uint64)
-                if a != at:
-                    at, sets_a = a, []
-                if b is None:
-                    sets_a.append(s)
+                if (a, part) != at:
+                    at, firsts = (a, part), []
+                if not second:
+                    firsts.append(s)
                     continue
-                for other in sets_a:
+                for other in firsts:
                     if not len(s) or not len(other) or den * min(len(s), len(other)) < num * max(len(s), len(other)):
                         continue
                     both = np.concatenate([s, other])
@@ -306,33 +347,98 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, per_t
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return met.select("a", "part", "b", "blob").mapInArrow(compare, "a long, b long")
+    return met.select("id", "a", "part", "second", "blob").mapInArrow(compare, "a long, b long")
+
+
+def _near(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: list[dict[int, bytes]], side: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of different components that their signatures let link; side: 0
+    and 1 are compared with each other, 2 with all."""
+    own = np.array([min(s) if s else -1 for s in sigs])
+    for b in np.unique(own[own >= 0]):
+        first = np.flatnonzero(own == b)
+        second = np.array([i for i in range(len(ids)) if b in sigs[i]])  # its own band or the one below
+        width = len(sigs[first[0]][b])
+        x = np.frombuffer(b"".join(sigs[i][b] for i in first), dtype=np.uint8).reshape(-1, width)
+        y = np.frombuffer(b"".join(sigs[i][b] for i in second), dtype=np.uint8).reshape(-1, width)
+        step = max(1, (1 << 23) // max(1, y.size))
+        for k in range(0, len(first), step):
+            p = first[k : k + step]
+            fits = (label[p, None] != label[second]) & ((side[p, None] != side[second]) | (side[second] == 2))
+            fits &= (own[second] < b) | (p[:, None] < second)
+            fits &= den * np.minimum(n[p, None], n[second]) >= num * np.maximum(n[p, None], n[second])
+            if not fits.any():
+                continue
+            most = (den - num) * (n[p, None] + n[second]) // (den + num)
+            fits &= (x[k : k + step, None] != y).sum(2) <= most
+            for i, j in zip(*np.nonzero(fits)):
+                yield int(ids[p[i]]), int(ids[second[j]])
+
+
+def _cross(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) between components of the same key; members:
+    key, x, c, n, sigs. Keys of many members are split into pairs of tiles."""
+    parts = shuffle_parts(members.sparkSession)
+    tiles = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
+    rows = members.join(tiles, "key").withColumn("m", F.pmod(F.xxhash64("x"), F.col("t")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    side = F.when(F.col("m") == F.col("o"), 2).when(F.col("m") < F.col("o"), 0).otherwise(1)
+    rows = rows.select("key", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), side.alias("side"), "x", "c", "n", "sigs")
+    rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, found = None, [], set()
+
+        def close() -> None:
+            if len(held) > 1:
+                side, ids, label, n, sigs = zip(*held)
+                table = [{s["band"]: s["sig"] for s in x} for x in sigs]
+                found.update((min(p), max(p)) for p in _near(np.array(ids), np.array(label), np.array(n), table, np.array(side), num, den))
+
+        def flush() -> pa.RecordBatch:
+            out = list(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                if row[:3] != at:
+                    close()
+                    at, held = row[:3], []
+                    if len(found) > 100_000:
+                        yield flush()
+                held.append(row[3:])
+        close()
+        yield flush()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    met = materialize(_meet(_emit(docs, k, num, den, parts * 4), parts), "met")
+    met = materialize(_meet(_emit(docs, k, num, den, parts * 2), parts), "met")
     rows = met.where(F.col("kind") == DOCS).select(F.when(F.col("key") == 1, F.col("a")).alias("id"), F.col("b").alias("n_shingles"))
     stars = met.where(F.col("kind") == STARS).select("key", "a", "b")
-    pairs = materialize(stars.select("a", "b").distinct(), "pairs")
-    links = met.where(F.col("kind") == LINKS).select("a", "b").union(_verify(pairs, docs, k, num, den))
-    links = materialize(links, "links")
-    label = components(links)
+    pairs = materialize(stars.groupBy("a", "b").agg(F.count("*").alias("keys")), "pairs")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(_needed(docs, need, k, num, den), "sets")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("keys"), -F.col("a"))).alias("a")).select("a", "b")
+    best = materialize(best, "best")
+    links = met.where(F.col("kind") == LINKS).select("a", "b").union(_verify(best, sets, num, den))
+    label = components(materialize(links, "links"))
     # members of keys that still join different components
     name = lambda c: F.coalesce(F.col(f"l{c}.component_id"), F.col(c))
-    stars = stars.join(label.alias("la"), F.col("a") == F.col("la.id"), "left").join(label.alias("lb"), F.col("b") == F.col("lb.id"), "left")
-    stars = materialize(stars.select("key", "a", "b", name("a").alias("ca"), name("b").alias("cb")), "stars")
-    open_keys = stars.where("ca <> cb").select("key").distinct()
-    both = F.array(F.struct(F.col("a").alias("x"), F.col("ca").alias("c")), F.struct(F.col("b").alias("x"), F.col("cb").alias("c")))
-    members = stars.join(open_keys, "key", "left_semi").select("key", F.explode(both).alias("m")).select("key", "m.x", "m.c").distinct()
+    ends = pairs.select("a", "b").join(label.alias("la"), F.col("a") == F.col("la.id"), "left").join(label.alias("lb"), F.col("b") == F.col("lb.id"), "left")
+    apart = materialize(ends.where(name("a") != name("b")).select("a", "b"), "apart")
+    open_keys = stars.join(apart, ["a", "b"], "left_semi").select("key").distinct()
+    members = stars.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("x")).distinct()
     members = materialize(members, "members")
-    other = members.select("key", F.col("x").alias("y"), F.col("c").alias("d"))
-    cross = members.join(other, "key").where("c < d").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
+    known = members.select("x").distinct().join(label, F.col("x") == F.col("id"), "left").select("x", F.coalesce("component_id", "x").alias("c"))
+    known = known.join(sets.select(F.col("id").alias("y"), "n", "sigs"), F.col("x") == F.col("y")).select("x", "c", "n", "sigs")
+    cross = _cross(members.join(known, "x"), num, den).join(best, ["a", "b"], "left_anti")
+    cross = materialize(cross, "cross")
     if not cross.isEmpty():
-        more = materialize(_verify(cross, docs, k, num, den), "links")
+        more = materialize(_verify(cross, sets, num, den), "links")
         if not more.isEmpty():
             label = components(label.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more))
     return rows.join(label, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
