@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
@@ -81,12 +81,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: each larger neighbour is linked to the smallest one
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: each smaller neighbour, and the vertex, to the smallest
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct()
-        e = materialize(e, "edges")
-        mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).collect()[0]
+        seen = Observation()
+        e = materialize(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 31)).alias("h"), F.sum(F.col("v") % (1 << 31)).alias("v")), "edges")
+        mark = seen.get
         if mark == before:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
         before = mark
