@@ -35,7 +35,7 @@ from quarry.llm.common import materialize
 from quarry.llm.components import components, union_counts
 from quarry.llm.vectors import by_dimension, matrix, packed, plain, rotated, rotation, sample, usable
 
-BLOCK, CHUNK, CELLS, PER_CELL, SAMPLE, SLAB = 8, 4096, 256, 2048, 4096, 128
+BLOCK, CHUNK, CELLS, PER_CELL, SAMPLE, SLAB, PAIRS = 8, 4096, 256, 2048, 4096, 128, 1 << 16
 
 
 def blocks_of(d: int) -> list[slice]:
@@ -90,34 +90,40 @@ def _centres(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances, dimension by dimension: the same bits for a pair in every task."""
-    out = np.zeros((len(a), len(b)))
+    """Squared distances row by row, dimension by dimension: the same bits for
+    a pair in every task."""
+    out = np.zeros(len(a))
     for k in range(a.shape[1]):
-        out += (a[:, k, None] - b[None, :, k]) ** 2
+        out += (a[:, k] - b[:, k]) ** 2
     return out
 
 
 def links_of(block: int, x: np.ndarray, y: np.ndarray, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked (row of x, row of y) that this block is the first to find."""
+    """Linked (row of x, row of y) that this block is the first to find. A
+    product of floats tells, with some slack, which pairs to look at."""
     d = x.shape[1]
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     q, parts, share = rotation(d), blocks_of(d), shares(d, least)
     rx, ry = rotated(x / nx[:, None], q), rotated(y / ny[:, None], q)
+    bx, by = rx[:, parts[block]], ry[:, parts[block]]
+    fx, fy = bx.astype(np.float32), by.astype(np.float32).T.copy()
+    hx, hy = ((bx**2).sum(1) - share[block]).astype(np.float32) / 2 - np.float32(1e-5), (by**2).sum(1).astype(np.float32) / 2
     for i in range(0, len(x), SLAB):
-        rows = slice(i, i + SLAB)
-        hit = _apart(rx[rows, parts[block]], ry[:, parts[block]]) <= share[block]
+        a, b = np.nonzero(fx[i : i + SLAB] @ fy - hy >= hx[i : i + SLAB, None])
+        a += i
         if same:
-            hit &= np.arange(len(y)) > np.arange(i, min(i + SLAB, len(x)))[:, None]
-        if not hit.any():
-            continue
-        hit &= (x[rows] @ y.T) / (nx[rows, None] * ny) >= least
-        for earlier in range(block):
-            if not hit.any():
-                break
-            hit &= _apart(rx[rows, parts[earlier]], ry[:, parts[earlier]]) > share[earlier]
-        a, b = np.nonzero(hit)
-        if len(a):
-            yield a + i, b
+            a, b = a[b > a], b[b > a]
+        for k in range(0, len(a), PAIRS):
+            p, r = a[k : k + PAIRS], b[k : k + PAIRS]
+            keep = _apart(bx[p], by[r]) <= share[block]
+            p, r = p[keep], r[keep]
+            keep = (x[p] * y[r]).sum(1) / (nx[p] * ny[r]) >= least
+            p, r = p[keep], r[keep]
+            for earlier in range(block):
+                keep = _apart(rx[p, parts[earlier]], ry[r, parts[earlier]]) > share[earlier]
+                p, r = p[keep], r[keep]
+            if len(p):
+                yield p, r
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
