@@ -21,7 +21,7 @@ first. Sets that share a key are candidates of the key's smallest document
 (a star, never all pairs of a key). First each document is verified exactly,
 on its whole shingle set, against the candidate it shares most keys with. Keys
 whose members then still lie in different components are compared between
-those components, in tiles, by signatures: a byte for each of many segments of
+those components, by pairs of blocks, by signatures: a byte for each of many segments of
 which linked sets differ in no more segments than in shingles. Only pairs that
 pass leave the task, and all of them are verified exactly. Pairs inside one
 component can't change the result, so no link between components is lost,
@@ -51,8 +51,8 @@ from quarry.llm.common import materialize, shuffle_parts, texts
 from quarry.llm.components import components
 
 RATIO, LOW, DEFICIENT = 1.4, 2, 1e-2
-#: Members of a key compared at once, bits of the map of needed documents.
-TILE, MAP_BITS = 1024, 1 << 24
+#: Documents of a block that is compared at once, bits of the map of needed documents.
+TILE, MAP_BITS = 512, 1 << 24
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -374,15 +374,22 @@ def _near(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: list[dict[int
                 yield int(ids[p[i]]), int(ids[second[j]])
 
 
-def _cross(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) between components of the same key; members:
-    key, x, c, n, sigs. Keys of many members are split into pairs of tiles."""
+def _cross(members: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) between components of the same key. members:
+    key, x; known: x, c (component), root, n, sigs. Documents lie in blocks of
+    about TILE by their root (the candidate that they share most keys with);
+    two blocks that meet in a key are compared once, whatever the number of
+    keys, so a document's signature goes to a task for each such block."""
     parts = shuffle_parts(members.sparkSession)
-    tiles = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
-    rows = members.join(tiles, "key").withColumn("m", F.pmod(F.xxhash64("x"), F.col("t")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    side = F.when(F.col("m") == F.col("o"), 2).when(F.col("m") < F.col("o"), 0).otherwise(1)
-    rows = rows.select("key", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), side.alias("side"), "x", "c", "n", "sigs")
-    rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    size = known.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
+    block = F.xxhash64("root", F.pmod(F.xxhash64("x"), F.col("t")))
+    placed = materialize(known.join(size, "root").select("x", "c", "n", "sigs", block.alias("blk")), "placed")
+    met = members.join(placed.select("x", "blk"), "x").select("key", "blk").distinct()
+    tiles = met.join(met.withColumnRenamed("blk", "blk2"), "key").where("blk <= blk2").select(F.col("blk").alias("i"), F.col("blk2").alias("j")).distinct()
+    ends = tiles.select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("blk"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("blk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("blk"), F.lit(1).alias("side"))))).alias("e"))
+    ends = materialize(ends.select("i", "j", "e.blk", "e.side"), "tiles")
+    rows = ends.join(placed, "blk").select("i", "j", "side", "x", "c", "n", "sigs")
+    rows = rows.repartition(parts, "i", "j").sortWithinPartitions("i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, found = None, [], set()
@@ -399,13 +406,13 @@ def _cross(members: DataFrame, num: int, den: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(8))):
-                if row[:3] != at:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if row[:2] != at:
                     close()
-                    at, held = row[:3], []
+                    at, held = row[:2], []
                     if len(found) > 100_000:
                         yield flush()
-                held.append(row[3:])
+                held.append(row[2:])
         close()
         yield flush()
 
@@ -434,8 +441,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     members = stars.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("x")).distinct()
     members = materialize(members, "members")
     known = members.select("x").distinct().join(label, F.col("x") == F.col("id"), "left").select("x", F.coalesce("component_id", "x").alias("c"))
-    known = known.join(sets.select(F.col("id").alias("y"), "n", "sigs"), F.col("x") == F.col("y")).select("x", "c", "n", "sigs")
-    cross = _cross(members.join(known, "x"), num, den).join(best, ["a", "b"], "left_anti")
+    known = known.join(best.select(F.col("b").alias("z"), F.col("a").alias("root")), F.col("x") == F.col("z"), "left").select("x", "c", F.coalesce("root", "x").alias("root"))
+    known = known.join(sets.select(F.col("id").alias("y"), "n", "sigs"), F.col("x") == F.col("y")).select("x", "c", "root", "n", "sigs")
+    cross = _cross(members, known, num, den).join(best, ["a", "b"], "left_anti")
     cross = materialize(cross, "cross")
     if not cross.isEmpty():
         more = materialize(_verify(cross, sets, num, den), "links")
