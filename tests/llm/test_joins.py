@@ -66,7 +66,8 @@ def corpus():
 
 
 @pytest.mark.parametrize("k, num, den", [(4, 85, 100), (5, 80, 100)])
-def test_jaccard_join(spark, k, num, den):
+def test_jaccard_join(spark, monkeypatch, k, num, den):
+    monkeypatch.setattr(setjoin, "TILE", 8 if k == 4 else 512)  # many pairs of blocks, and few
     rows = corpus()
     docs = spark.createDataFrame([(*r, 1, b"") for r in rows] + [(None, rows[0][1], 1, b""), (0, rows[0][1], 1, b"")], "doc_id long, text string, kind int, blob binary").repartition(6)
     sets = shingle_sets(rows, k)
