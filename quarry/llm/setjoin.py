@@ -53,6 +53,8 @@ from quarry.llm.components import components
 RATIO, LOW, DEFICIENT = 1.4, 2, 1e-2
 #: Documents of a block that is compared at once, bits of the map of needed documents.
 TILE, MAP_BITS = 512, 1 << 24
+#: Routes of at most so many rows (some 10 MB) are broadcast.
+FEW, HOPS = 200_000, 4
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -323,7 +325,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_task: int
     left = count.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(False).alias("second"))
     right = pairs.join(count, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("part"), F.lit(True).alias("second"))
     routes = materialize(left.union(right), "routes")
-    met = routes.join(sets.select("id", "blob"), "id").repartition(parts, "a", "part").sortWithinPartitions("a", "part", "second")
+    # few routes go to the sets, many meet them by a shuffle
+    few = routes.count() <= FEW
+    met = (F.broadcast(routes) if few else routes).join(sets.select("id", "blob"), "id").select("id", "a", "part", "second", "blob")
+    met = met.repartition(parts, "a", "part").sortWithinPartitions("a", "part", "second")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, firsts = None, []
@@ -347,7 +352,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_task: int
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return met.select("id", "a", "part", "second", "blob").mapInArrow(compare, "a long, b long")
+    return met.mapInArrow(compare, "a long, b long")
 
 
 def _near(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: list[dict[int, bytes]], side: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -377,8 +382,8 @@ def _near(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: list[dict[int
 def _cross(members: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs (a, b) between components of the same key. members:
     key, x; known: x, c (component), root, n, sigs. Documents lie in blocks of
-    about TILE by their root (the candidate that they share most keys with);
-    two blocks that meet in a key are compared once, whatever the number of
+    about TILE by their root (found by HOPS steps to the candidate that each
+    shares most keys with); two blocks that meet in a key are compared once, whatever the number of
     keys, so a document's signature goes to a task for each such block."""
     parts = shuffle_parts(members.sparkSession)
     size = known.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
@@ -441,7 +446,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     members = stars.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("x")).distinct()
     members = materialize(members, "members")
     known = members.select("x").distinct().join(label, F.col("x") == F.col("id"), "left").select("x", F.coalesce("component_id", "x").alias("c"))
-    known = known.join(best.select(F.col("b").alias("z"), F.col("a").alias("root")), F.col("x") == F.col("z"), "left").select("x", "c", F.coalesce("root", "x").alias("root"))
+    known = known.withColumn("root", F.col("x"))
+    up = best.select(F.col("b").alias("z"), F.col("a").alias("up"))  # a is always the smaller id
+    for _ in range(HOPS):
+        known = known.join(up, F.col("root") == F.col("z"), "left").select("x", "c", F.coalesce("up", "root").alias("root"))
     known = known.join(sets.select(F.col("id").alias("y"), "n", "sigs"), F.col("x") == F.col("y")).select("x", "c", "root", "n", "sigs")
     cross = _cross(members, known, num, den).join(best, ["a", "b"], "left_anti")
     cross = materialize(cross, "cross")
