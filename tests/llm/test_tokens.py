@@ -173,3 +173,27 @@ def test_empty_tables(spark):
     assert token_counts.count_tokens(none).count() == 0
     assert sstable.write_and_read(spark, none).count() == 0
     assert packing.pack(none).count() == 0
+
+
+def test_packing_retrieves_over_all_shards(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for group in range(12):  # four documents of each subject, which hashes deal over the shards
+        own = words[group * 30 : group * 30 + 30]
+        rows += [(len(rows) + j, " ".join(rng.choice(own) for _ in range(60))) for j in range(4)]
+    docs, found = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for shard_docs in (4, 1024):
+        by_sequence = {}
+        for r in packing.pack(docs, window=600, shard_docs=shard_docs, batch=8, page=3).collect():
+            by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["doc_id"]))
+        found.append([[d for _, d in sorted(by_sequence[s])] for s in sorted(by_sequence)])
+    assert found[0] == found[1]  # whatever the shards
+    for mine in found[0][:4]:
+        assert all(sum(d // 4 == m // 4 for m in mine) >= 2 for d in mine[:2])
+
+
+def test_packing_pages_until_the_window_is_full():
+    docs = [np.array([5, 6, 7 + k % 2], dtype=np.uint16) for k in range(60)]
+    first = [d for d, _, _ in packing.pack_shard(docs, window=90, page=4)[0]]
+    assert first == list(range(0, 60, 2))  # all thirty of its kind, more than a page
