@@ -61,6 +61,61 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC0-1.0", ["CC0Ref"]),
     ("all-rights-reserved", ["Reserved"]),
 ]
+_BY = ("Licensed under", "Released under", "Distributed under", "This work is licensed under")
+_FREE = "you can redistribute it and/or modify it under the terms of the"
+_OF_FSF = "as published by the Free Software Foundation"
+
+
+def _by(*names: str) -> list[str]:
+    return [f"{by} {name}." for by in _BY for name in names]
+
+
+def _free(rest: str) -> list[str]:
+    """The grant of the GNU headers; after a colon it is a sentence by itself."""
+    return [f"{_FREE} {rest}", *(f"This {x} is free software; {_FREE} {rest}" for x in ("program", "library", "file", "software", "package"))]
+
+
+def _later(name: str, version: str) -> list[str]:
+    return _free(f"{name} {_OF_FSF}, either version {version} of the License, or (at your option) any later version.")
+
+
+_GPL, _LGPL, _AGPL = (f"GNU {x}General Public License" for x in ("", "Lesser ", "Affero "))
+#: The standard headers and texts as they are published, and further forms of the notices above. The SQL
+#: (oracle) has only the sentences and rules above.
+STANDARD: dict[str, list[str]] = {
+    "ApacheHeader": [f'{by} the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.' for by in ("Licensed under", "The ASF licenses this file to You under", "The ASF licenses this file to you under")],
+    "ApacheRef": [*_by("the Apache License, Version 2.0"), 'Licensed under the Apache License, Version 2.0 (the "License");'],
+    "ApacheObtain": ["You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "MITRef": _by("the MIT License"),
+    "MITNotice": ["The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."],
+    "BSDEndorse": ["The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."],
+    "GPL3Ref": _by(f"the {_GPL}, version 3", f"the {_GPL} version 3", f"the {_GPL} v3.0"),
+    "GPL2Ref": _by(f"the {_GPL}, version 2", f"the {_GPL} version 2", f"the {_GPL} v2.0"),
+    "LGPLRef": _by(f"the {_LGPL}, version 3", f"the {_LGPL} version 3", f"the {_LGPL} v3.0"),
+    "MPL2Ref": _by("the Mozilla Public License, version 2.0", "the Mozilla Public License, v. 2.0", "the Mozilla Public License 2.0"),
+    "CCBYNC4Ref": _by("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CCBYSA4Ref": _by("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CCBY4Ref": _by("CC BY 4.0", "a Creative Commons Attribution 4.0 International License"),
+    "CC0Ref": _by("CC0 1.0"),
+    "GPL3LaterGrant": _later(_GPL, "3"),
+    "GPL2LaterGrant": _later(_GPL, "2"),
+    "LGPL3LaterGrant": _later(_LGPL, "3"),
+    "LGPL21LaterGrant": _later(_LGPL, "2.1"),
+    "AGPL3LaterGrant": _later(_AGPL, "3"),
+    "GPL3OnlyGrant": _free(f"{_GPL} version 3 {_OF_FSF}."),
+    "GPL2OnlyGrant": _free(f"{_GPL} version 2 {_OF_FSF}."),
+    "GPLWarranty": [f"This {x} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE." for x in ("library", "file", "software", "package")],
+}
+#: Rules of the standard headers; they go before the rules above.
+STANDARD_RULES: list[tuple[str, list[str]]] = [
+    *(("Apache-2.0", [*head, *rest]) for head in (["ApacheHeader"], ["ApacheRef", "ApacheMayNot"]) for rest in (["ApacheObtain", "ApacheAsIs"], ["ApacheObtain"], [])),
+    *((name, [grant, *rest]) for name, grant in (
+        ("GPL-3.0-or-later", "GPL3LaterGrant"), ("GPL-2.0-or-later", "GPL2LaterGrant"), ("LGPL-3.0-or-later", "LGPL3LaterGrant"), ("LGPL-2.1-or-later", "LGPL21LaterGrant"),
+        ("AGPL-3.0-or-later", "AGPL3LaterGrant"), ("GPL-3.0-only", "GPL3OnlyGrant"), ("GPL-2.0-only", "GPL2OnlyGrant"),
+    ) for rest in (["GPLWarranty"], [])),
+]
+ALL_SENTENCES = {k: SENTENCES.get(k, []) + STANDARD.get(k, []) for k in {**SENTENCES, **STANDARD}}
+ALL_RULES = STANDARD_RULES + RULES
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,14 +130,32 @@ def known(sentences: dict[str, list[str]]) -> dict[str, str]:
     return {normal(form): name for name, forms in sentences.items() for form in forms}
 
 
+#: Where sentences break, in order.
+BREAKS = [
+    (r"(?m)^[ \t]*+(?:(?:/[*/]|[*#;%>|•·–-])++[ \t]*+)++", ""),
+    (r"(?m)^([ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4})|(?:\(c\)|©)[ \t]*[0-9]{4})[^\r\n]*)$", "$1\n\n"),
+    (r"(?m)^([ \t]*<?https?://[^ \t\r\n]+[ \t\r]*)$", "\n\n$1\n\n"),
+    (r"(/licenses/license-2\.0(?:\.txt|\.html)?)[ \t]+", "$1\n\n"),
+    (r"(^|[.!?:;][ \t\r]*\n|\b(?:and|or)[ \t\r]*\n|\n[ \t\r]*\n)[ \t]*(?:\(?[0-9]{1,2}[.)]|\(?[a-z][.)])[ \t]+", "$1\n\n"),
+    (r"([.!?:])[ \t\r\n]+([a-z\"(])", "$1\n\n$2"),
+    (r"(?<![^a-z]v)([.!?:][ \t\r]*\n)([ \t\r\n]*[0-9])", "$1\n$2"),
+]
+ENDORSE = "^neither the names? of .{1,120}? nor the names of (?:its|any|their|other) contributors may"
+
+
 def _sentences(text: Column, table: Column) -> Column:
-    """Normalised sentences. A stop or colon ends one before blanks or a line
-    end and then a letter, a double quote or a bracket (so not in `v. 2.0`),
-    and so does an empty line. Sentences may go over several lines; where one
-    isn't known, its lines are looked at by themselves."""
+    """Normalised sentences. Marks of comments and lists that begin a line are
+    taken away; what follows a list's number, a copyright line or a line of an
+    address alone is looked at by itself. A stop or colon ends a sentence
+    before blanks or a line end and then a letter, a double quote or a bracket
+    (so not in `v. 2.0`), or at a line end before a digit, and so does an empty
+    line. Sentences may go over several lines; where one isn't known, its lines
+    are looked at by themselves."""
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    parts = F.split(F.regexp_replace(lower, r"([.!?:])[ \t\r\n]+([a-z\"(])", "$1\n\n$2"), r"\n[ \t\r]*\n[ \t\r\n]*")
-    plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+    for pattern, put in BREAKS:
+        lower = F.regexp_replace(lower, pattern, put)
+    parts = F.split(lower, r"\n[ \t\r]*\n[ \t\r\n]*")
+    plain = lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), ENDORSE, "neither the name of the copyright holder nor the names of its contributors may")
     return F.flatten(F.transform(parts, lambda s: F.when(F.map_contains_key(table, plain(s)), F.array(plain(s))).otherwise(F.transform(F.split(s, r"[\r\n]+"), plain))))
 
 
@@ -90,16 +163,17 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
     """doc_id, n_sentences (known ones), sentence_ids (in order, by commas),
     licenses (in rule order, by commas), unmatched (identifiers that no rule
     has taken)."""
-    by_text = known(sentences or SENTENCES)
+    by_text = known(sentences or ALL_SENTENCES)
     table = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
+    rules = rules or (RULES if sentences else ALL_RULES)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _sentences(F.col("text").cast("string"), table).alias("s"))
     found = found.select("doc_id", F.transform(F.filter("s", lambda s: F.map_contains_key(table, s)), lambda s: F.element_at(table, s)).alias("ids"))
     found = found.withColumn("left", F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda x: F.concat(x, F.lit(" "))), "")))
     hits = []
-    for k, (_, sequence) in enumerate(rules or RULES):
+    for k, (_, sequence) in enumerate(rules):
         mark = " " + " ".join(sequence) + " "
         found = found.withColumn(f"r{k}", F.col("left").contains(mark)).withColumn("left", F.replace("left", F.lit(mark), F.lit(" | ")))
-        hits.append(F.when(F.col(f"r{k}"), F.lit((rules or RULES)[k][0])))
+        hits.append(F.when(F.col(f"r{k}"), F.lit(rules[k][0])))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ",").alias("licenses"), F.trim(F.regexp_replace(F.replace("left", F.lit("|"), F.lit("")), " +", " ")).alias("unmatched"))
 
 

@@ -102,3 +102,57 @@ def test_license_table(spark):
     """Every known sentence is one sentence to the splitter."""
     rows = spark.createDataFrame([(i, f) for i, f in enumerate(f for forms in licenses.SENTENCES.values() for f in forms)], "doc_id long, text string")
     assert licenses.scan(rows).where("n_sentences <> 1").collect() == []
+
+
+APACHE = """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Copyright (c) 2020, Some Body
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+{0} Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+{1} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{2} Neither the name of the {3} nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"."""
+
+
+def test_standard_license_texts(spark):
+    comment = lambda text, mark: "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+    cases = [
+        ("Apache-2.0", APACHE), ("Apache-2.0", comment(APACHE, "#")), ("Apache-2.0", comment(APACHE, " *")), ("Apache-2.0", comment(APACHE, "//")), ("Apache-2.0", " ".join(APACHE.split()[4:])), ("Apache-2.0", APACHE.replace("\n", "\r\n")),
+        ("GPL-3.0-or-later", GPL.format(":", ",", 3)), ("GPL-2.0-or-later", GPL.format(";", ";", 2)), ("GPL-2.0-or-later", comment(GPL.format(";", ";", 2), ";;")),
+        ("LGPL-2.1-or-later", GPL.format(";", ";", "2.1").replace("General", "Lesser General").replace("program", "library")), ("AGPL-3.0-or-later", GPL.format(":", ",", 3).replace("General", "Affero General")),
+        ("BSD-3-Clause", BSD.format("1.", "2.", "3.", "copyright holder")), ("BSD-3-Clause", BSD.format("*", "*", "*", "University of Somewhere")), ("BSD-3-Clause", comment(BSD.format("(a)", "(b)", "(c)", "author"), "#")),
+        ("BSD-2-Clause", BSD.format("-", "-", "-", "x").replace("Neither", "Not")),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+        ("GPL-2.0-only", "Released under the GNU General Public License, version 2."), ("LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."),
+        ("MPL-2.0", "Released under the Mozilla Public License, version 2.0."), ("CC-BY-4.0", "Released under CC BY 4.0."), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v.\n2.0."), ("", "Words of it. 2. Other words.\n3 more (a) words"),
+    ]
+    out = licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert [(r["licenses"], r["unmatched"]) for r in sorted(out, key=lambda r: r["doc_id"])] == [(name, "") for name, _ in cases]
