@@ -168,13 +168,13 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
     rules = rules or (RULES if sentences else ALL_RULES)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _sentences(F.col("text").cast("string"), table).alias("s"))
     found = found.select("doc_id", F.transform(F.filter("s", lambda s: F.map_contains_key(table, s)), lambda s: F.element_at(table, s)).alias("ids"))
-    found = found.withColumn("left", F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda x: F.concat(x, F.lit(" "))), "")))
+    found = found.withColumn("left", F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     hits = []
     for k, (_, sequence) in enumerate(rules):
-        mark = " " + " ".join(sequence) + " "
-        found = found.withColumn(f"r{k}", F.col("left").contains(mark)).withColumn("left", F.replace("left", F.lit(mark), F.lit(" | ")))
+        mark = "".join(f"<{x}>" for x in sequence)  # no sign is shared, so adjacent ones all match
+        found = found.withColumn(f"r{k}", F.col("left").contains(mark)).withColumn("left", F.replace("left", F.lit(mark), F.lit("|")))
         hits.append(F.when(F.col(f"r{k}"), F.lit(rules[k][0])))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ",").alias("licenses"), F.trim(F.regexp_replace(F.replace("left", F.lit("|"), F.lit("")), " +", " ")).alias("unmatched"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ",").alias("licenses"), F.trim(F.regexp_replace("left", "[<>|]+", " ")).alias("unmatched"))
 
 
 def oracle(sentences: dict[str, list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> str:

@@ -156,3 +156,14 @@ def test_standard_license_texts(spark):
     ]
     out = licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()
     assert [(r["licenses"], r["unmatched"]) for r in sorted(out, key=lambda r: r["doc_id"])] == [(name, "") for name, _ in cases]
+
+
+def test_repeated_licenses(spark):
+    of = lambda *names: "\n\n".join(licenses.SENTENCES[n][0] for n in names)
+    bsd = ("BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse")
+    cases = [
+        (of(*bsd, *bsd), "BSD-3-Clause", ""), (of(*bsd, *bsd[:3], *bsd), "BSD-3-Clause,BSD-2-Clause", ""), (of(*["GPL3Ref", "GPLLater"] * 2), "GPL-3.0-or-later", ""), (of(*["MITRef"] * 5), "MIT", ""),
+        (of("GPLLater", "MITRef", "MITRef", "GPLLater", "BSDGrant"), "MIT", "GPLLater GPLLater BSDGrant"),
+    ]
+    out = licenses.scan(spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert [(r["licenses"], r["unmatched"]) for r in sorted(out, key=lambda r: r["doc_id"])] == [(name, left) for _, name, left in cases]
