@@ -179,7 +179,12 @@ def _segments(s: np.ndarray, v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndar
     return seg, counts, sums
 
 
-DOCS, KEYS, LINKS, STARS = 0, 1, 2, 3
+DOCS, KEYS, LINKS, STARS, GROUPS = 0, 1, 2, 3, 4
+
+
+def _mark(ids: np.ndarray) -> np.ndarray:
+    """Hashes of ids, none of them 0; their sum tells a key's members."""
+    return mix(ids.view(np.uint64) + _STEP) | np.uint64(1)
 
 
 def _blob(*columns: np.ndarray) -> bytes:
@@ -229,13 +234,19 @@ def _emit(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFram
                     again = doc != least
                     if again.any():
                         rows_out.append((turn % buckets, STARS, _blob(key[again], least[again], doc[again])))
+                    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                    marks, several = np.add.reduceat(_mark(doc), head).view(np.int64), np.diff(np.r_[head, len(key)]) > 1
                     key, doc = key[~again], doc[~again]
                     at = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(at, kind="stable")
-                    key, doc, at = key[order], doc[order], at[order]
+                    key, doc, at, marks, several = key[order], doc[order], at[order], marks[order], several[order]
                     head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
                     for i, j in zip(head, [*head[1:], len(at)]):
-                        rows_out.append((int(at[i]), KEYS, _blob(key[i:j], doc[i:j])))
+                        one, more = i + np.flatnonzero(~several[i:j]), i + np.flatnonzero(several[i:j])
+                        if len(one):
+                            rows_out.append((int(at[i]), KEYS, _blob(key[one], doc[one])))
+                        if len(more):  # with the mark of the slice's members
+                            rows_out.append((int(at[i]), GROUPS, _blob(key[more], doc[more], marks[more])))
                 a, b, c = zip(*rows_out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["bucket", "kind", "blob"])
 
@@ -257,16 +268,18 @@ def _meet(packed: DataFrame, parts: int) -> DataFrame:
             if held:
                 both = np.concatenate(held, axis=1)
                 key, doc, least = _runs(both[0], both[1])
-                # of keys with the same members one says it all
+                # of keys with the same members, those inside slices included, one says it all
+                order = np.argsort(both[0], kind="stable")
+                marks = np.add.reduceat(both[2][order].view(np.uint64), np.flatnonzero(np.r_[True, np.diff(both[0][order]) != 0]))
                 head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 size = np.diff(np.r_[head, len(key)])
-                many = np.repeat(size > 1, size)
+                marks, many = marks[size > 1], np.repeat(size > 1, size)
                 key, doc, least = key[many], doc[many], least[many]
                 if len(key):
                     head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                     size = np.diff(np.r_[head, len(key)])
                     first = np.zeros(len(head), dtype=bool)
-                    first[np.unique(np.add.reduceat(mix(doc.view(np.uint64)), head), return_index=True)[1]] = True
+                    first[np.unique(marks, return_index=True)[1]] = True
                     again = (doc != least) & np.repeat(first, size)
                     yield rows(STARS, key[again], least[again], doc[again])
 
@@ -277,7 +290,10 @@ def _meet(packed: DataFrame, parts: int) -> DataFrame:
                     yield from close()
                     bucket, held = at, []
                 if kind == KEYS:
-                    held.append(_columns(blob, 2))
+                    key, doc = _columns(blob, 2)
+                    held.append(np.stack([key, doc, _mark(doc).view(np.int64)]))
+                elif kind == GROUPS:
+                    held.append(_columns(blob, 3))
                 elif kind == LINKS:
                     a, b = _columns(blob, 2)
                     yield rows(LINKS, np.zeros(len(a), dtype=np.int64), a, b)

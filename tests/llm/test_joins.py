@@ -99,6 +99,36 @@ def test_keys_miss_no_link():
     assert linked > 1000
 
 
+def stars_of(spark, *rows):
+    """Stars of one bucket's rows of (kind, columns)."""
+    packed = [(0, kind, bytearray(setjoin._blob(*np.array(columns, dtype=np.int64)))) for kind, columns in rows]
+    found = setjoin._meet(spark.createDataFrame(packed, "bucket int, kind int, blob binary"), 2)
+    return {(r["key"], r["a"], r["b"]) for r in found.where(f"kind = {setjoin.STARS}").collect()}
+
+
+def test_keys_merge_only_with_equal_members(spark):
+    # document 0 holds key 5 alone; keys 6 and 7 have the same members as 3
+    found = stars_of(spark, (setjoin.KEYS, [[5], [0]]), (setjoin.KEYS, [[3, 5, 6, 7], [7] * 4]), (setjoin.KEYS, [[3, 5, 6, 7], [9] * 4]))
+    assert found == {(3, 7, 9), (5, 0, 7), (5, 0, 9)}
+
+
+def test_keys_of_slices_count_all_members(spark):
+    words = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join(words[:j] + [f"x{i}"] + words[j + 1 :])) for i, j in ((0, 3), (1, 70), (2, 40))]
+    rows = setjoin._emit(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), 4, 60, 100, 1).collect()
+    columns = lambda kind, n: np.concatenate([setjoin._columns(bytes(r["blob"]), n) for r in rows if r["kind"] == kind], axis=1)
+    inside = {}
+    for key, a, b in columns(setjoin.STARS, 3).T.tolist():
+        inside.setdefault(key, {a}).add(b)
+    key, _, mark = columns(setjoin.GROUPS, 3)
+    assert set(key.tolist()) == set(inside) and len({tuple(sorted(x)) for x in inside.values()}) > 1
+    for k, m in zip(key.tolist(), mark.tolist()):
+        assert int(setjoin._mark(np.array(sorted(inside[k]))).sum().astype(np.int64)) == m
+    # of two keys with documents 7 and 9, one has 8 besides 7 in its slice
+    own = setjoin._mark(np.array([7, 8])).sum().astype(np.int64)
+    assert stars_of(spark, (setjoin.GROUPS, [[5], [7], [own]]), (setjoin.KEYS, [[3], [7]]), (setjoin.KEYS, [[3, 5], [9, 9]])) == {(3, 7, 9), (5, 7, 9)}
+
+
 def test_jaccard_join_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert setjoin.jaccard_components(none).count() == 0 and setjoin.keep_one(none).count() == 0
