@@ -478,7 +478,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
 def keep_one(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """The rows of docs, all columns, but for those whose component has a
-    smaller doc_id: one document of each group stays."""
+    smaller doc_id: one document of each group stays. Repeated rows of that
+    document all stay, and so do rows without doc_id, copies or not."""
     found = jaccard_components(docs, k, num, den)
     gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

@@ -99,6 +99,12 @@ def test_keys_miss_no_link():
     assert linked > 1000
 
 
+def test_keep_one_keeps_repeated_rows_and_rows_without_id(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None)]
+    kept = setjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[0], rows[1], rows[3], rows[4]]))
+
+
 def stars_of(spark, *rows):
     """Stars of one bucket's rows of (kind, columns)."""
     packed = [(0, kind, bytearray(setjoin._blob(*np.array(columns, dtype=np.int64)))) for kind, columns in rows]
