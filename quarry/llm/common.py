@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_remove, found.removeprefix("file://"))
-    if "://" not in found and not found.startswith("file:"):
-        found = "file://" + os.path.abspath(found)
-    return found.rstrip("/")
+    # a path without a scheme is one of the default file system, as Spark itself takes it
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", found).rstrip("/")
 
 
 def importable(spark: SparkSession) -> None:
@@ -51,7 +53,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     from files that outlive any executor."""
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes tables that materialize has written and nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(docs: DataFrame) -> DataFrame:

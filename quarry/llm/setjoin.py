@@ -1,44 +1,50 @@
 """Operator 6, an n-gram Jaccard join by universe-partition pigeonhole.
 
-Sets of word shingles fall into size bands; linked sets lie in the same band
-or in neighbouring ones, so a set also shows up in the next band if it is
-large enough. Sets of a band that link differ by at most T shingles. A hash
-partitions the shingle universe into segments, and one of two allocations
-serves a band, whichever costs fewer keys:
-
-exact    T + 1 + e segments: at least 1 + e of them hold the same subset in
-         both sets. Subsets of fewer than two shingles say little and would
-         meet too often, so they get no key; e is chosen so that all but about
-         one set in a hundred have at most e of them, and if either set does,
-         a shared key remains. Sets that have more (for pairs of two such
-         sets) also get the keys of the other allocation.
+Sets of word shingles fall into size bands; a set also shows up in the bands
+above in which a linked set could lie. Sets of a band that link differ by at
+most T shingles. A hash partitions the shingle universe into segments, and one
+of two allocations serves a band, whichever costs fewer keys:
+
+exact    T + 1 + e + h segments: at least 1 + e + h of them hold the same
+         subset in both sets. Empty subsets get no key; e is chosen so that
+         nearly all sets have at most e of them. If either set does, 1 + h
+         shared keys remain. Sets that have more (for pairs of two such sets)
+         also get the keys of the other allocation.
 deletion (T + 1) / 2 segments: at least one differs by at most one shingle, so
          one set's subset is the other's, or its one-deletion neighbour. The
          keys are all subsets and all their one-deletion neighbours.
 
+A key of more than HOT documents is hot. A document with at most h hot keys in
+a band shares some other key with each set it links with there, so hot keys
+are followed only among documents that have more, and for deletion keys; a
+passage that a third of all documents hold costs those documents nothing.
+
 Keys travel packed, by bucket, each batch having met its own repeated keys
 first. Sets that share a key are candidates of the key's smallest document
-(a star, never all pairs of a key). First each document is verified exactly,
-on its whole shingle set, against the candidate it shares most keys with. Keys
-whose members then still lie in different components are compared between
-those components, by pairs of blocks, by signatures: a byte for each of many segments of
-which linked sets differ in no more segments than in shingles. Only pairs that
-pass leave the task, and all of them are verified exactly. Pairs inside one
-component can't change the result, so no link between components is lost,
-whatever the sizes of groups.
+(a star, never all pairs of a key). First each document is compared with the
+candidate it shares most keys with. Documents of keys that then still lie in
+different components are compared around their key's centre, in blocks of TILE,
+by signatures: a byte for each segment, of which linked sets differ in no more
+than in shingles. Where few pairs pass, these leave the task and are verified
+exactly on whole sets; where many pass, as in a large group of near copies, the
+block's whole sets are sent there, all its pairs are verified exactly in the task, and
+only links that join components leave it. Blocks of one component alone aren't
+compared, as pairs inside a component can't change the result. So no link
+between components is lost, whatever the sizes of groups.
 
 Shingles are compared by 64-bit hashes. Words are as the contract has them:
 A-Z lower-cased, runs of anything but ASCII white space. Null and empty texts
-have an empty set, n_shingles 0, and are linked with nothing; rows of one
-doc_id count as one document; rows without doc_id are returned as they are,
-their component null.
+have an empty set, n_shingles 0, and are linked with nothing, and so is every
+document of an empty table; very long texts have large sets like any other;
+ties between candidates go to the smaller doc_id; other columns, whatever their
+names, are not read. Rows of one doc_id count as one document; rows without
+doc_id are returned as they are, their component null.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +53,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe_codec import in_slices
-from quarry.llm.common import materialize, shuffle_parts, texts
-from quarry.llm.components import components
-
-RATIO, LOW, DEFICIENT = 1.4, 2, 1e-2
-#: Documents of a block that is compared at once, bits of the map of needed documents.
-TILE, MAP_BITS = 512, 1 << 24
-#: Routes of at most so many rows (some 10 MB) are broadcast.
+from quarry.llm.common import discard, materialize, shuffle_parts, texts
+from quarry.llm.components import UnionFind, components
+
+#: Ratio of a band's sizes, segments kept for hot keys (a share), a key's documents before it is hot.
+RATIO, SPARE, HOT = 1.4, 0.1, 64
+#: Documents of a block that is compared at once, bits of the map of needed documents, characters a bucket.
+TILE, MAP_BITS, BUCKET_CHARS = 512, 1 << 24, 1 << 24
+#: Routes of at most so many rows (some 10 MB) are broadcast; steps to the root of a hot key's centre.
 FEW, HOPS = 200_000, 4
+#: Low bits of a key: its band, and whether it is one of the deletion allocation.
+TAG = np.uint64(127)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,8 +98,8 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.lower: list[int] = [1]
+        self.known: dict[int, tuple[int, int, int, int]] = {}
 
-    @lru_cache(maxsize=4096)
     def band(self, b: int) -> tuple[int, int]:
         """Smallest and largest size of band b."""
         while len(self.lower) < b + 2:
@@ -98,75 +107,79 @@ class Bands:
         return self.lower[b], self.lower[b + 1] - 1
 
     def of(self, size: int) -> list[int]:
-        """The bands of a size: its own, and the next if a partner of that
-        band can be large enough."""
+        """The bands of a size: its own, and those above in which a linked set
+        can lie."""
         b = 0
         while self.band(b)[1] < size:
             b += 1
-        return [b, b + 1] if self.den * size >= self.num * self.band(b + 1)[0] else [b]
+        out = [b]
+        while self.den * size >= self.num * self.band(out[-1] + 1)[0]:
+            out.append(out[-1] + 1)
+        return out
 
     def most_apart(self, b: int) -> int:
         """T: the largest symmetric difference of linked sets of band b."""
         return (self.den - self.num) * 2 * self.band(b)[1] // (self.den + self.num)
 
-    @lru_cache(maxsize=4096)
-    def allocation(self, b: int) -> tuple[int, int, int]:
-        """(segments of the exact allocation or 0, its e, segments of the
-        deletion allocation)."""
-        least, most = self.band(b)
-        t = self.most_apart(b)
-        halves = (t + 2) // 2
+    def allocation(self, b: int) -> tuple[int, int, int, int]:
+        """(segments of the exact allocation or 0, its e, its h, segments of
+        the deletion allocation or 0)."""
+        if b not in self.known:
+            self.known[b] = self._allocate(b)
+        return self.known[b]
+
+    def _allocate(self, b: int) -> tuple[int, int, int, int]:
+        least, t = self.band(b)[0], self.most_apart(b)
         if t == 0:
-            return 1, 0, 0
-        for e in range(0, 3 * t + 3):
-            m = t + 1 + e
-            if m >= halves + most:
-                break
-            mean = least / m
-            p = math.exp(-mean) * (1 + mean)
-            if _binomial_tail(m, p, e) <= DEFICIENT:
-                return m, e, halves
-        return 0, 0, halves
-
-
-def _binomial_tail(n: int, p: float, k: int) -> float:
-    """P(more than k of n)."""
-    if n * p > k:
-        return 1.0
-    term = total = (1 - p) ** n
-    for i in range(k):
-        term *= (n - i) / (i + 1) * p / (1 - p)
-        total += term
-    return max(0.0, 1 - total)
-
-
-def set_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """All keys of one set, for each of its bands."""
-    out = []
+            return 1, 0, 0, 0
+        # e: the mean number of empty segments and 2.6 deviations; it and h grow with the number of segments
+        m = t + 2
+        while m <= 0.75 * least:
+            p = math.exp(-least / m)
+            e, h = math.ceil(m * p + 2.6 * math.sqrt(m * p * (1 - p))), max(1, math.ceil(SPARE * m))
+            if t + 1 + e + h <= m:
+                return m, m - t - 1 - h, h, (t + 2) // 2
+            m = t + 1 + e + h
+        return 0, 0, 0, (t + 2) // 2
+
+    def width(self, b: int) -> int:
+        """Bytes of a signature of band b."""
+        return self.allocation(b)[0] or 2 * self.most_apart(b) + 16
+
+    def split(self, size: int, sig: bytes) -> dict[int, bytes]:
+        """A document's signatures by band."""
+        out, at = {}, 0
+        for b in self.of(size):
+            out[b] = sig[at : at + self.width(b)]
+            at += self.width(b)
+        return out
+
+
+def _tagged(keys: np.ndarray, b: int, deletion: bool) -> np.ndarray:
+    return (keys & ~TAG) | np.uint64((b & 63) * 2 + deletion)
+
+
+def set_keys(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, bytes]:
+    """All keys of one set, for each of its bands, and its signatures."""
+    out, sigs = [], []
     v = mix(s + _STEP)
     for b in bands.of(len(s)):
-        exact, e, halves = bands.allocation(b)
-        salt = _salt(b * 2)
+        exact, e, _, halves = bands.allocation(b)
+        empty = e + 1
         if exact:
-            seg, counts, sums = _segments(s, v, exact)
-            low = counts < LOW if halves else counts < 0
-            out.append(mix(mix(sums[~low] + salt) + np.flatnonzero(~low).astype(np.uint64)))
-        if halves and (not exact or int(low.sum()) > e):
-            seg, counts, sums = _segments(s, v, halves)
+            _, counts, sums = _segments(s, v, exact)
+            held = np.flatnonzero(counts)
+            empty = exact - len(held) if exact > 1 else 0
+            out.append(_tagged(mix(mix(sums[held] + _salt(b * 2)) + held.astype(np.uint64)), b, False))
+            sigs.append(sums)
+        else:
+            sigs.append(_segments(s, v, bands.width(b))[2])
+        if halves and empty > e:
+            seg, _, sums = _segments(s, v, halves)
             base = _salt(b * 2 + 1)
-            out.append(mix(mix(sums + base) + np.arange(halves, dtype=np.uint64)))
-            out.append(mix(mix(sums[seg] - v + base) + seg.astype(np.uint64)))
-    return np.unique(np.concatenate(out))
-
-
-def signatures(s: np.ndarray, bands: Bands) -> list[tuple[int, bytes]]:
-    """(band, a byte for each segment) for each band of a set. Linked sets of
-    a band differ in no more segments than in shingles."""
-    v, out = mix(s + _STEP), []
-    for b in bands.of(len(s)):
-        sums = _segments(s, v, 2 * bands.most_apart(b) + 16)[2]
-        out.append((b, (mix(sums) >> np.uint64(56)).astype(np.uint8).tobytes()))
-    return out
+            out.append(_tagged(mix(mix(sums + base) + np.arange(halves, dtype=np.uint64)), b, True))
+            out.append(_tagged(mix(mix(sums[seg] - v + base) + seg.astype(np.uint64)), b, True))
+    return np.unique(np.concatenate(out)), b"".join((mix(x) >> np.uint64(56)).astype(np.uint8).tobytes() for x in sigs)
 
 
 def _segments(s: np.ndarray, v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +192,7 @@ def _segments(s: np.ndarray, v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndar
     return seg, counts, sums
 
 
-DOCS, KEYS, LINKS, STARS, GROUPS = 0, 1, 2, 3, 4
+DOCS, KEYS, LINKS, STARS, GROUPS, HOT_KEYS = 0, 1, 2, 3, 4, 5
 
 
 def _mark(ids: np.ndarray) -> np.ndarray:
@@ -195,17 +208,29 @@ def _columns(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, dtype=np.int64).reshape(n, -1)
 
 
-def _runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (key, id), and for each the key's smallest id."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])] if len(keys) else np.zeros(0, dtype=bool)
-    keys, ids = keys[new], ids[new]
-    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys, ids, np.repeat(ids[head], np.diff(np.r_[head, len(keys)]))
+def _pack(key: np.ndarray, doc: np.ndarray) -> bytes:
+    """Keys, and documents as offsets, in four bytes where that suffices."""
+    low = int(doc.min())
+    width = 4 if int(doc.max()) - low < 1 << 32 else 8
+    return np.array([low, width], dtype=np.int64).tobytes() + key.tobytes() + (doc - low).astype(f"<u{width}").tobytes()
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low, width = np.frombuffer(blob, dtype=np.int64, count=2)
+    n = (len(blob) - 16) // (8 + int(width))
+    return np.frombuffer(blob, dtype=np.int64, count=n, offset=16), np.frombuffer(blob, dtype=f"<u{width}", offset=16 + 8 * n).astype(np.int64) + low
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, dtype=np.int64)
 
 
 def _emit(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+    """Packed rows by bucket: documents, links of equal sets, stars inside a
+    slice, and keys: those of one document of the slice (KEYS), and those of
+    several, with the smallest one, their mark and number (GROUPS)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, turn = Bands(num, den), 0
         for batch in batches:
@@ -214,103 +239,137 @@ def _emit(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFram
                 sets = [shingles(t, k) for t in rows]
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 known: dict[bytes, int] = {}
+                sigs = [b""] * len(rows)
                 links, keys, owners = [], [], []
-                for s, doc in sorted(((s, names[first + i]) for i, s in enumerate(sets) if len(s) and names[first + i] is not None), key=lambda x: x[1]):
-                    mark = s.tobytes()
-                    if (same := known.setdefault(mark, doc)) != doc:
+                for at in sorted((i for i, s in enumerate(sets) if len(s) and names[first + i] is not None), key=lambda i: names[first + i]):
+                    doc, s = names[first + at], sets[at]
+                    if (same := known.setdefault(s.tobytes(), doc)) != doc:
                         links.append((same, doc))
                         continue
-                    keys.append(set_keys(s, bands))
-                    owners.append(np.full(len(keys[-1]), doc, dtype=np.int64))
-                rows_out: list[tuple[int, int, bytes]] = []
+                    found, sigs[at] = set_keys(s, bands)
+                    keys.append(found)
+                    owners.append(np.full(len(found), doc, dtype=np.int64))
+                rows_out: list[tuple[int, int, bytes, bytes | None]] = []
                 turn += 1
                 valid = np.array([names[first + i] is not None for i in range(len(rows))])
                 ids = np.array([names[first + i] or 0 for i in range(len(rows))], dtype=np.int64)
-                rows_out.append((turn % buckets, DOCS, _blob(ids, size, valid.astype(np.int64))))
+                signed = np.array([len(x) for x in sigs], dtype=np.int64)
+                rows_out.append((turn % buckets, DOCS, _blob(ids, size, valid.astype(np.int64), signed), b"".join(sigs)))
                 if links:
-                    rows_out.append((turn % buckets, LINKS, _blob(*np.array(links, dtype=np.int64).T)))
+                    rows_out.append((turn % buckets, LINKS, _blob(*np.array(links, dtype=np.int64).T), None))
                 if keys:
-                    key, doc, least = _runs(np.concatenate(keys).view(np.int64), np.concatenate(owners))
-                    again = doc != least
+                    key, doc = np.concatenate(keys).view(np.int64), np.concatenate(owners)
+                    order = np.lexsort((doc, key))
+                    key, doc = key[order], doc[order]
+                    new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
+                    key, doc = key[new], doc[new]
+                    head = _heads(key)
+                    n = np.diff(np.r_[head, len(key)])
+                    again = np.ones(len(key), dtype=bool)
+                    again[head] = False
                     if again.any():
-                        rows_out.append((turn % buckets, STARS, _blob(key[again], least[again], doc[again])))
-                    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                    marks, several = np.add.reduceat(_mark(doc), head).view(np.int64), np.diff(np.r_[head, len(key)]) > 1
-                    key, doc = key[~again], doc[~again]
-                    at = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(at, kind="stable")
-                    key, doc, at, marks, several = key[order], doc[order], at[order], marks[order], several[order]
-                    head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
-                    for i, j in zip(head, [*head[1:], len(at)]):
-                        one, more = i + np.flatnonzero(~several[i:j]), i + np.flatnonzero(several[i:j])
+                        rows_out.append((turn % buckets, STARS, _blob(key[again], np.repeat(doc[head], n)[again], doc[again]), None))
+                    mark = np.add.reduceat(_mark(doc), head).view(np.int64)
+                    key, doc = key[head], doc[head]
+                    bucket = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    key, doc, bucket, mark, n = key[order], doc[order], bucket[order], mark[order], n[order]
+                    start = _heads(bucket)
+                    for i, j in zip(start, [*start[1:], len(bucket)]):
+                        one, more = i + np.flatnonzero(n[i:j] == 1), i + np.flatnonzero(n[i:j] > 1)
                         if len(one):
-                            rows_out.append((int(at[i]), KEYS, _blob(key[one], doc[one])))
-                        if len(more):  # with the mark of the slice's members
-                            rows_out.append((int(at[i]), GROUPS, _blob(key[more], doc[more], marks[more])))
-                a, b, c = zip(*rows_out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["bucket", "kind", "blob"])
+                            rows_out.append((int(bucket[i]), KEYS, _pack(key[one], doc[one]), None))
+                        if len(more):
+                            rows_out.append((int(bucket[i]), GROUPS, _blob(key[more], doc[more], mark[more], n[more]), None))
+                a, b, c, e = zip(*rows_out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary()), pa.array(e, pa.binary())], names=["bucket", "kind", "blob", "sigs"])
 
-    return texts(docs).mapInArrow(run, "bucket int, kind int, blob binary")
+    return texts(docs).mapInArrow(run, "bucket int, kind int, blob binary, sigs binary")
 
 
 def _meet(packed: DataFrame, parts: int) -> DataFrame:
-    """kind, key, a, b: documents (key: valid id, a: id, b: set size), links
-    (a, b), and stars (key, its smallest document, another)."""
+    """kind, key, a, b, sig: documents (key: valid id, a: id, b: set size),
+    links (a, b), stars (key, its smallest document, another), hot keys."""
 
-    def rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    def rows(kind: int, *columns: np.ndarray, sig: list[bytes | None] | None = None) -> pa.RecordBatch:
         n = len(columns[0])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32)), *(pa.array(c) for c in columns)], names=["kind", "key", "a", "b"])
+        columns = [pa.array(np.full(n, kind, dtype=np.int32)), *(pa.array(c) for c in columns), pa.array(sig or [None] * n, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "a", "b", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                both = np.concatenate(held, axis=1)
-                key, doc, least = _runs(both[0], both[1])
-                # of keys with the same members, those inside slices included, one says it all
-                order = np.argsort(both[0], kind="stable")
-                marks = np.add.reduceat(both[2][order].view(np.uint64), np.flatnonzero(np.r_[True, np.diff(both[0][order]) != 0]))
-                head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                size = np.diff(np.r_[head, len(key)])
-                marks, many = marks[size > 1], np.repeat(size > 1, size)
-                key, doc, least = key[many], doc[many], least[many]
-                if len(key):
-                    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                    size = np.diff(np.r_[head, len(key)])
-                    first = np.zeros(len(head), dtype=bool)
-                    first[np.unique(marks, return_index=True)[1]] = True
-                    again = (doc != least) & np.repeat(first, size)
-                    yield rows(STARS, key[again], least[again], doc[again])
+            """The bucket's keys: (key, document, mark, documents) of all slices."""
+            if not held:
+                return
+            key, doc, mark, n = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.argsort(key, kind="stable")
+            key, doc, mark, n = key[order], doc[order], mark[order], n[order]
+            head = _heads(key)
+            size = np.diff(np.r_[head, len(key)])
+            total, marks, least = np.add.reduceat(n, head), np.add.reduceat(mark.view(np.uint64), head), np.minimum.reduceat(doc, head)
+            hot = total > HOT
+            if hot.any():
+                yield rows(HOT_KEYS, key[head][hot], least[hot], least[hot])
+            # of keys with the same members, those inside slices included, one says it all; hot ones are counted, so they stay
+            first = hot.copy()
+            several = np.flatnonzero((size > 1) & ~hot)
+            first[several[np.unique(marks[several], return_index=True)[1]]] = True
+            again = np.repeat(first, size) & (doc != np.repeat(least, size))
+            yield rows(STARS, key[again], np.repeat(least, size)[again], doc[again])
 
         for batch in batches:
-            for at, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for at, kind, blob, sigs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 blob = blob.as_py()
                 if at != bucket:
                     yield from close()
-                    bucket, held = at, []
+                    bucket = at
                 if kind == KEYS:
-                    key, doc = _columns(blob, 2)
-                    held.append(np.stack([key, doc, _mark(doc).view(np.int64)]))
+                    key, doc = _unpack(blob)
+                    held.append((key, doc, _mark(doc).view(np.int64), np.ones(len(key), dtype=np.int64)))
                 elif kind == GROUPS:
-                    held.append(_columns(blob, 3))
+                    held.append(tuple(_columns(blob, 4)))
                 elif kind == LINKS:
                     a, b = _columns(blob, 2)
                     yield rows(LINKS, np.zeros(len(a), dtype=np.int64), a, b)
                 elif kind == STARS:
                     yield rows(STARS, *_columns(blob, 3))
                 else:
-                    ids, size, valid = _columns(blob, 3)
-                    yield rows(DOCS, valid, ids, size)
+                    ids, size, valid, signed = _columns(blob, 4)
+                    ends, sigs = np.cumsum(signed).tolist(), sigs.as_py()
+                    yield rows(DOCS, valid, ids, size, sig=[sigs[j - i : j] or None for i, j in zip(signed.tolist(), ends)])
         yield from close()
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, key long, a long, b long")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, key long, a long, b long, sig binary")
+
 
+def _passing(pairs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose signatures let them link. The join that may be
+    skewed, on a, comes first, while its rows are short."""
+    left, right = (signed.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
+    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb")
 
-def _needed(docs: DataFrame, need: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """id, n, sigs, blob (signatures and whole shingle set) of the documents
-    in need, and of a few others: a bit map of fixed size tells which texts
-    are looked at, so that texts aren't shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            keep = []
+            for na, sa, nb, sb in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                low, high = sorted(((na, sa), (nb, sb)))
+                b = bands.of(high[0])[0]
+                x, y = bands.split(*low).get(b), bands.split(*high)[b]
+                apart = (den - num) * (na + nb) // (den + num)
+                keep.append(x is not None and den * low[0] >= num * high[0] and int((np.frombuffer(x, dtype=np.uint8) != np.frombuffer(y, dtype=np.uint8)).sum()) <= apart)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _needed(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """id, blob (the whole shingle set) of the documents in need, and of a few
+    others: a bit map of fixed size tells which texts are looked at, so that
+    texts aren't shuffled."""
     spark = docs.sparkSession
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
     words = need.select(place(F.col("id")).alias("h")).groupBy((F.col("h") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 32 AS INT))")).alias("m")).toArrow()
@@ -319,18 +378,15 @@ def _needed(docs: DataFrame, need: DataFrame, k: int, num: int, den: int) -> Dat
     shared = spark.sparkContext.broadcast(bits.tobytes())  # MAP_BITS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, held = Bands(num, den), np.frombuffer(shared.value, dtype=np.uint32)
-        kind = pa.list_(pa.struct([("band", pa.int32()), ("sig", pa.binary())]))
+        held = np.frombuffer(shared.value, dtype=np.uint32)
         for batch in batches:
             h = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((held[h // 32] >> (h % 32).astype(np.uint32)) & 1 == 1))
             for first, rows in in_slices(batch.column(1), rows=512, chars=1 << 22):
-                sets = [shingles(t, k) for t in rows]
-                sigs = [[{"band": b, "sig": x} for b, x in signatures(s, bands)] if len(s) else [] for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, kind), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "sigs", "blob"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array([shingles(t, k).tobytes() for t in rows], pa.binary())], names=["id", "blob"])
 
     rows = texts(docs).where(F.col("doc_id").isNotNull()).withColumn("h", place(F.col("doc_id")))
-    return rows.mapInArrow(run, "id long, n long, sigs array<struct<band:int,sig:binary>>, blob binary")
+    return rows.mapInArrow(run, "id long, blob binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_task: int = 4000) -> DataFrame:
@@ -371,13 +427,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_task: int
     return met.mapInArrow(compare, "a long, b long")
 
 
-def _near(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: list[dict[int, bytes]], side: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+def _near(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: list[dict[int, bytes]], side: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different components that their signatures let link; side: 0
     and 1 are compared with each other, 2 with all."""
     own = np.array([min(s) if s else -1 for s in sigs])
     for b in np.unique(own[own >= 0]):
         first = np.flatnonzero(own == b)
-        second = np.array([i for i in range(len(ids)) if b in sigs[i]])  # its own band or the one below
+        second = np.array([i for i in range(len(ids)) if b in sigs[i]])  # its own band or one below
         width = len(sigs[first[0]][b])
         x = np.frombuffer(b"".join(sigs[i][b] for i in first), dtype=np.uint8).reshape(-1, width)
         y = np.frombuffer(b"".join(sigs[i][b] for i in second), dtype=np.uint8).reshape(-1, width)
@@ -387,92 +443,175 @@ def _near(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: list[dict[int
             fits = (label[p, None] != label[second]) & ((side[p, None] != side[second]) | (side[second] == 2))
             fits &= (own[second] < b) | (p[:, None] < second)
             fits &= den * np.minimum(n[p, None], n[second]) >= num * np.maximum(n[p, None], n[second])
-            if not fits.any():
-                continue
-            most = (den - num) * (n[p, None] + n[second]) // (den + num)
-            fits &= (x[k : k + step, None] != y).sum(2) <= most
-            for i, j in zip(*np.nonzero(fits)):
-                yield int(ids[p[i]]), int(ids[second[j]])
-
-
-def _cross(members: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) between components of the same key. members:
-    key, x; known: x, c (component), root, n, sigs. Documents lie in blocks of
-    about TILE by their root (found by HOPS steps to the candidate that each
-    shares most keys with); two blocks that meet in a key are compared once, whatever the number of
-    keys, so a document's signature goes to a task for each such block."""
-    parts = shuffle_parts(members.sparkSession)
-    size = known.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
-    block = F.xxhash64("root", F.pmod(F.xxhash64("x"), F.col("t")))
-    placed = materialize(known.join(size, "root").select("x", "c", "n", "sigs", block.alias("blk")), "placed")
-    met = members.join(placed.select("x", "blk"), "x").select("key", "blk").distinct()
-    tiles = met.join(met.withColumnRenamed("blk", "blk2"), "key").where("blk <= blk2").select(F.col("blk").alias("i"), F.col("blk2").alias("j")).distinct()
-    ends = tiles.select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("blk"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("blk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("blk"), F.lit(1).alias("side"))))).alias("e"))
-    ends = materialize(ends.select("i", "j", "e.blk", "e.side"), "tiles")
-    rows = ends.join(placed, "blk").select("i", "j", "side", "x", "c", "n", "sigs")
-    rows = rows.repartition(parts, "i", "j").sortWithinPartitions("i", "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, found = None, [], set()
+            i, j = np.nonzero(fits)
+            if len(i):
+                most = (den - num) * (n[p[i]] + n[second[j]]) // (den + num)
+                keep = np.concatenate([(x[k + i[z : z + 4096]] != y[j[z : z + 4096]]).sum(1) for z in range(0, len(i), 4096)]) <= most
+                yield ids[p[i[keep]]], ids[second[j[keep]]]
+
+
+def _joining(ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join components, of all pairs of whole sets: shared shingles
+    are counted by products of matrices over shingles of several documents."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    head = _heads(flat)
+    held = np.diff(np.r_[head, len(flat)])
+    column = np.repeat(np.cumsum(held > 1) - 1, held)[np.repeat(held > 1, held)]
+    of = of[np.repeat(held > 1, held)]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int((held > 1).sum()), 4096):
+        i, j = np.searchsorted(column, [low, low + 4096])
+        x = np.zeros((len(sets), min(4096, int((held > 1).sum()) - low)), dtype=np.float32)
+        x[of[i:j], column[i:j] - low] = 1
+        shared += x @ x.T
+    fits = (den * shared.astype(np.int64) >= num * (n[:, None] + n - shared.astype(np.int64))) & (n[:, None] > 0) & (n > 0)
+    fits &= (label[:, None] != label) & ((side[:, None] != side) | (side == 2))
+    groups, out = UnionFind(), []
+    for i, j in zip(*np.nonzero(np.triu(fits, 1))):
+        a, b = groups.find(int(label[i])), groups.find(int(label[j]))
+        if a != b:
+            groups.union(a, b)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
 
-        def close() -> None:
-            if len(held) > 1:
-                side, ids, label, n, sigs = zip(*held)
-                table = [{s["band"]: s["sig"] for s in x} for x in sigs]
-                found.update((min(p), max(p)) for p in _near(np.array(ids), np.array(label), np.array(n), table, np.array(side), num, den))
 
-        def flush() -> pa.RecordBatch:
-            out = list(found)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+def _by_tile(rows: DataFrame, parts: int, n: int, close: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """close(tile, columns) for each tile's rows; a tile is rows' first three
+    columns, the n others are given as tuples."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.bool_() if x.endswith("boolean") else pa.int64() for x in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out = None, [], []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                if row[:2] != at:
-                    close()
-                    at, held = row[:2], []
-                    if len(found) > 100_000:
-                        yield flush()
-                held.append(row[2:])
-        close()
-        yield flush()
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3 + n))):
+                if row[:3] != at:
+                    if held:
+                        out += close(at, *zip(*held))
+                    at, held = row[:3], []
+                held.append(row[3:])
+            if len(out) > 50_000:
+                yield _table(out, names, kinds)
+                out = []
+        if held:
+            out += close(at, *zip(*held))
+        yield _table(out, names, kinds)
+
+    return rows.repartition(parts, *rows.columns[:3]).sortWithinPartitions(*rows.columns[:3]).mapInArrow(run, schema)
+
+
+def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), kinds)], names=names)
+
+
+def _placed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, blk, x, c) of members (g, x, c) of groups with several components:
+    large components have blocks of their own, the others share them; and the
+    tiles (g, i, j): pairs of blocks that hold several components."""
+    each = members.groupBy("g", "c").agg(F.count("*").alias("n"))
+    group = each.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum(F.when(F.col("n") < TILE, F.col("n")).otherwise(0)).alias("rest")).where("kinds > 1")
+    blocks = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    share = lambda of: F.pmod(F.xxhash64("x"), of)
+    blk = F.when(F.col("all") <= TILE, F.lit(0)).when(F.col("n") < TILE, F.xxhash64(F.lit(0), share(blocks("rest")))).otherwise(F.xxhash64(F.lit(1), F.col("c"), share(blocks("n"))))
+    placed = materialize(members.join(each.join(group, "g"), ["g", "c"]).select("g", blk.cast("long").alias("blk"), "x", "c"), "placed")
+    held = placed.groupBy("g", "blk").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    other = held.select("g", F.col("blk").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    tiles = held.join(other, "g").where("blk <= j AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
+    return placed, tiles.select("g", F.col("blk").alias("i"), "j")
+
+
+def _ends(tiles: DataFrame, placed: DataFrame) -> DataFrame:
+    """g, i, j, side, x, c: the members of each tile; side 2 in a tile of one
+    block, else 0 or 1."""
+    side = lambda blk, n: F.struct(F.col(blk).alias("blk"), F.lit(n).cast("long").alias("side"))
+    sides = F.when(F.col("i") == F.col("j"), F.array(side("i", 2))).otherwise(F.array(side("i", 0), side("j", 1)))
+    return tiles.select("g", "i", "j", F.explode(sides).alias("e")).select("g", "i", "j", "e.blk", "e.side").join(placed, ["g", "blk"]).select("g", "i", "j", "side", "x", "c")
+
+
+def _cross(members: DataFrame, signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """Links (a, b) between components of the same group; members: g, x, c."""
+    parts = shuffle_parts(members.sparkSession)
+    placed, tiles = _placed(members)
+    ends = materialize(_ends(tiles, placed), "ends")
+    rows = ends.join(signed, F.col("x") == F.col("id")).select("g", "i", "j", "side", "x", "c", "n", "sig")
+
+    def look(tile: tuple, side: tuple, ids: tuple, label: tuple, n: tuple, sigs: tuple) -> list[tuple]:
+        bands, size = Bands(num, den), np.array(n)
+        table = [bands.split(z, s) if s else {} for z, s in zip(n, sigs)]
+        found = list(_near(np.array(ids), np.array(label), size, table, np.array(side), num, den))
+        if sum(len(a) for a, _ in found) > 4 * len(ids):
+            return [(*tile, None, None)]
+        return [(None, None, None, min(p), max(p)) for a, b in found for p in zip(a.tolist(), b.tolist())]
+
+    seen = materialize(_by_tile(rows, parts, 5, look, "g long, i long, j long, a long, b long"), "seen")
+    pairs = seen.where(F.col("a").isNotNull()).select("a", "b").distinct()
+    dense = ends.join(seen.where(F.col("a").isNull()).select("g", "i", "j").distinct(), ["g", "i", "j"], "left_semi")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("x")).distinct()
+    sets = materialize(sets_of(need), "sets")
+    whole = dense.join(sets, F.col("x") == F.col("id")).select("g", "i", "j", "side", "x", "c", "blob")
+
+    def verify(tile: tuple, side: tuple, ids: tuple, label: tuple, blobs: tuple) -> list[tuple]:
+        return _joining(np.array(ids), np.array(label), [np.frombuffer(x, dtype=np.uint64) for x in blobs], np.array(side), num, den)
+
+    links = _verify(pairs, sets, num, den).union(_by_tile(whole, parts, 4, verify, "a long, b long"))
+    links = materialize(links, "links")
+    discard(placed, ends, seen, sets)
+    return links
+
+
+def _open_members(stars: DataFrame, hot: DataFrame, best: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """g, x, c: documents x, of component c, of keys whose members lie in
+    different components, by the keys' centres. Of hot keys, those documents
+    that no other key is sure to serve."""
+    of = lambda c, into: label.select(F.col("id").alias(c), F.col("component_id").alias(into))
+    ends = stars.select("a", "b").distinct().join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+    apart = materialize(ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "apart")
+    keys = stars.join(apart, ["a", "b"], "left_semi").select("key").distinct()
+    members = stars.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("x")).distinct()
+    centre = members.groupBy("key").agg(F.min("x").alias("g")).join(hot.withColumn("hot", F.lit(True)), "key", "left")
+    members = materialize(members.join(centre, "key").select("key", "g", "x", F.coalesce("hot", F.lit(False)).alias("hot")), "members")
+    bands = Bands(num, den)
+    spare = F.element_at(F.array(*[F.lit(bands.allocation(b)[2]) for b in range(64)]), F.shiftright(F.col("key").bitwiseAND(127), 1).cast("int") + 1)
+    warm = members.where("hot").withColumn("sort", F.col("key").bitwiseAND(127)).withColumn("h", spare)
+    busy = warm.where("sort % 2 = 0").groupBy("x", "sort", "h").agg(F.count("*").alias("n")).where("n > h").select("x", "sort")
+    warm = warm.where("sort % 2 = 1").select("g", "x").union(warm.join(busy, ["x", "sort"], "left_semi").select("g", "x")).distinct()
+    # centres of hot keys of one group of copies meet at their root
+    up = best.select(F.col("b").alias("z"), F.col("a").alias("up"))  # a is always the smaller id
+    centres = warm.select("g", F.col("g").alias("root")).distinct()
+    for _ in range(HOPS):
+        centres = centres.join(up, F.col("root") == F.col("z"), "left").select("g", F.coalesce("up", "root").alias("root"))
+    warm = warm.join(centres, "g").select(F.col("root").alias("g"), "x")
+    found = members.where("NOT hot").select("g", "x").union(warm).distinct()
+    found = materialize(found.join(of("x", "c"), "x", "left").select("g", "x", F.coalesce("c", "x").alias("c")), "open")
+    discard(apart, members)
+    return found
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    parts = shuffle_parts(spark)
-    met = materialize(_meet(_emit(docs, k, num, den, parts * 2), parts), "met")
+    parts = shuffle_parts(docs.sparkSession)
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(2 * parts, -(-chars // BUCKET_CHARS))
+    met = materialize(_meet(_emit(docs, k, num, den, buckets), max(parts, buckets // 8)), "met")
     rows = met.where(F.col("kind") == DOCS).select(F.when(F.col("key") == 1, F.col("a")).alias("id"), F.col("b").alias("n_shingles"))
-    stars = met.where(F.col("kind") == STARS).select("key", "a", "b")
-    pairs = materialize(stars.groupBy("a", "b").agg(F.count("*").alias("keys")), "pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(_needed(docs, need, k, num, den), "sets")
+    signed = met.where((F.col("kind") == DOCS) & (F.col("key") == 1) & F.col("sig").isNotNull()).select(F.col("a").alias("id"), F.col("b").alias("n"), "sig")
+    stars, hot = met.where(F.col("kind") == STARS).select("key", "a", "b"), met.where(F.col("kind") == HOT_KEYS).select("key")
+    pairs = stars.groupBy("a", "b").agg(F.count("*").alias("keys"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("keys"), -F.col("a"))).alias("a")).select("a", "b")
     best = materialize(best, "best")
-    links = met.where(F.col("kind") == LINKS).select("a", "b").union(_verify(best, sets, num, den))
-    label = components(materialize(links, "links"))
-    # members of keys that still join different components
-    name = lambda c: F.coalesce(F.col(f"l{c}.component_id"), F.col(c))
-    ends = pairs.select("a", "b").join(label.alias("la"), F.col("a") == F.col("la.id"), "left").join(label.alias("lb"), F.col("b") == F.col("lb.id"), "left")
-    apart = materialize(ends.where(name("a") != name("b")).select("a", "b"), "apart")
-    open_keys = stars.join(apart, ["a", "b"], "left_semi").select("key").distinct()
-    members = stars.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("x")).distinct()
-    members = materialize(members, "members")
-    known = members.select("x").distinct().join(label, F.col("x") == F.col("id"), "left").select("x", F.coalesce("component_id", "x").alias("c"))
-    known = known.withColumn("root", F.col("x"))
-    up = best.select(F.col("b").alias("z"), F.col("a").alias("up"))  # a is always the smaller id
-    for _ in range(HOPS):
-        known = known.join(up, F.col("root") == F.col("z"), "left").select("x", "c", F.coalesce("up", "root").alias("root"))
-    known = known.join(sets.select(F.col("id").alias("y"), "n", "sigs"), F.col("x") == F.col("y")).select("x", "c", "root", "n", "sigs")
-    cross = _cross(members, known, num, den).join(best, ["a", "b"], "left_anti")
-    cross = materialize(cross, "cross")
-    if not cross.isEmpty():
-        more = materialize(_verify(cross, sets, num, den), "links")
-        if not more.isEmpty():
-            label = components(label.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more))
+    passing = materialize(_passing(best, signed, num, den), "passing")
+    sets_of = lambda need: _needed(docs, need, k)
+    sets = materialize(sets_of(passing.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+    links = materialize(met.where(F.col("kind") == LINKS).select("a", "b").union(_verify(passing, sets, num, den)), "links")
+    discard(passing, sets)
+    label = components(links)
+    members = _open_members(stars, hot, best, label, num, den)
+    more = _cross(members, signed, sets_of, num, den)
+    if not more.isEmpty():
+        label = components(label.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more))
     return rows.join(label, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 

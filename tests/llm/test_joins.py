@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -65,9 +66,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("k, num, den", [(4, 85, 100), (5, 80, 100)])
-def test_jaccard_join(spark, monkeypatch, k, num, den):
-    monkeypatch.setattr(setjoin, "TILE", 8 if k == 4 else 512)  # many pairs of blocks, and few
+@pytest.mark.parametrize("k, num, den, tile, hot", [(4, 85, 100, 8, 64), (5, 80, 100, 512, 64), (4, 85, 100, 8, 3), (5, 80, 100, 16, 5)])
+def test_jaccard_join(spark, monkeypatch, k, num, den, tile, hot):
+    monkeypatch.setattr(setjoin, "TILE", tile)  # many pairs of blocks, and few
+    monkeypatch.setattr(setjoin, "HOT", hot)
     rows = corpus()
     docs = spark.createDataFrame([(*r, 1, b"") for r in rows] + [(None, rows[0][1], 1, b""), (0, rows[0][1], 1, b"")], "doc_id long, text string, kind int, blob binary").repartition(6)
     sets = shingle_sets(rows, k)
@@ -84,19 +86,64 @@ def test_jaccard_join(spark, monkeypatch, k, num, den):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in sets if want[i] == i) and kept.columns == docs.columns
 
 
-def test_keys_miss_no_link():
-    rng, bands = np.random.default_rng(0), setjoin.Bands(85, 100)
-    linked = 0
-    for _ in range(1500):
+def linked_pairs(num, den, n=1500):
+    rng = np.random.default_rng(0)
+    share = 1 - num / den
+    for _ in range(n):
         n = int(np.exp(rng.uniform(0, 7)))
         a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        d = int(0.15 * n * rng.uniform(0.5, 1.1))
+        d = int(share * n * rng.uniform(0.5, 1.1))
         x = int(rng.integers(0, d + 1))
         a, b = np.unique(a), np.unique(np.concatenate([a[: n - x], rng.integers(0, 1 << 63, d - x, dtype=np.uint64)]))
-        if len(b) and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
-            linked += 1
-            assert len(np.intersect1d(setjoin.set_keys(a, bands), setjoin.set_keys(b, bands)))
-    assert linked > 1000
+        if len(b) and den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+            yield a, b
+
+
+@pytest.mark.parametrize("num, den", [(85, 100), (80, 100), (60, 100)])
+def test_keys_and_signatures_miss_no_link(num, den):
+    bands, linked = setjoin.Bands(num, den), 0
+    for a, b in linked_pairs(num, den):
+        linked += 1
+        (x, sx), (y, sy) = setjoin.set_keys(a, bands), setjoin.set_keys(b, bands)
+        band = bands.of(max(len(a), len(b)))[0]
+        shared = np.intersect1d(x, y)
+        shared = shared[(shared & np.uint64(127)) >> np.uint64(1) == band]
+        exact = (shared & np.uint64(1)) == 0
+        # more keys are shared than may be hot, or a key of the deletion allocation is
+        assert exact.sum() > bands.allocation(band)[2] or (~exact).any()
+        u, v = (np.frombuffer(bands.split(len(s), sig)[band], dtype=np.uint8) for s, sig in ((a, sx), (b, sy)))
+        assert (u != v).sum() <= (den - num) * (len(a) + len(b)) // (den + num)
+    assert linked > 800
+
+
+def test_allocation_of_very_large_sets_is_quick():
+    begin = time.time()
+    for num in (85, 80):
+        bands = setjoin.Bands(num, 100)
+        assert all(bands.allocation(b)[0] for b in bands.of(1_000_000))
+    assert time.time() - begin < 1
+
+
+def test_groups_of_near_copies_send_few_rows(spark, monkeypatch):
+    rng, found = random.Random(3), {}
+    base = [f"v{i}" for i in range(150)]
+    rows = []
+    for i in range(400):  # a few of the pairs link
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(150)] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(setjoin, "TILE", 64)
+    keep = setjoin.materialize
+    monkeypatch.setattr(setjoin, "materialize", lambda df, tag: found.setdefault(tag, []).append(keep(df, tag)) or found[tag][-1])
+    monkeypatch.setattr(setjoin, "discard", lambda *_: None)
+    got = setjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    sets = shingle_sets(rows, 4)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(links) > 3000
+    tiles = found["ends"][0].select("g", "i", "j").distinct().count()
+    assert found["links"][-1].count() <= 2 * 64 * tiles and found["seen"][0].count() <= 5 * found["ends"][0].count()
 
 
 def test_keep_one_keeps_repeated_rows_and_rows_without_id(spark):
@@ -105,17 +152,20 @@ def test_keep_one_keeps_repeated_rows_and_rows_without_id(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[0], rows[1], rows[3], rows[4]]))
 
 
-def stars_of(spark, *rows):
-    """Stars of one bucket's rows of (kind, columns)."""
-    packed = [(0, kind, bytearray(setjoin._blob(*np.array(columns, dtype=np.int64)))) for kind, columns in rows]
-    found = setjoin._meet(spark.createDataFrame(packed, "bucket int, kind int, blob binary"), 2)
-    return {(r["key"], r["a"], r["b"]) for r in found.where(f"kind = {setjoin.STARS}").collect()}
+def met(spark, *rows):
+    """Stars and hot keys of one bucket's rows of (kind, columns)."""
+    blob = lambda kind, columns: setjoin._pack(*columns) if kind == setjoin.KEYS else setjoin._blob(*columns)
+    packed = [(0, kind, bytearray(blob(kind, np.array(columns, dtype=np.int64))), None) for kind, columns in rows]
+    found = setjoin._meet(spark.createDataFrame(packed, "bucket int, kind int, blob binary, sigs binary"), 2).collect()
+    return {(r["key"], r["a"], r["b"]) for r in found if r["kind"] == setjoin.STARS}, {r["key"] for r in found if r["kind"] == setjoin.HOT_KEYS}
 
 
-def test_keys_merge_only_with_equal_members(spark):
+def test_keys_merge_only_with_equal_members(spark, monkeypatch):
     # document 0 holds key 5 alone; keys 6 and 7 have the same members as 3
-    found = stars_of(spark, (setjoin.KEYS, [[5], [0]]), (setjoin.KEYS, [[3, 5, 6, 7], [7] * 4]), (setjoin.KEYS, [[3, 5, 6, 7], [9] * 4]))
-    assert found == {(3, 7, 9), (5, 0, 7), (5, 0, 9)}
+    rows = (setjoin.KEYS, [[5], [0]]), (setjoin.KEYS, [[3, 5, 6, 7], [7] * 4]), (setjoin.KEYS, [[3, 5, 6, 7], [1 << 40] * 4])
+    assert met(spark, *rows) == ({(3, 7, 1 << 40), (5, 0, 7), (5, 0, 1 << 40)}, set())
+    monkeypatch.setattr(setjoin, "HOT", 1)  # hot keys don't merge
+    assert met(spark, *rows) == ({(k, 7, 1 << 40) for k in (3, 6, 7)} | {(5, 0, 7), (5, 0, 1 << 40)}, {3, 5, 6, 7})
 
 
 def test_keys_of_slices_count_all_members(spark):
@@ -126,13 +176,13 @@ def test_keys_of_slices_count_all_members(spark):
     inside = {}
     for key, a, b in columns(setjoin.STARS, 3).T.tolist():
         inside.setdefault(key, {a}).add(b)
-    key, _, mark = columns(setjoin.GROUPS, 3)
+    key, _, mark, n = columns(setjoin.GROUPS, 4)
     assert set(key.tolist()) == set(inside) and len({tuple(sorted(x)) for x in inside.values()}) > 1
-    for k, m in zip(key.tolist(), mark.tolist()):
-        assert int(setjoin._mark(np.array(sorted(inside[k]))).sum().astype(np.int64)) == m
+    for k, m, size in zip(key.tolist(), mark.tolist(), n.tolist()):
+        assert int(setjoin._mark(np.array(sorted(inside[k]))).sum().astype(np.int64)) == m and size == len(inside[k])
     # of two keys with documents 7 and 9, one has 8 besides 7 in its slice
     own = setjoin._mark(np.array([7, 8])).sum().astype(np.int64)
-    assert stars_of(spark, (setjoin.GROUPS, [[5], [7], [own]]), (setjoin.KEYS, [[3], [7]]), (setjoin.KEYS, [[3, 5], [9, 9]])) == {(3, 7, 9), (5, 7, 9)}
+    assert met(spark, (setjoin.GROUPS, [[5], [7], [own], [2]]), (setjoin.KEYS, [[3], [7]]), (setjoin.KEYS, [[3, 5], [9, 9]]))[0] == {(3, 7, 9), (5, 7, 9)}
 
 
 def test_jaccard_join_of_nothing(spark):
