@@ -1,30 +1,37 @@
 """Operator 10, packing by lexical retrieval.
 
-A BM25 inverted index lies in shards of about SHARD_DOCS documents, one at a
-time in a task's memory; document counts, document frequencies and the mean
-length are those of the whole table. Documents are ordered by the hash of
-their id and text, and numbered in that order over the shards.
-
-Windows are filled greedily: the first unused document seeds a window, and its
-nearest unused documents of the whole table fill it, nearest first, by all its
-terms. Each round asks every shard for the nearest unused documents of up to
-BATCH seeds, and merges the answers to lists of PAGE; a window that has used up
-its list waits for its next page in the next round. What doesn't fit is cut:
-the rest of a document opens a window of a later round and is its seed, or
-fills up where nothing is unused. Windows still open at the end are put
-together, so every window but the last is full.
-
-The work grows with the square of the table: each seed is scored against all
-unused documents. The driver holds lengths and used marks of documents, the
-pieces go to files. Null and empty texts are documents of the end id alone.
-Repeated rows are packed as often as they come. Other columns are not read.
+Documents are encoded once, to files. Document counts, document frequencies
+and the mean length are those of the whole table. Each document gets a key of
+its content: the terms of smallest weighted hash (a consistent sample of its
+terms that favours rare ones, so likely the same for documents that share
+many), then a hash of its id. Documents lie in shards of up to SHARD_DOCS in
+the order of their keys: near copies and documents that share rare terms lie
+together whatever the size of the table, and large groups of equal documents
+go on over as many shards as they need.
+
+Each shard has a BM25 inverted index. Windows are filled greedily: the first
+unused document seeds a window, and its nearest unused documents of the shard,
+by all its terms, fill it, nearest first (ties: first in key order), as many
+as fit; if none is near, the next in order. What doesn't fit is cut: the rest
+of a document opens the next window and is its seed. A window that a shard
+leaves open goes on in the next shard of the same range of keys; the last
+window of each range stays short.
+
+Ranges of keys hold about SHARD_DOCS documents, until there are RANGES of them
+(then each holds several shards); their bounds come from a sample of keys, at
+most SAMPLE_KEYS a range, which decides where ranges begin and nothing else.
+What is collected: those keys, and one count for each vocabulary entry.
+
+Null and empty texts are documents of the end id alone; very long texts are
+cut over as many windows as they fill. Repeated rows are packed as often as
+they come, rows without doc_id too. An empty table has no pieces. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,348 +40,241 @@ from pyspark.sql import functions as F
 
 from quarry.llm import word_bpe
 from quarry.llm.bpe_codec import in_slices
-from quarry.llm.common import fresh_dir, materialize, shuffle_parts, texts
+from quarry.llm.common import materialize, shuffle_parts, texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SHARD_DOCS, WINDOW, K1, B = 1024, 2048, 1.2, 0.75
-#: Seeds asked for in a round, neighbours of a page, pieces held before they are written.
-BATCH, PAGE, PIECES = 4096, 32, 200_000
-#: A seed's neighbours, nearest first; whether there may be more.
-Lists = dict[int, tuple[list[int], bool]]
-
-
-class Index:
-    """Terms of a shard's documents, by document, with their counts."""
-
-    def __init__(self, size: np.ndarray, ptr: np.ndarray, terms: np.ndarray, tf: np.ndarray):
-        self.size, self.ptr, self.terms, self.tf = size, ptr, terms, tf
-
-    @staticmethod
-    def of(docs: list[np.ndarray]) -> Index:
-        size = np.array([len(d) for d in docs], dtype=np.int32)
-        of = np.repeat(np.arange(len(docs), dtype=np.int64), size)
-        pairs, tf = np.unique((of << 32) | np.concatenate(docs).astype(np.int64), return_counts=True)
-        ptr = np.searchsorted(pairs >> 32, np.arange(len(docs) + 1)).astype(np.int32)
-        return Index(size, ptr, (pairs & 0xFFFFFFFF).astype(np.int32), tf.astype(np.int32))
-
-    def query(self, doc: int) -> np.ndarray:
-        return self.terms[self.ptr[doc] : self.ptr[doc + 1]]
-
-    def scores(self, queries: list[np.ndarray], idf: np.ndarray, mean: float, free: np.ndarray) -> np.ndarray:
-        """Of each query's terms against each document of free."""
-        place = np.full(len(self.size), -1, dtype=np.int64)
-        place[free] = np.arange(len(free))
-        doc = place[np.repeat(np.arange(len(self.size)), np.diff(self.ptr))]
-        term, tf, doc = self.terms[doc >= 0], self.tf[doc >= 0], doc[doc >= 0]
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.size[free][doc] / mean))
-        df = np.bincount(term, minlength=len(idf))
-        of, asked = np.repeat(np.arange(len(queries)), [len(q) for q in queries]), np.concatenate(queries)
-        # terms of many documents by a product of matrices, the others by postings
-        many = np.flatnonzero(df > max(8, len(free) // 32))
-        row = np.full(len(idf), -1, dtype=np.int64)
-        row[many] = np.arange(len(many))
-        left, right = np.zeros((len(queries), len(many)), dtype=np.float32), np.zeros((len(many), len(free)), dtype=np.float32)
-        held, wanted = row[term] >= 0, row[asked] >= 0
-        left[of[wanted], row[asked[wanted]]] = 1
-        right[row[term[held]], doc[held]] = weight[held]
-        total = left @ right
-        term, doc, weight = term[~held], doc[~held], weight[~held]
-        order = np.argsort(term, kind="stable")
-        doc, weight, starts = doc[order], weight[order], np.cumsum(df * (row < 0)) - df * (row < 0)
-        few = ~wanted & (df[asked] > 0)
-        of, asked = of[few], asked[few]
-        n = df[asked]
-        at = np.repeat(starts[asked] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        total += np.bincount(np.repeat(of, n) * len(free) + doc[at], weights=weight[at], minlength=total.size).reshape(total.shape)
-        return total.round(3)
+RANGES, SAMPLE_KEYS = 1 << 14, 16
+#: Kinds of rows: an encoded document, a task's document frequencies.
+DOC, COUNTS = 0, 1
 
 
 def weights_of(df: np.ndarray, n: int) -> np.ndarray:
+    """Each term's weight in n documents, of which df hold it."""
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def nearest(seed: np.ndarray, doc: np.ndarray, score: np.ndarray, page: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each seed's first rows by score, then document."""
-    order = np.lexsort((doc, -score, seed))
-    seed, doc, score = seed[order], doc[order], score[order]
-    head = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]]) if len(seed) else np.zeros(0, dtype=np.int64)
-    first = np.arange(len(seed)) - np.repeat(head, np.diff(np.r_[head, len(seed)])) < page
-    return seed[first], doc[first], score[first]
-
-
-def _best(index: Index, queries: list[np.ndarray], idf: np.ndarray, mean: float, unused: np.ndarray, page: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, document, score) of the page nearest of a shard's unused ones."""
-    free = np.flatnonzero(unused)
-    if not len(free):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-    score = index.scores(queries, idf, mean, free)
-    at = np.argpartition(-score, page - 1, axis=1)[:, :page] if len(free) > page else np.tile(np.arange(len(free)), (len(queries), 1))
-    query = np.repeat(np.arange(len(queries)), at.shape[1])
-    score = score[query, at.ravel()]
-    return query[score > 0], free[at.ravel()][score > 0], score[score > 0]
-
-
-def _lists(seeds: list[int], query: np.ndarray, doc: np.ndarray, page: int) -> Lists:
-    ends = np.searchsorted(query, np.arange(len(seeds) + 1))
-    # a seed may find itself, so a full page less one is all that is sure
-    return {s: ([d for d in doc[ends[k] : ends[k + 1]].tolist() if d != s], bool(ends[k + 1] - ends[k] >= page)) for k, s in enumerate(seeds)}
-
-
-def windows(size: np.ndarray, window: int, ask: Callable[[list[int], np.ndarray, int], Lists], batch: int = BATCH, page: int = PAGE) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows of (document, start, length); every document is used whole.
-    ask: (seeds, unused, page) to the seeds' nearest unused documents."""
-    unused, pointer = np.ones(len(size), dtype=bool), 0
-    rests: deque[tuple[int, int]] = deque()
-    waiting: deque[list] = deque()  # [pieces, room, seed]
-    now, wide = batch, page
-    while True:
-        while pointer < len(size) and not unused[pointer]:
-            pointer += 1
-        if pointer == len(size):
-            break
-        opened = [waiting.popleft() for _ in range(min(now, len(waiting)))]
-        while rests and len(opened) < now:
-            doc, start = rests.popleft()
-            while size[doc] - start >= window:
-                yield [(doc, start, window)]
-                start += window
-            if start < size[doc]:
-                opened.append([[(doc, start, int(size[doc]) - start)], window - (int(size[doc]) - start), doc])
-        fresh = (pointer + np.flatnonzero(unused[pointer : pointer + 4 * now]))[: max(0, now - len(opened))].tolist()
-        found = ask(sorted({w[2] for w in opened} | set(fresh)), unused, wide)
-        used_up = {}
-
-        def fill(w: list) -> bool:
-            """Whether the window is full; if not, its seed's list has ended."""
-            nonlocal pointer
-            while w[1]:
-                names, more = found.get(w[2], ((), True))
-                k = used_up.get(w[2], 0)
-                while k < len(names) and not unused[names[k]]:
-                    k += 1
-                used_up[w[2]] = k
-                if k < len(names):
-                    doc = names[k]
-                elif more:
-                    return False
-                else:  # no document is near: the next unused one goes on
-                    while pointer < len(size) and not unused[pointer]:
-                        pointer += 1
-                    if pointer == len(size):
-                        return False
-                    doc = w[2] = pointer
-                unused[doc] = False
-                n = min(w[1], int(size[doc]))
-                w[0].append((doc, 0, n))
-                w[1] -= n
-                if n < size[doc]:
-                    rests.append((doc, n))
-            return True
-
-        short = 0
-        for w in [*opened, *([[], window, s] for s in fresh)]:
-            if not w[0]:
-                names, more = found[w[2]]
-                if not unused[w[2]] or (w[2] != fresh[0] and more and not any(unused[d] for d in names)):
-                    short += bool(unused[w[2]])
-                    continue  # a neighbour by now, or left for a later round
-                unused[w[2]] = False
-                n = min(window, int(size[w[2]]))
-                w[0].append((w[2], 0, n))
-                w[1] -= n
-                if n < size[w[2]]:
-                    rests.append((w[2], n))
-            if fill(w):
-                yield w[0]
-            else:
-                short += 1
-                waiting.append(w)
-        # where many lists end early, as among copies, longer ones of fewer seeds
-        now, wide = (max(16, now // 2), wide * 2) if 2 * short > len(opened) + len(fresh) and now > 16 else (batch, page) if not short else (now, wide)
-    pieces, room = [], window
-    for doc, start, n in [*(p for w in waiting for p in w[0]), *((doc, start, int(size[doc]) - start) for doc, start in rests)]:
-        while n:
-            part = min(n, room)
-            pieces.append((doc, start, part))
-            start, n, room = start + part, n - part, room - part
-            if not room:
-                yield pieces
-                pieces, room = [], window
-    if pieces:
-        yield pieces
-
-
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW, batch: int = BATCH, page: int = PAGE) -> list[list[tuple[int, int, int]]]:
-    """Windows of documents in memory, as pack makes them of a table."""
-    index = Index.of(docs)
-    idf = weights_of(np.bincount(index.terms), len(docs))
-
-    def ask(seeds: list[int], unused: np.ndarray, page: int) -> Lists:
-        query, doc, _ = nearest(*_best(index, [index.query(s) for s in seeds], idf, float(index.size.mean()), unused, page), page)
-        return _lists(seeds, query, doc, page)
-
-    return list(windows(index.size, window, ask, batch, page))
-
-
-def _bytes(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-
-
-def _batch(names: str, *columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if c and isinstance(c[0], bytes) else pa.array(c, pa.int64()) for c in columns], names=names.split())
-
-
-def _index_of(sizes: bytes, ptr: bytes, terms: bytes, tf: bytes) -> Index:
-    return Index(*(np.frombuffer(x, dtype=np.int32) for x in (sizes, ptr, terms, tf)))
-
-
-def _shards(docs: DataFrame, vocab: str, end_id: int, shard_docs: int) -> DataFrame:
-    """One row a shard: its documents' names, ids and index."""
-    rows = texts(docs)
-    shards = max(1, -(-rows.count() // shard_docs))
-    parts = min(shards, max(shuffle_parts(docs.sparkSession), shards // 64))
-    dealt = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).withColumn("shard", F.shiftright(F.shiftright("h", 32) * shards, 31))
-    dealt = dealt.select("doc_id", "text", "shard", "h").repartition(parts, "shard").sortWithinPartitions("shard", "h", "doc_id")
-
-    def packed(shard: int, keys: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-        index = Index.of(ids)
-        names = [-1 if k is None else k for k in keys]
-        blobs = [_bytes(np.array(names, dtype=np.int64), np.array([k is None for k in keys], dtype=np.int64)), _bytes(*(x.astype("<u4") for x in ids)), *map(_bytes, (index.size, index.ptr, index.terms, index.tf))]
-        return _batch("shard names ids size ptr terms tf", [shard], *([x] for x in blobs))
+class Statistics:
+    """What a shard needs to know of the whole table."""
+
+    def __init__(self, df: np.ndarray, n: int, tokens: int):
+        self.idf, self.mean = weights_of(df, n).astype(np.float32), tokens / max(n, 1)
+        # weighted hashes, the smaller the likelier for high weights; terms of one document join nothing
+        u = np.random.default_rng(17).random((2, len(df)))
+        self.hashes = np.where(df > 1, -np.log1p(-u) / np.maximum(self.idf.astype(np.float64), 1e-9) ** 2, np.inf)
+
+    def key(self, ids: np.ndarray, tie: int) -> int:
+        """The document's place in order: two terms, and 23 bits of tie."""
+        out = 0
+        for h in self.hashes:
+            out = out << 20 | int(ids[h[ids].argmin()]) & 0xFFFFF
+        return out << 23 | tie & 0x7FFFFF
+
+
+class Index:
+    """BM25 postings of a shard, by the terms that two of its documents hold."""
+
+    def __init__(self, docs: list[np.ndarray], stats: Statistics):
+        terms, counts = zip(*(np.unique(x, return_counts=True) for x in docs))
+        size = np.array([len(x) for x in docs])
+        held = np.array([len(x) for x in terms])
+        doc, term, tf = np.repeat(np.arange(len(docs)), held), np.concatenate(terms).astype(np.int64), np.concatenate(counts)
+        df = np.bincount(term)
+        several = df[term] > 1
+        doc, term, tf = doc[several], term[several], tf[several]
+        self.n = len(docs)
+        self.of = np.searchsorted(doc, np.arange(self.n + 1))
+        self.terms = term
+        order = np.argsort(term.astype(np.uint32), kind="stable")
+        self.doc, self.term_df = doc[order], df
+        first = np.cumsum(np.where(df > 1, df, 0))
+        self.start = first - np.where(df > 1, df, 0)
+        tf = tf[order]
+        self.weight = stats.idf[term[order]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / stats.mean))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Of all the seed's terms against each document."""
+        terms = self.terms[self.of[seed] : self.of[seed + 1]]
+        n = self.term_df[terms]
+        at = np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n).round(3)
+
+
+class Packer:
+    """Windows of pieces (document, start, length) of one range's shards;
+    documents are numbered over all of them."""
+
+    def __init__(self, stats: Statistics, window: int):
+        self.stats, self.window = stats, window
+        self.pieces: list[tuple[int, int, int]] = []
+        self.room, self.numbered = window, 0
+
+    def _put(self, doc: int, start: int, size: int) -> int:
+        """Adds as much as there is room for; where the rest begins."""
+        n = min(self.room, size - start)
+        self.pieces.append((self.numbered + doc, start, n))
+        self.room -= n
+        return start + n
+
+    def _close(self) -> list[tuple[int, int, int]]:
+        out, self.pieces, self.room = self.pieces, [], self.window
+        return out
+
+    def shard(self, docs: list[np.ndarray]) -> Iterator[list[tuple[int, int, int]]]:
+        index, size = Index(docs, self.stats), [len(x) for x in docs]
+        unused, pointer, seed, score = np.ones(len(docs), dtype=bool), 0, None, None
+        while True:
+            doc = None
+            if seed is not None:
+                if score is None:
+                    score = np.where(unused, index.scores(seed), 0.0)
+                doc = int(score.argmax())
+                doc = doc if score[doc] > 0 else None
+            if doc is None:  # nothing near: the next in order seeds what is left
+                while pointer < len(docs) and not unused[pointer]:
+                    pointer += 1
+                if pointer == len(docs):
+                    break
+                doc, seed, score = pointer, pointer, None
+            unused[doc] = False
+            if score is not None:
+                score[doc] = 0.0
+            start = 0
+            while True:
+                start = self._put(doc, start, size[doc])
+                if self.room:
+                    break
+                yield self._close()
+                # the rest opens the next window and seeds it
+                seed, score = (doc, None) if start < size[doc] else (None, None)
+                if start == size[doc]:
+                    break
+        self.numbered += len(docs)
+
+    def rest(self) -> list[list[tuple[int, int, int]]]:
+        return [self._close()] if self.pieces else []
+
+
+def _encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
+    """kind, doc_id, n, ids: documents' ids with the end id; tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_bpe.codec(vocab)
-        end = np.array([end_id], dtype=codec.dtype)
-        shard, keys, ids = None, [], []
+        end, df = np.array([end_id], dtype=codec.dtype), np.zeros(max(codec.library.get_vocab_size(), end_id + 1), dtype=np.int64)
+
+        def rows(kind: int, names: pa.Array, n: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), names, pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "doc_id", "n", "ids"])
+
         for batch in batches:
-            names, of = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for first, part in in_slices(batch.column(1)):
-                for k, found in enumerate(codec.encode(part), first):
-                    if of[k] != shard:
-                        if ids:
-                            yield packed(shard, keys, ids)
-                        shard, keys, ids = of[k], [], []
-                    keys.append(names[k])
-                    ids.append(np.concatenate([found, end]))
-        if ids:
-            yield packed(shard, keys, ids)
+                ids = [np.concatenate([x, end]) for x in codec.encode(part)]
+                for x in ids:
+                    df[np.unique(x)] += 1
+                yield rows(DOC, batch.column(0).slice(first, len(ids)), [len(x) for x in ids], [x.astype(f"<u{x.dtype.itemsize}").tobytes() for x in ids])
+        yield rows(COUNTS, pa.array([None], pa.int64()), [len(df)], [df.astype("<i8").tobytes()])
+
+    return texts(docs).mapInArrow(run, "kind int, doc_id long, n long, ids binary")
 
-    return materialize(dealt.mapInArrow(run, "shard long, names binary, ids binary, size binary, ptr binary, terms binary, tf binary"), "packing")
 
+def _ids(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, dtype=f"<u{len(blob) // n}")
 
-def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, window: int = WINDOW, shard_docs: int = SHARD_DOCS, batch: int = BATCH, page: int = PAGE) -> DataFrame:
+
+def _statistics(encoded: DataFrame) -> tuple[Statistics, int]:
+    """Of all documents, and their number; counts are summed in the tasks'
+    order of terms, so only one row a term reaches the driver."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                df = np.frombuffer(blob, dtype="<i8")
+                total = df + (total if len(total) else 0)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64()), pa.array(np.full(len(at), len(total)), pa.int64())], names=["term", "df", "size"])
+
+    found = encoded.where(F.col("kind") == COUNTS).select("ids").mapInArrow(terms, "term long, df long, size long").groupBy("term", "size").agg(F.sum("df").alias("df")).toArrow()
+    n, tokens = encoded.where(F.col("kind") == DOC).agg(F.count("*"), F.sum("n")).first()
+    df = np.zeros(found["size"][0].as_py() if found.num_rows else 1, dtype=np.int64)
+    df[found["term"].to_numpy()] = found["df"].to_numpy()
+    return Statistics(df, n, tokens or 0), n
+
+
+def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, window: int = WINDOW, shard_docs: int = SHARD_DOCS, ranges: int = RANGES) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset."""
     spark = docs.sparkSession
-    parts, context = shuffle_parts(spark), spark.sparkContext
-    table = _shards(docs, vocab, end_id, shard_docs)
-    held = sorted((r["shard"], np.frombuffer(r["size"], dtype=np.int32)) for r in table.select("shard", "size").toLocalIterator())
-    if not held:
-        return spark.createDataFrame([], SCHEMA)
-    size, shards = np.concatenate([s for _, s in held]), np.array([k for k, _ in held])
-    first = np.r_[0, np.cumsum([len(s) for _, s in held])]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, dtype=np.int64)
-        for b in batches:
-            for x in b.column(0):
-                more = np.bincount(np.frombuffer(x.as_py(), dtype=np.int32))
-                df, more = (df, more) if len(df) >= len(more) else (more, df)
-                df[: len(more)] += more
-        yield _batch("term df", np.flatnonzero(df).tolist(), df[df > 0].tolist())
-
-    terms = table.select("terms").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(terms["term"].to_numpy().max() + 1, dtype=np.int64)
-    df[terms["term"].to_numpy()] = terms["df"].to_numpy()
-    model = context.broadcast((weights_of(df, len(size)), float(size.mean()), dict(zip(shards.tolist(), first.tolist()))))
-
-    def ask(seeds: list[int], unused: np.ndarray, page: int) -> Lists:
-        number = np.array(seeds)
-        at = np.searchsorted(first, number, side="right") - 1
-        wanted = context.broadcast({int(shards[s]): number[at == s].tolist() for s in np.unique(at)})
-
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for shard, *blobs in zip(*(c.to_pylist() for c in b.columns)):
-                    if mine := wanted.value.get(shard):
-                        index, start = _index_of(*blobs), model.value[2][shard]
-                        yield _batch("seed terms", mine, [_bytes(index.query(s - start)) for s in mine])
-
-        index = table.select("shard", "size", "ptr", "terms", "tf")
-        queries = {r["seed"]: np.frombuffer(r["terms"], dtype=np.int32) for r in index.mapInArrow(look, "seed long, terms binary").collect()}
-        state = context.broadcast(([queries[s] for s in seeds], np.packbits(unused)))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            idf, mean, starts = model.value
-            texts_, bits = state.value
-            free = np.unpackbits(bits).astype(bool)
-            best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
-            for b in batches:
-                for shard, *blobs in zip(*(c.to_pylist() for c in b.columns)):
-                    index, start = _index_of(*blobs), starts[shard]
-                    query, doc, score = _best(index, texts_, idf, mean, free[start : start + len(index.size)], page)
-                    best = nearest(*(np.concatenate(x) for x in zip(best, (query, doc + start, score))), page)
-            ends = np.searchsorted(best[0], np.arange(0, len(texts_) + 256, 256))
-            out = [(k, _bytes(*(c[i:j] for c in best))) for k, (i, j) in enumerate(zip(ends, ends[1:])) if j > i]
-            if out:
-                yield _batch("chunk blob", *map(list, zip(*out)))
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for blobs in _by_chunk(batches):
-                found = [(*np.frombuffer(x, dtype=np.int64).reshape(3, -1)[:2], np.frombuffer(x, dtype=np.float64).reshape(3, -1)[2]) for x in blobs]
-                query, doc, score = nearest(*(np.concatenate(c) for c in zip(*found)), page)
-                yield _batch("blob", [_bytes(query, doc)])
-
-        near = index.mapInArrow(search, "chunk long, blob binary").repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(merge, "blob binary")
-        both = [np.frombuffer(r["blob"], dtype=np.int64).reshape(2, -1) for r in near.collect()]
-        both = np.concatenate(both, axis=1) if both else np.zeros((2, 0), dtype=np.int64)
-        order = np.argsort(both[0], kind="stable")
-        wanted.destroy()
-        state.destroy()
-        return _lists(seeds, both[0][order], both[1][order], page)
-
-    path, pieces, written = fresh_dir(spark, "pieces"), [], 0
-
-    def flush() -> None:
-        doc, start, n, sequence, at = (np.array(c, dtype=np.int64) for c in zip(*pieces))
-        of = np.searchsorted(first, doc, side="right") - 1
-        columns = {"shard": shards[of], "k": doc - first[of], "start": start, "length": n, "sequence_id": sequence, "offset": at}
-        spark.createDataFrame(pa.table(columns)).write.mode("append").parquet(path)
-        pieces.clear()
-
-    for sequence, found in enumerate(windows(size, window, ask, batch, page)):
-        at = 0
-        for doc, start, n in found:
-            pieces.append((doc, start, n, sequence, at))
-            at += n
-        if len(pieces) >= PIECES:
-            flush()
-    if pieces:
-        flush()
-    lists = spark.read.parquet(path).groupBy("shard").agg(F.collect_list(F.struct("k", "start", "length", "sequence_id", "offset")).alias("pieces"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for names, ids, sizes, mine in zip(*(c.to_pylist() for c in b.columns)):
-                names, ids, sizes = np.frombuffer(names, dtype=np.int64).reshape(2, -1), np.frombuffer(ids, dtype="<u4"), np.frombuffer(sizes, dtype=np.int32)
-                begin, out = np.cumsum(sizes, dtype=np.int64) - sizes, []
-                for p in mine:
-                    k, at = p["k"], begin[p["k"]] + p["start"]
-                    out.append((None if names[1, k] else int(names[0, k]), p["start"], p["length"], zlib.crc32(ids[at : at + p["length"]].tobytes()), int(sizes[k]), p["sequence_id"], p["offset"]))
-                yield _batch("doc_id start length ids_crc32 doc_tokens sequence_id offset", *map(list, zip(*out)))
-
-    return table.join(lists, "shard").select("names", "ids", "size", "pieces").mapInArrow(cut, SCHEMA)
-
-
-def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The blobs of each chunk; rows come sorted by chunk."""
-    last, held = None, []
-    for b in batches:
-        for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if chunk != last and held:
-                yield held
-                held = []
-            last = chunk
-            held.append(blob)
-    if held:
-        yield held
+    encoded = materialize(_encoded(docs, vocab, end_id), "ids")
+    stats, n = _statistics(encoded)
+    shared = spark.sparkContext.broadcast(stats)  # three numbers a vocabulary entry
+    ranges = min(max(1, -(-n // shard_docs)), ranges)
+
+    def keyed(rows: DataFrame, bounds: np.ndarray | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                size, blobs, ties = batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()
+                keys = np.array([known.key(_ids(b.as_py(), z), t) for b, z, t in zip(blobs, size, ties)], dtype=np.int64)
+                if bounds is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(keys), pa.array(np.searchsorted(bounds, keys, side="right"))], names=["doc_id", "n", "ids", "key", "range"])
+
+        return rows.select("doc_id", "n", "ids", F.xxhash64("doc_id", "n").alias("tie")).mapInArrow(run, "key long" if bounds is None else "doc_id long, n long, ids binary, key long, range long")
+
+    rows = encoded.where(F.col("kind") == DOC)
+    every = max(1, n // (ranges * SAMPLE_KEYS))
+    sample = keyed(rows.where(F.pmod(F.xxhash64("n", "doc_id"), F.lit(every)) == 0), None).toArrow()["key"].to_numpy() if ranges > 1 else np.zeros(0, dtype=np.int64)
+    bounds = np.unique(np.sort(sample)[np.linspace(0, len(sample), ranges + 1).astype(np.int64)[1:-1]]) if len(sample) else sample
+    parts = max(1, min(len(bounds) + 1, max(shuffle_parts(spark), ranges // 8)))
+    dealt = keyed(rows, bounds).repartition(parts, "range").sortWithinPartitions("range", "key", "doc_id", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at, packer = shared.value, None, None
+        held: dict[int, tuple[int | None, np.ndarray]] = {}  # documents of open windows, by number
+        waiting: list[tuple[int | None, np.ndarray]] = []
+        made, k = [], 0
+
+        def piece_rows(window_: list[tuple[int, int, int]]) -> None:
+            nonlocal k
+            place = 0
+            for doc, start, n in window_:
+                name, ids = held[doc]
+                made.append((name, start, n, zlib.crc32(ids[start : start + n].astype("<u4").tobytes()), len(ids), at << 32 | k, place))
+                place += n
+            k += 1
+
+        def flush(last: bool) -> None:
+            if waiting:
+                held.update(enumerate(waiting, packer.numbered))
+                for w in packer.shard([x for _, x in waiting]):
+                    piece_rows(w)
+                waiting.clear()
+                still = {d for d, _, _ in packer.pieces}
+                for d in [d for d in held if d not in still]:
+                    del held[d]
+            if last and packer:
+                for w in packer.rest():
+                    piece_rows(w)
+                held.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [pa.array(c, pa.int64()) for c in zip(*made)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+        for batch in batches:
+            for name, size, blob, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(4).to_pylist()):
+                if of != at:
+                    flush(True)
+                    at, packer, k = of, Packer(known, window), 0
+                elif len(waiting) == shard_docs:
+                    flush(False)
+                waiting.append((name, _ids(blob.as_py(), size)))
+                if len(made) > 50_000:
+                    yield batch_of()
+        flush(True)
+        if made:
+            yield batch_of()
+
+    return dealt.mapInArrow(run, SCHEMA)

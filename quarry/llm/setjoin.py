@@ -235,7 +235,7 @@ def _emit(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFram
         bands, turn = Bands(num, den), 0
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for first, rows in in_slices(batch.column(1), rows=2048, chars=1 << 23):
+            for first, rows in in_slices(batch.column(1), rows=2048, chars=1 << 22):
                 sets = [shingles(t, k) for t in rows]
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 known: dict[bytes, int] = {}

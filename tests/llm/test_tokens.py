@@ -1,5 +1,6 @@
 """Codecs, counts, id shards and packing against the tokenizers library."""
 
+import math
 import hashlib
 import os
 import random
@@ -160,11 +161,92 @@ def test_packing(docs, word):
     assert sum(n < 2048 for n in size) <= 1
 
 
+def statistics(docs):
+    df = np.zeros(256, dtype=np.int64)
+    for x in docs:
+        df[np.unique(x)] += 1
+    return packing.Statistics(df, len(docs), sum(map(len, docs)))
+
+
+def windows(docs, window):
+    packer = packing.Packer(statistics(docs), window)
+    return [*packer.shard(docs), *packer.rest()]
+
+
 def test_packing_prefers_neighbours():
     a, b = np.array([5, 6, 7, 8] * 3, dtype=np.uint16), np.array([15, 16, 17, 18] * 3, dtype=np.uint16)
     docs = [np.append(x, k + 100).astype(np.uint16) for k, x in enumerate([a, b, b, a, b, a])]
-    first = [d for d, _, _ in packing.pack_shard(docs, window=39)[0]]
-    assert set(first) == {0, 3, 5}
+    assert {d for d, _, _ in windows(docs, 39)[0]} == {0, 3, 5}
+
+
+def test_packing_goes_on_until_the_window_is_full():
+    docs = [np.array([5, 6, 7 + k % 2], dtype=np.uint16) for k in range(60)]
+    assert [d for d, _, _ in windows(docs, 90)[0]] == list(range(0, 60, 2))  # all thirty of its kind
+
+
+def test_packing_takes_the_nearest_by_brute_force():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(2, 60, rng.integers(1, 40)).astype(np.uint16) ** 2 % 200 for _ in range(40)]
+    docs += docs[:5]
+    stats = statistics(docs)
+    mean, n = np.mean([len(x) for x in docs]), len(docs)
+    df = {t: sum(t in x for x in docs) for t in range(256)}
+
+    def score(seed, doc):
+        total = 0.0
+        for t in sorted(set(docs[seed].tolist())):
+            tf = docs[doc].tolist().count(t)
+            idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) if df[t] > 1 else 0.0
+            total += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[doc]) / mean))
+        return total
+
+    index = packing.Index(docs, stats)
+    brute = np.array([[score(s, d) for d in range(n)] for s in range(n)])
+    found = np.array([index.scores(s) for s in range(n)])
+    other = ~np.eye(n, dtype=bool)  # a document's own terms that no other holds aren't indexed
+    assert np.abs(brute - found)[other].max() < 2e-3
+    # greedy: each piece after the seed is the nearest unused document
+    unused, seed = set(range(n)), None
+    for window in windows(docs, 64):
+        for doc, start, size in window:
+            if start == 0:
+                if seed is not None and (near := [d for d in unused if found[seed, d] > 0]):
+                    assert doc == min(near, key=lambda d: (-found[seed, d], d))
+                else:
+                    assert doc == min(unused)
+                    seed = doc
+                unused.discard(doc)
+            else:
+                seed = doc
+        if start + size == len(docs[doc]):
+            seed = None
+    assert not unused
+
+
+def test_packing_keeps_like_documents_together(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(3000)]
+    rows = []
+    for group in range(60):  # near copies, which hashes of ids would deal over all shards
+        own = [rng.choice(words) for _ in range(60)]
+        for _ in range(4):
+            rows.append((group + 60 * rng.randint(1, 10**6), " ".join(w if rng.random() < 0.97 else rng.choice(words) for w in own)))
+    rng.shuffle(rows)
+    sequences = {}
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=600, shard_docs=16).collect():
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["doc_id"] % 60))
+    beside = [a[1] == b[1] for s in sequences.values() for a, b in zip(sorted(s), sorted(s)[1:])]
+    assert sum(beside) > 100  # of 180 neighbours that documents could have
+
+
+def test_packing_splits_a_hot_group(spark):
+    rows = [(i, "one and the same text of a few words" if i % 3 else f"text {i} of its own words w{i} x{i}") for i in range(300)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=64, shard_docs=8).collect()
+    ranges = {}
+    for r in found:
+        ranges.setdefault(r["sequence_id"] >> 32, set()).add(r["doc_id"])
+    assert sorted(x for s in ranges.values() for x in s) and set().union(*ranges.values()) == set(range(300))
+    assert max(map(len, ranges.values())) < 60
 
 
 def test_empty_tables(spark):
@@ -173,27 +255,3 @@ def test_empty_tables(spark):
     assert token_counts.count_tokens(none).count() == 0
     assert sstable.write_and_read(spark, none).count() == 0
     assert packing.pack(none).count() == 0
-
-
-def test_packing_retrieves_over_all_shards(spark):
-    rng = random.Random(5)
-    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(400)]
-    rows = []
-    for group in range(12):  # four documents of each subject, which hashes deal over the shards
-        own = words[group * 30 : group * 30 + 30]
-        rows += [(len(rows) + j, " ".join(rng.choice(own) for _ in range(60))) for j in range(4)]
-    docs, found = spark.createDataFrame(rows, "doc_id long, text string"), []
-    for shard_docs in (4, 1024):
-        by_sequence = {}
-        for r in packing.pack(docs, window=600, shard_docs=shard_docs, batch=8, page=3).collect():
-            by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["doc_id"]))
-        found.append([[d for _, d in sorted(by_sequence[s])] for s in sorted(by_sequence)])
-    assert found[0] == found[1]  # whatever the shards
-    for mine in found[0][:4]:
-        assert all(sum(d // 4 == m // 4 for m in mine) >= 2 for d in mine[:2])
-
-
-def test_packing_pages_until_the_window_is_full():
-    docs = [np.array([5, 6, 7 + k % 2], dtype=np.uint16) for k in range(60)]
-    first = [d for d, _, _ in packing.pack_shard(docs, window=90, page=4)[0]]
-    assert first == list(range(0, 60, 2))  # all thirty of its kind, more than a page
