@@ -70,19 +70,16 @@ class FragmentTable:
     def resolve(self, batch: list[str | None]) -> list[list]:
         if len(self.known) >= self.cache:
             self.known = dict(self.fixed)
-        known, lists, new = self.known, [], {}
-        for text in batch:
-            parts = self.split(text) if text else []
-            found = list(map(known.get, parts))
-            if None in found:
-                new.update(dict.fromkeys([p for p, x in zip(parts, found) if x is None]))
-                lists.append((parts, found))
-            else:
-                lists.append((None, found))
+        known = self.known
+        lists = [self.split(text) if text else [] for text in batch]
+        new = list(set().union(*lists).difference(known))
         if new:
-            new = dict(zip(new, self.learn(list(new))))
-            known.update({p: x for p, x in new.items() if len(p) <= KEPT_CHARS})
-        return [found if parts is None else [x if x is not None else new[p] for p, x in zip(parts, found)] for parts, found in lists]
+            known.update(zip(new, self.learn(new)))
+        out = [list(map(known.__getitem__, parts)) for parts in lists]
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                del known[p]
+        return out
 
 
 class ByteBPE:
@@ -192,17 +189,16 @@ class RankMerger:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
 
-    def _ranks(self, symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of the pair that begins at each symbol, and its table slot."""
-        keys = symbols[:-1] * self.size + symbols[1:]
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs (NONE where there is none), and what they merge to."""
+        keys = left * self.size + right
         slot = self._slot(keys)
         for _ in range(self.steps - 1):
             miss = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] >= 0))
             if not len(miss):
                 break
             slot[miss] = (slot[miss] + 1) & self.mask
-        fits = (self.keys[slot] == keys) & (of[:-1] == of[1:])
-        return np.append(np.where(fits, self.rank[slot], NONE), NONE), slot
+        return np.where(self.keys[slot] == keys, self.rank[slot], NONE), self.made[slot]
 
     def merge(self, symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, each id's sequence), in order, of symbols and their sequences
@@ -242,27 +238,37 @@ class RankMerger:
 
     def _rounds(self, symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         done_ids, done_of = [], []
+        # of the pair that begins at each symbol; kept over the rounds, as merges change only their neighbours'
+        rank, made = np.full(len(symbols), NONE, dtype=np.int64), np.zeros(len(symbols), dtype=np.int64)
+        at = np.flatnonzero(of[:-1] == of[1:])
+        rank[at], made[at] = self._ranks(symbols[at], symbols[at + 1])
         while len(symbols) > 1:
-            rank, slot = self._ranks(symbols, of)
             heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             size = np.diff(np.r_[heads, len(symbols)])
-            lowest = np.repeat(np.minimum.reduceat(rank, heads), size)
-            live = lowest != NONE
-            if not live.all():  # finished sequences leave the array
+            lowest = np.minimum.reduceat(rank, heads)
+            if (lowest == NONE).any():  # finished sequences leave the array
+                live = np.repeat(lowest != NONE, size)
                 done_ids.append(symbols[~live])
                 done_of.append(of[~live])
-                slot = np.append(slot, 0)[live]
-                symbols, of, rank, lowest = symbols[live], of[live], rank[live], lowest[live]
+                symbols, of, rank, made = symbols[live], of[live], rank[live], made[live]
                 if not len(symbols):
                     break
-            at = np.flatnonzero(rank == lowest)
+                size, lowest = size[lowest != NONE], lowest[lowest != NONE]
+            at = np.flatnonzero(rank == np.repeat(lowest, size))
             # of overlapping hits (aa in aaa) every second counts, from the left
             run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
-            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
-            symbols[at] = self.made[slot[at]]
+            if len(run) < len(at):
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            symbols[at] = made[at]
             stays = np.ones(len(symbols), dtype=bool)
             stays[at + 1] = False
-            symbols, of = symbols[stays], of[stays]
+            symbols, of, rank, made = symbols[stays], of[stays], rank[stays], made[stays]
+            at -= np.arange(len(at))  # where the merged symbols stand now
+            at = np.concatenate([at, at[at > 0] - 1])
+            rank[at] = NONE
+            at = at[at + 1 < len(symbols)]
+            at = at[of[at] == of[at + 1]]
+            rank[at], made[at] = self._ranks(symbols[at], symbols[at + 1])
         ids, of = np.concatenate([*done_ids, symbols]), np.concatenate([*done_of, of])
         order = np.argsort(of, kind="stable")
         return ids[order], of[order]

@@ -72,32 +72,38 @@ class Statistics:
 
 
 class Index:
-    """BM25 postings of a shard, by the terms that two of its documents hold."""
+    """BM25 of a shard, by the terms that two of its documents hold: those of
+    many documents as rows of a matrix, whose sums for all seeds are one
+    product of matrices, the others as postings."""
 
     def __init__(self, docs: list[np.ndarray], stats: Statistics):
         terms, counts = zip(*(np.unique(x, return_counts=True) for x in docs))
+        n, held = len(docs), [len(x) for x in terms]
         size = np.array([len(x) for x in docs])
-        held = np.array([len(x) for x in terms])
-        doc, term, tf = np.repeat(np.arange(len(docs)), held), np.concatenate(terms).astype(np.int64), np.concatenate(counts)
+        doc, term, tf = np.repeat(np.arange(n), held), np.concatenate(terms).astype(np.int64), np.concatenate(counts)
         df = np.bincount(term)
-        several = df[term] > 1
-        doc, term, tf = doc[several], term[several], tf[several]
-        self.n = len(docs)
-        self.of = np.searchsorted(doc, np.arange(self.n + 1))
-        self.terms = term
-        order = np.argsort(term.astype(np.uint32), kind="stable")
-        self.doc, self.term_df = doc[order], df
-        first = np.cumsum(np.where(df > 1, df, 0))
-        self.start = first - np.where(df > 1, df, 0)
-        tf = tf[order]
-        self.weight = stats.idf[term[order]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / stats.mean))
+        weight = stats.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / stats.mean))
+        many = np.flatnonzero(df > max(8, n // 16))
+        row = np.full(len(df), -1, dtype=np.int64)
+        row[many] = np.arange(len(many))
+        common, few = row[term] >= 0, (row[term] < 0) & (df[term] > 1)
+        asked, held_by = np.zeros((n, len(many)), dtype=np.float32), np.zeros((len(many), n), dtype=np.float32)
+        asked[doc[common], row[term[common]]] = 1
+        held_by[row[term[common]], doc[common]] = weight[common]
+        self.common = asked @ held_by
+        doc, self.terms, weight = doc[few], term[few], weight[few]
+        self.of = np.searchsorted(doc, np.arange(n + 1))
+        order = np.argsort(self.terms, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.df = np.where((row < 0) & (df > 1), df, 0)
+        self.start = np.cumsum(self.df) - self.df
 
     def scores(self, seed: int) -> np.ndarray:
         """Of all the seed's terms against each document."""
         terms = self.terms[self.of[seed] : self.of[seed + 1]]
-        n = self.term_df[terms]
+        n = self.df[terms]
         at = np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n).round(3)
+        return (self.common[seed] + np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.common))).round(2)
 
 
 class Packer:
@@ -161,6 +167,7 @@ def _encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_bpe.codec(vocab)
         end, df = np.array([end_id], dtype=codec.dtype), np.zeros(max(codec.library.get_vocab_size(), end_id + 1), dtype=np.int64)
+        held = np.zeros(len(df), dtype=bool)
 
         def rows(kind: int, names: pa.Array, n: list[int], blobs: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), names, pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "doc_id", "n", "ids"])
@@ -169,7 +176,10 @@ def _encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
             for first, part in in_slices(batch.column(1)):
                 ids = [np.concatenate([x, end]) for x in codec.encode(part)]
                 for x in ids:
-                    df[np.unique(x)] += 1
+                    held[x] = True
+                    distinct = np.flatnonzero(held)
+                    df[distinct] += 1
+                    held[distinct] = False
                 yield rows(DOC, batch.column(0).slice(first, len(ids)), [len(x) for x in ids], [x.astype(f"<u{x.dtype.itemsize}").tobytes() for x in ids])
         yield rows(COUNTS, pa.array([None], pa.int64()), [len(df)], [df.astype("<i8").tobytes()])
 
