@@ -35,7 +35,7 @@ _FRAGMENT = re.compile(rf"[{WS}]*[^{WS}]+|[{WS}]+")
 _PRETOKEN = regex.compile(PATTERN)
 #: Fragments that a worker keeps, and the longest of them.
 CACHE, KEPT_CHARS = 600_000, 48
-NONE = np.iinfo(np.int64).max
+NONE = np.iinfo(np.int32).max
 #: Sequences of more symbols are merged by a heap.
 LONG = 4096
 
@@ -53,13 +53,26 @@ def utf8(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(pieces).encode(), dtype=np.uint8), np.array(size, dtype=np.int64)
 
 
+class _Known(dict):
+    """Values of fragments; one that isn't held is noted as new, with None."""
+
+    new: list[str]
+
+    def __missing__(self, fragment: str) -> None:
+        self[fragment] = None
+        self.new.append(fragment)
+
+
 class FragmentTable:
     """What is known of fragments, for lists of texts; what isn't known yet is
     learned together. fixed: values that hold without learning."""
 
     def __init__(self, fixed: dict, cache: int = CACHE):
         self.fixed, self.cache = fixed, cache
-        self.known = dict(fixed)
+        self.empty()
+
+    def empty(self) -> None:
+        self.known = _Known(self.fixed)
 
     def split(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -68,17 +81,31 @@ class FragmentTable:
         raise NotImplementedError
 
     def resolve(self, batch: list[str | None]) -> list[list]:
-        if len(self.known) >= self.cache:
-            self.known = dict(self.fixed)
-        known = self.known
-        lists = [self.split(text) if text else [] for text in batch]
-        new = list(set().union(*lists).difference(known))
+        known, lists, out = self.known, [], []
+        known.new = new = []
+        look = known.__getitem__
+        for text in batch:
+            lists.append(self.split(text) if text else [])
+            out.append(list(map(look, lists[-1])))
         if new:
-            known.update(zip(new, self.learn(new)))
-        out = [list(map(known.__getitem__, parts)) for parts in lists]
+            try:
+                known.update(zip(new, self.learn(new), strict=True))
+            except BaseException:
+                self.empty()
+                raise
+            for parts, found in zip(lists, out):
+                at = -1
+                for _ in range(found.count(None)):
+                    at = found.index(None, at + 1)
+                    found[at] = known[parts[at]]
+        if len(known) >= self.cache:  # what this batch holds stays
+            self.empty()
+            for parts, found in zip(lists, out):
+                self.known.update(zip(parts, found))
+            known = self.known
         for p in new:
             if len(p) > KEPT_CHARS:
-                del known[p]
+                known.pop(p, None)
         return out
 
 
@@ -175,8 +202,8 @@ class RankMerger:
         # an open-addressing table: one gather finds nearly every pair
         self.mask = np.int64((1 << bits) - 1)
         self.keys = np.full(1 << bits, -1, dtype=np.int64)
-        self.rank = np.full(1 << bits, NONE, dtype=np.int64)
-        self.made = np.zeros(1 << bits, dtype=np.int64)
+        self.rank = np.full(1 << bits, NONE, dtype=np.int32)
+        self.made = np.zeros(1 << bits, dtype=np.int32)
         self.steps = 1
         for (a, b), (rank, made) in merges.items():
             key, step = a * size + b, 1
@@ -191,7 +218,7 @@ class RankMerger:
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of pairs (NONE where there is none), and what they merge to."""
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         slot = self._slot(keys)
         for _ in range(self.steps - 1):
             miss = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] >= 0))
@@ -237,9 +264,9 @@ class RankMerger:
         return [x for x in ids if x >= 0]
 
     def _rounds(self, symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        done_ids, done_of = [], []
+        symbols, of, done_ids, done_of = symbols.astype(np.int32), of.astype(np.int32), [], []
         # of the pair that begins at each symbol; kept over the rounds, as merges change only their neighbours'
-        rank, made = np.full(len(symbols), NONE, dtype=np.int64), np.zeros(len(symbols), dtype=np.int64)
+        rank, made = np.full(len(symbols), NONE, dtype=np.int32), np.zeros(len(symbols), dtype=np.int32)
         at = np.flatnonzero(of[:-1] == of[1:])
         rank[at], made[at] = self._ranks(symbols[at], symbols[at + 1])
         while len(symbols) > 1:

@@ -95,15 +95,16 @@ class Scorer(byte_bpe.FragmentTable):
     def __init__(self, model: Model, cache: int = byte_bpe.CACHE):
         self.model = model
         self.rows = np.zeros((1 << 16, max(1, len(model.languages))), dtype=np.float32)
-        self.used = 1
         super().__init__({}, cache)
 
+    def empty(self) -> None:
+        super().empty()
+        self.used = 1
+
     def split(self, text: str) -> list[str]:
         return text.split()
 
     def learn(self, fragments: list[str]) -> list[int]:
-        if len(self.known) <= len(self.fixed):  # the table has been emptied
-            self.used = 1
         out = []
         for word in fragments:
             found = self.model.word(word)
@@ -119,8 +120,8 @@ class Scorer(byte_bpe.FragmentTable):
 
     def predict(self, batch: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        if self.used > 2 * self.cache:  # words too long to keep have filled it
-            self.known = dict(self.fixed)
+        if self.used > 2 * self.cache:  # words that aren't kept have filled it
+            self.empty()
         for found in self.resolve(batch):
             at = np.array(found, dtype=np.int64)
             at = at[at > 0]

@@ -45,8 +45,6 @@ from quarry.llm.common import materialize, shuffle_parts, texts
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SHARD_DOCS, WINDOW, K1, B = 1024, 2048, 1.2, 0.75
 RANGES, SAMPLE_KEYS = 1 << 14, 16
-#: Kinds of rows: an encoded document, a task's document frequencies.
-DOC, COUNTS = 0, 1
 
 
 def weights_of(df: np.ndarray, n: int) -> np.ndarray:
@@ -162,15 +160,16 @@ class Packer:
 
 
 def _encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
-    """kind, doc_id, n, ids: documents' ids with the end id; tasks' counts."""
+    """doc_id, n, ids: documents' ids with the end id; and a row for each task
+    with its document frequencies alone (counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_bpe.codec(vocab)
         end, df = np.array([end_id], dtype=codec.dtype), np.zeros(max(codec.library.get_vocab_size(), end_id + 1), dtype=np.int64)
         held = np.zeros(len(df), dtype=bool)
 
-        def rows(kind: int, names: pa.Array, n: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), names, pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "doc_id", "n", "ids"])
+        def rows(names: pa.Array, n: list, ids: list, counts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n", "ids", "counts"])
 
         for batch in batches:
             for first, part in in_slices(batch.column(1)):
@@ -180,10 +179,10 @@ def _encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
                     distinct = np.flatnonzero(held)
                     df[distinct] += 1
                     held[distinct] = False
-                yield rows(DOC, batch.column(0).slice(first, len(ids)), [len(x) for x in ids], [x.astype(f"<u{x.dtype.itemsize}").tobytes() for x in ids])
-        yield rows(COUNTS, pa.array([None], pa.int64()), [len(df)], [df.astype("<i8").tobytes()])
+                yield rows(batch.column(0).slice(first, len(ids)), [len(x) for x in ids], [x.astype(f"<u{x.dtype.itemsize}").tobytes() for x in ids], [None] * len(ids))
+        yield rows(pa.array([None], pa.int64()), [None], [None], [df.astype("<i8").tobytes()])
 
-    return texts(docs).mapInArrow(run, "kind int, doc_id long, n long, ids binary")
+    return texts(docs).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
 def _ids(blob: bytes, n: int) -> np.ndarray:
@@ -191,8 +190,8 @@ def _ids(blob: bytes, n: int) -> np.ndarray:
 
 
 def _statistics(encoded: DataFrame) -> tuple[Statistics, int]:
-    """Of all documents, and their number; counts are summed in the tasks'
-    order of terms, so only one row a term reaches the driver."""
+    """Of all documents, and their number; only one row a term reaches the
+    driver."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
@@ -203,8 +202,8 @@ def _statistics(encoded: DataFrame) -> tuple[Statistics, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64()), pa.array(np.full(len(at), len(total)), pa.int64())], names=["term", "df", "size"])
 
-    found = encoded.where(F.col("kind") == COUNTS).select("ids").mapInArrow(terms, "term long, df long, size long").groupBy("term", "size").agg(F.sum("df").alias("df")).toArrow()
-    n, tokens = encoded.where(F.col("kind") == DOC).agg(F.count("*"), F.sum("n")).first()
+    found = encoded.where(F.col("counts").isNotNull()).select("counts").mapInArrow(terms, "term long, df long, size long").groupBy("term", "size").agg(F.sum("df").alias("df")).toArrow()
+    n, tokens = encoded.where(F.col("n").isNotNull()).agg(F.count("*"), F.sum("n")).first()
     df = np.zeros(found["size"][0].as_py() if found.num_rows else 1, dtype=np.int64)
     df[found["term"].to_numpy()] = found["df"].to_numpy()
     return Statistics(df, n, tokens or 0), n
@@ -232,7 +231,7 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, win
 
         return rows.select("doc_id", "n", "ids", F.xxhash64("doc_id", "n").alias("tie")).mapInArrow(run, "key long" if bounds is None else "doc_id long, n long, ids binary, key long, range long")
 
-    rows = encoded.where(F.col("kind") == DOC)
+    rows = encoded.where(F.col("n").isNotNull()).select("doc_id", "n", "ids")
     every = max(1, n // (ranges * SAMPLE_KEYS))
     sample = keyed(rows.where(F.pmod(F.xxhash64("n", "doc_id"), F.lit(every)) == 0), None).toArrow()["key"].to_numpy() if ranges > 1 else np.zeros(0, dtype=np.int64)
     bounds = np.unique(np.sort(sample)[np.linspace(0, len(sample), ranges + 1).astype(np.int64)[1:-1]]) if len(sample) else sample

@@ -18,8 +18,8 @@ from quarry.llm.bpe_codec import runs_of_bytes
 from quarry.llm.common import vocabulary
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-#: Fixed: the vocabulary's pre-tokens, for plain chunks after lower-casing.
-_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Fixed: the vocabulary's pre-tokens, for plain chunks after lower-casing, and line ends between chunks.
+_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 #: Characters at which Python splits words but the vocabulary doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -52,23 +52,21 @@ class WordCodec(byte_bpe.FragmentTable):
         return [text] if _SEPARATORS.search(text) else text.split()
 
     def learn(self, fragments: list[str]) -> list[bytes]:
-        pieces, of_fragment, other = [], [], {}
-        for k, fragment in enumerate(fragments):
-            if "<|" in fragment or _PLAIN.fullmatch(fragment) is None:
-                other[k] = self.library.encode(fragment, add_special_tokens=False).ids
-                continue
-            found = _PRETOKEN.findall(fragment.lower())
-            pieces += found
-            of_fragment += [k] * len(found)
-        flat, size = byte_bpe.utf8(pieces)
-        symbols = self.inner[flat]
+        other = {k: self.library.encode(x, add_special_tokens=False).ids for k, x in enumerate(fragments) if "<|" in x or _PLAIN.fullmatch(x) is None}
+        plain = [x for k, x in enumerate(fragments) if k not in other] if other else fragments
+        # all plain chunks as one string, a line each
+        text = "\n".join(plain).lower()
+        pieces = _PRETOKEN.findall(text)
+        flat = np.frombuffer(text.encode(), dtype=np.uint8)
+        size = np.array([len(p) if p.isascii() else len(p.encode()) for p in pieces], dtype=np.int64)
         ends = np.cumsum(size) - 1
+        line_of = np.cumsum(flat[ends] == 10)
+        symbols = self.inner[flat]
         symbols[ends] = self.last[flat[ends]]
-        ids, of = self.merger.merge(symbols, np.repeat(np.arange(len(pieces)), size))
-        out = runs_of_bytes(ids.astype(self.dtype), np.array(of_fragment, dtype=np.int64)[of], len(fragments))
-        for k, ids in other.items():
-            out[k] = np.array(ids, dtype=self.dtype).tobytes()
-        return out
+        inside = flat != 10
+        ids, of = self.merger.merge(symbols[inside], np.repeat(np.arange(len(pieces)), size)[inside])
+        out = iter(runs_of_bytes(ids.astype(self.dtype), line_of[of], len(plain)))
+        return [np.array(other[k], dtype=self.dtype).tobytes() if k in other else next(out) for k in range(len(fragments))]
 
     def encode(self, batch: list[str | None]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(found), dtype=self.dtype) for found in self.resolve(batch)]
