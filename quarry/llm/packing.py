@@ -2,12 +2,13 @@
 
 Documents are encoded once, to files. Document counts, document frequencies
 and the mean length are those of the whole table. Each document gets a key of
-its content: the terms of smallest weighted hash (a consistent sample of its
-terms that favours rare ones, so likely the same for documents that share
-many), then a hash of its id. Documents lie in shards of up to SHARD_DOCS in
-the order of their keys: near copies and documents that share rare terms lie
-together whatever the size of the table, and large groups of equal documents
-go on over as many shards as they need.
+its content: its terms of smallest weighted hash (a consistent sample that
+favours late entries of the vocabulary, which are the longer and rarer ones,
+so likely the same for documents that share many), then a hash of its id.
+Documents lie in shards of up to SHARD_DOCS in the order of their keys: near
+copies and documents that share rare terms lie together whatever the size of
+the table, and large groups of equal documents go on over as many shards as
+they need.
 
 Each shard has a BM25 inverted index. Windows are filled greedily: the first
 unused document seeds a window, and its nearest unused documents of the shard,
@@ -18,9 +19,9 @@ leaves open goes on in the next shard of the same range of keys; the last
 window of each range stays short.
 
 Ranges of keys hold about SHARD_DOCS documents, until there are RANGES of them
-(then each holds several shards); their bounds come from a sample of keys, at
-most SAMPLE_KEYS a range, which decides where ranges begin and nothing else.
-What is collected: those keys, and one count for each vocabulary entry.
+(then each holds several shards). Spark's range partitioning says where they
+begin, from a sample that differs between runs, and nothing else hangs on it.
+What is collected: one count for each vocabulary entry.
 
 Null and empty texts are documents of the end id alone; very long texts are
 cut over as many windows as they fill. Repeated rows are packed as often as
@@ -40,11 +41,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm import word_bpe
 from quarry.llm.bpe_codec import in_slices
-from quarry.llm.common import materialize, shuffle_parts, texts
+from quarry.llm.common import materialize, texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SHARD_DOCS, WINDOW, K1, B = 1024, 2048, 1.2, 0.75
-RANGES, SAMPLE_KEYS = 1 << 14, 16
+RANGES = 1 << 14
 
 
 def weights_of(df: np.ndarray, n: int) -> np.ndarray:
@@ -57,11 +58,16 @@ class Statistics:
 
     def __init__(self, df: np.ndarray, n: int, tokens: int):
         self.idf, self.mean = weights_of(df, n).astype(np.float32), tokens / max(n, 1)
-        # weighted hashes, the smaller the likelier for high weights; terms of one document join nothing
-        u = np.random.default_rng(17).random((2, len(df)))
-        self.hashes = np.where(df > 1, -np.log1p(-u) / np.maximum(self.idf.astype(np.float64), 1e-9) ** 2, np.inf)
 
-    def key(self, ids: np.ndarray, tie: int) -> int:
+
+class Keys:
+    """Keys of content for a vocabulary of some size."""
+
+    def __init__(self, size: int):
+        u = np.random.default_rng(17).random((2, size))
+        self.hashes = (-np.log1p(-u) / np.log(np.arange(size) + 2.0) ** 8).astype(np.float32)  # the smaller the likelier for late entries
+
+    def of(self, ids: np.ndarray, tie: int) -> int:
         """The document's place in order: two terms, and 23 bits of tie."""
         out = 0
         for h in self.hashes:
@@ -160,16 +166,16 @@ class Packer:
 
 
 def _encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
-    """doc_id, n, ids: documents' ids with the end id; and a row for each task
+    """doc_id, key, n, ids: documents' ids with the end id; and a row for each task
     with its document frequencies alone (counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_bpe.codec(vocab)
         end, df = np.array([end_id], dtype=codec.dtype), np.zeros(max(codec.library.get_vocab_size(), end_id + 1), dtype=np.int64)
-        held = np.zeros(len(df), dtype=bool)
+        held, keys = np.zeros(len(df), dtype=bool), Keys(len(df))
 
-        def rows(names: pa.Array, n: list, ids: list, counts: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n", "ids", "counts"])
+        def rows(names: pa.Array, key: list, n: list, ids: list, counts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([names, pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "key", "n", "ids", "counts"])
 
         for batch in batches:
             for first, part in in_slices(batch.column(1)):
@@ -179,10 +185,11 @@ def _encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
                     distinct = np.flatnonzero(held)
                     df[distinct] += 1
                     held[distinct] = False
-                yield rows(batch.column(0).slice(first, len(ids)), [len(x) for x in ids], [x.astype(f"<u{x.dtype.itemsize}").tobytes() for x in ids], [None] * len(ids))
-        yield rows(pa.array([None], pa.int64()), [None], [None], [df.astype("<i8").tobytes()])
+                key = [keys.of(x, t) for x, t in zip(ids, batch.column(2).slice(first, len(ids)).to_pylist())]
+                yield rows(batch.column(0).slice(first, len(ids)), key, [len(x) for x in ids], [x.astype(f"<u{x.dtype.itemsize}").tobytes() for x in ids], [None] * len(ids))
+        yield rows(pa.array([None], pa.int64()), [None], [None], [None], [df.astype("<i8").tobytes()])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
+    return texts(docs).withColumn("tie", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, key long, n long, ids binary, counts binary")
 
 
 def _ids(blob: bytes, n: int) -> np.ndarray:
@@ -217,26 +224,8 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, win
     stats, n = _statistics(encoded)
     shared = spark.sparkContext.broadcast(stats)  # three numbers a vocabulary entry
     ranges = min(max(1, -(-n // shard_docs)), ranges)
-
-    def keyed(rows: DataFrame, bounds: np.ndarray | None) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            for batch in batches:
-                size, blobs, ties = batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()
-                keys = np.array([known.key(_ids(b.as_py(), z), t) for b, z, t in zip(blobs, size, ties)], dtype=np.int64)
-                if bounds is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(keys), pa.array(np.searchsorted(bounds, keys, side="right"))], names=["doc_id", "n", "ids", "key", "range"])
-
-        return rows.select("doc_id", "n", "ids", F.xxhash64("doc_id", "n").alias("tie")).mapInArrow(run, "key long" if bounds is None else "doc_id long, n long, ids binary, key long, range long")
-
-    rows = encoded.where(F.col("n").isNotNull()).select("doc_id", "n", "ids")
-    every = max(1, n // (ranges * SAMPLE_KEYS))
-    sample = keyed(rows.where(F.pmod(F.xxhash64("n", "doc_id"), F.lit(every)) == 0), None).toArrow()["key"].to_numpy() if ranges > 1 else np.zeros(0, dtype=np.int64)
-    bounds = np.unique(np.sort(sample)[np.linspace(0, len(sample), ranges + 1).astype(np.int64)[1:-1]]) if len(sample) else sample
-    parts = max(1, min(len(bounds) + 1, max(shuffle_parts(spark), ranges // 8)))
-    dealt = keyed(rows, bounds).repartition(parts, "range").sortWithinPartitions("range", "key", "doc_id", "ids")
+    rows = encoded.where(F.col("n").isNotNull()).select("key", "doc_id", "n", "ids").repartitionByRange(ranges, "key")
+    dealt = rows.sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "n", "ids", F.spark_partition_id().cast("long").alias("range"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, at, packer = shared.value, None, None
@@ -273,7 +262,7 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, win
             return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for name, size, blob, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(4).to_pylist()):
+            for name, size, blob, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 if of != at:
                     flush(True)
                     at, packer, k = of, Packer(known, window), 0

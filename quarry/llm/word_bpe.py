@@ -17,11 +17,22 @@ from quarry.llm import byte_bpe
 from quarry.llm.bpe_codec import runs_of_bytes
 from quarry.llm.common import vocabulary
 
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+#: Whether a character is plain; all beyond Latin-1 are not.
+_PLAIN = np.array([c == 10 or 33 <= c <= 126 or (192 <= c <= 255 and c not in (215, 247)) for c in range(257)])
 #: Fixed: the vocabulary's pre-tokens, for plain chunks after lower-casing, and line ends between chunks.
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
-#: Characters at which Python splits words but the vocabulary doesn't.
+#: Characters at which Python splits words but the vocabulary doesn't, and runs of the others.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_CHUNK = re.compile(r"[\S\x1c-\x1f]+")
+
+
+def _other(chunks: list[str]) -> list[int]:
+    """Which chunks hold other characters, or could hold a special string."""
+    code = np.frombuffer("\n".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    bad = ~_PLAIN[np.minimum(code, 256)]
+    bad[:-1] |= (code[:-1] == ord("<")) & (code[1:] == ord("|"))
+    lines = np.flatnonzero(code == 10)
+    return np.unique(np.searchsorted(lines, np.flatnonzero(bad))).tolist()
 
 
 class WordCodec(byte_bpe.FragmentTable):
@@ -49,24 +60,28 @@ class WordCodec(byte_bpe.FragmentTable):
         super().__init__({}, cache)
 
     def split(self, text: str) -> list[str]:
-        return [text] if _SEPARATORS.search(text) else text.split()
+        return _CHUNK.findall(text) if _SEPARATORS.search(text) else text.split()
 
     def learn(self, fragments: list[str]) -> list[bytes]:
-        other = {k: self.library.encode(x, add_special_tokens=False).ids for k, x in enumerate(fragments) if "<|" in x or _PLAIN.fullmatch(x) is None}
+        other = {k: self.library.encode(fragments[k], add_special_tokens=False).ids for k in _other(fragments)}
         plain = [x for k, x in enumerate(fragments) if k not in other] if other else fragments
         # all plain chunks as one string, a line each
         text = "\n".join(plain).lower()
-        pieces = _PRETOKEN.findall(text)
         flat = np.frombuffer(text.encode(), dtype=np.uint8)
-        size = np.array([len(p) if p.isascii() else len(p.encode()) for p in pieces], dtype=np.int64)
-        ends = np.cumsum(size) - 1
-        line_of = np.cumsum(flat[ends] == 10)
+        if not len(flat):
+            return [np.array(other[k], dtype=self.dtype).tobytes() for k in range(len(fragments))]
+        ends = np.cumsum(np.fromiter(map(len, _PRETOKEN.findall(text)), dtype=np.int64))
+        begins = np.append(np.flatnonzero((flat & 0xC0) != 0x80), len(flat))  # of characters
+        ends = begins[ends]
         symbols = self.inner[flat]
-        symbols[ends] = self.last[flat[ends]]
+        symbols[ends - 1] = self.last[flat[ends - 1]]
         inside = flat != 10
-        ids, of = self.merger.merge(symbols[inside], np.repeat(np.arange(len(pieces)), size)[inside])
-        out = iter(runs_of_bytes(ids.astype(self.dtype), line_of[of], len(plain)))
-        return [np.array(other[k], dtype=self.dtype).tobytes() if k in other else next(out) for k in range(len(fragments))]
+        line_of = np.cumsum(flat[ends - 1] == 10)
+        ids, of = self.merger.merge(symbols[inside], np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[inside])
+        out = runs_of_bytes(ids.astype(self.dtype), line_of[of], len(plain))
+        for k in sorted(other):
+            out.insert(k, np.array(other[k], dtype=self.dtype).tobytes())
+        return out
 
     def encode(self, batch: list[str | None]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(found), dtype=self.dtype) for found in self.resolve(batch)]
