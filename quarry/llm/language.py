@@ -5,16 +5,22 @@ n-grams. A word that the model knows scores by its own log frequencies; one it
 doesn't know falls back to its longest n-grams of which some are known, from
 five characters down to one. A document's scores are sums over its words.
 
-The model is learned on the driver from at most SAMPLE rows a language (those
-with the smallest hash of their id) and at most LANGUAGES languages (the most
-frequent ones), both parameters, so its size is bounded whatever the corpus;
-it is broadcast. Prediction is one pass without a shuffle; each worker keeps
-the scores of words it has met.
+The model is learned on the driver from at most SAMPLE rows of each language
+(those with the smallest hash of their id; a parameter), every language that
+the table holds included, so its size depends on the number of languages alone.
+Words, and n-grams of more than two characters, that those rows hold fewer than
+LEAST times aren't kept, as one or two occurrences say little of a frequency.
+The model is broadcast. Prediction is one pass without a shuffle; each worker
+keeps the scores of words it has met.
 
 Words are runs between white space, reduced to their letters, lower-cased.
 lang_pred is `und`, with score 0, if a text is null or has no letter, or if
 there is nothing to learn from; ties go to the first language by name. score
-is the softmax of the sums over the square root of the number of words.
+is the softmax of the sums over the square root of the number of words. Whole
+texts count, however long; repeated rows, also of one doc_id with different
+texts or languages, are rows like any other, and teach with their own text;
+rows without doc_id are predicted but teach nothing. An empty table gives no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from quarry.llm import byte_bpe
 from quarry.llm.bpe_codec import in_slices
 from quarry.llm.common import crc_fold, texts
 
-SAMPLE, LANGUAGES, LEAST, LONGEST, SMOOTH = 1000, 64, 3, 5, 0.5
+SAMPLE, LEAST, LONGEST, SMOOTH = 1000, 3, 5, 0.5
 
 
 def letters(word: str) -> str:
@@ -137,22 +143,20 @@ class Scorer(byte_bpe.FragmentTable):
         return langs, scores
 
 
-def sample_rows(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SAMPLE, languages: int = LANGUAGES) -> list[tuple[str, str | None]]:
-    """(lang, text) of at most sample rows of each of the most frequent
-    languages, outside the held-out fold."""
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    keys = keys.where(F.col("lang").isNotNull() & (crc_fold("doc_id", folds) != fold))
-    most = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not most:
+def sample_rows(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SAMPLE) -> list[tuple[str, str | None]]:
+    """(lang, text) of at most sample rows of each language, outside the
+    held-out fold."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & (crc_fold("doc_id", folds) != fold))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
         return []
-    # ids whose hash is low enough to be among the first, before any shuffle
-    share = F.create_map(*[F.lit(x) for r in most for x in (r["lang"], min(1.0, 2.0 * sample / r["count"]))])
-    keys = keys.withColumn("h", F.xxhash64("doc_id")).where(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "doc_id")
-    keys = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
-    found = texts(docs).join(F.broadcast(keys), "doc_id").select("doc_id", "lang", "text")  # at most sample x languages rows
-    found = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    return [(r["lang"], r["text"]) for r in found.orderBy("doc_id", "lang").collect()]
+    # rows whose hash is low enough to be among the first, before any shuffle
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2.0 * sample / n))])
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("h") < F.element_at(share, F.col("lang")) * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    found = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    return [(r["lang"], r["text"]) for r in found.select("lang", "r", "text").orderBy("lang", "r").collect()]  # at most sample rows a language
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -187,9 +191,9 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SAMPL
     return scored.select("doc_id", F.coalesce(crc_fold("doc_id", folds) == fold, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.35, fold: int = 2, folds: int = 4, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, all columns, that have a language: not `und`, and a
-    score of at least least."""
+def keep_known(docs: DataFrame, least: float = 0.0, fold: int = 2, folds: int = 4, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, that have a language: not `und`, and (if
+    it is asked for) a score of at least least."""
     shared = _model(docs, fold, folds, sample)
     at = docs.columns.index("text")
 

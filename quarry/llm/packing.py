@@ -18,10 +18,10 @@ of a document opens the next window and is its seed. A window that a shard
 leaves open goes on in the next shard of the same range of keys; the last
 window of each range stays short.
 
-Ranges of keys hold about SHARD_DOCS documents, until there are RANGES of them
-(then each holds several shards). Spark's range partitioning says where they
-begin, from a sample that differs between runs, and nothing else hangs on it.
-What is collected: one count for each vocabulary entry.
+A task packs a range of keys, of RANGE_SHARDS shards or so. Spark's range
+partitioning says where ranges begin, from a sample that differs between runs;
+nothing else hangs on it. What is collected: one count for each vocabulary
+entry.
 
 Null and empty texts are documents of the end id alone; very long texts are
 cut over as many windows as they fill. Repeated rows are packed as often as
@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm import word_bpe
 from quarry.llm.bpe_codec import in_slices
-from quarry.llm.common import materialize, texts
+from quarry.llm.common import materialize, shuffle_parts, texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SHARD_DOCS, WINDOW, K1, B = 1024, 2048, 1.2, 0.75
-RANGES = 1 << 14
+RANGE_SHARDS = 8
 
 
 def weights_of(df: np.ndarray, n: int) -> np.ndarray:
@@ -216,14 +216,15 @@ def _statistics(encoded: DataFrame) -> tuple[Statistics, int]:
     return Statistics(df, n, tokens or 0), n
 
 
-def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, window: int = WINDOW, shard_docs: int = SHARD_DOCS, ranges: int = RANGES) -> DataFrame:
+def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset."""
     spark = docs.sparkSession
     encoded = materialize(_encoded(docs, vocab, end_id), "ids")
     stats, n = _statistics(encoded)
     shared = spark.sparkContext.broadcast(stats)  # three numbers a vocabulary entry
-    ranges = min(max(1, -(-n // shard_docs)), ranges)
+    shards = max(1, -(-n // shard_docs))
+    ranges = min(shards, max(shuffle_parts(spark), shards // RANGE_SHARDS))
     rows = encoded.where(F.col("n").isNotNull()).select("key", "doc_id", "n", "ids").repartitionByRange(ranges, "key")
     dealt = rows.sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "n", "ids", F.spark_partition_id().cast("long").alias("range"))
 

@@ -13,8 +13,11 @@ one pass without a shuffle.
 
 Every document also has one feature that stands for its end, so null and empty
 texts get the score that this alone gives. Null labels teach nothing; labels
-that repeat an id count once (the smallest label). Without any labelled row of
-both classes every score is 0.5.
+that repeat an id count once (the smallest label), and so do documents that do
+(the smallest text); repeated rows are scored as often as they come. Without
+any labelled row of both classes every score is 0.5. Whole texts count, however
+long; an empty table gives no rows. Columns other than doc_id and text,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -153,9 +156,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int =
     the held-out fold, those with the smallest hashes of their ids."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & (crc_fold("doc_id", folds) != fold))
-    known = known.withColumn("h", F.xxhash64("doc_id"))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     known = reduce(DataFrame.unionByName, [known.where(F.col("quality") == y).orderBy("h", "doc_id").limit(sample) for y in (0, 1)])
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     found = texts(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")  # at most 2 x sample rows
     found = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     return [(r["text"], r["quality"]) for r in sorted(found.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))]

@@ -1,8 +1,10 @@
 """Classifier, language model and licence rules: accuracy and edge cases."""
 
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from quarry.llm import language, licenses, quality
@@ -84,6 +86,50 @@ def test_language_learns_nothing_from_null(spark):
     assert {r["lang_pred"] for r in language.identify(rows).collect()} == {"und"}
 
 
+def test_language_equals_plain_scoring(docs):
+    model = language.Model(language.sample_rows(docs))
+    plain = {}
+    for r in docs.collect():
+        known = [x for x in map(model.word, (r["text"] or "").split()) if x is not None]
+        if not known:
+            plain[r["doc_id"], r["text"]] = ("und", 0.0)
+            continue
+        total = np.sum(np.array(known, dtype=np.float64), axis=0) / math.sqrt(len(known))
+        p = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        plain[r["doc_id"], r["text"]] = (model.languages[int(total.argmax())], float(p.max()))
+    found = [(r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in language.identify(docs).collect()]
+    assert set(found) == {(i, lang, round(x, 6)) for (i, _), (lang, x) in plain.items()} and len(found) == docs.count()
+
+
+def test_language_learns_each_row_with_its_own_text(spark):
+    rows = [(k, text, lang) for k in range(200) for lang, text in (("de", "der die und das nicht"), ("en", "the of and to in"), (None, "a b c"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r["lang"], r["text"]) for r in spark.createDataFrame(language.sample_rows(docs), "lang string, text string").distinct().collect()} == {("de", "der die und das nicht"), ("en", "the of and to in")}
+    assert len(language.sample_rows(docs, sample=20)) == 40
+
+
+def test_language_learns_every_language(spark):
+    rows = [(10 * i + j, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 4, f"l{i:02}") for i in range(70) for j in range(8)]
+    found = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {i: lang for i, _, lang in rows}
+
+
+def test_quality_equals_a_plain_forward_pass(docs, labels):
+    vectors, layer = quality.train(quality.sample_rows(docs, labels))
+    found = {(r["doc_id"], round(r["score"], 5)) for r in quality.classify(docs, labels).collect()}
+    for r in docs.where("doc_id < 60 OR doc_id >= 1000").collect():
+        words = (r["text"] or "").split()
+        at = [b for w in words for b in quality.word_features([w])[0].tolist()] + [quality.END] + [quality.REPEAT] * sum(a == b for a, b in zip(words, words[1:]))
+        logit = layer.astype(np.float64) @ vectors[at].astype(np.float64).mean(axis=0)
+        score = 1 / (1 + math.exp(-max(-30, min(30, logit[1] - logit[0]))))
+        assert any(i == r["doc_id"] and abs(x - score) < 2e-4 for i, x in found)
+
+
+def test_repeated_labels_fill_no_sample(spark, docs):
+    labels = spark.createDataFrame([(2, 1)] * 50 + [(3, 0)] * 50 + [(i, i % 2) for i in range(4, 80)], "doc_id long, quality int")
+    assert len(quality.sample_rows(docs, labels, sample=20)) == 40
+
+
 def test_licenses(spark):
     mit = " ".join(s for k in ("MITGrant", "MITNotice") for s in licenses.SENTENCES[k][:1])
     rows = [

@@ -239,7 +239,8 @@ def test_packing_keeps_like_documents_together(spark):
     assert sum(beside) > 100  # of 180 neighbours that documents could have
 
 
-def test_packing_splits_a_hot_group(spark):
+def test_packing_splits_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_SHARDS", 1)
     rows = [(i, "one and the same text of a few words" if i % 3 else f"text {i} of its own words w{i} x{i}") for i in range(300)]
     found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=64, shard_docs=8).collect()
     ranges = {}
