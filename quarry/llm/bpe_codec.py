@@ -66,14 +66,9 @@ def runs_of_bytes(ids: np.ndarray, of: np.ndarray, n: int) -> list[bytes]:
     return out
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(name: str) -> Codec:
     """One codec for each vocabulary and worker."""
-    if name not in _CODECS:
-        _CODECS[name] = Codec(name)
-    return _CODECS[name]
+    return byte_bpe.table_of((Codec, name), lambda: Codec(name))
 
 
 def in_slices(column: pa.Array, rows: int = TEXTS, chars: int = CHARS) -> Iterator[tuple[int, list[str | None]]]:

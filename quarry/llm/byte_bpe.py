@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -109,6 +110,18 @@ class FragmentTable:
         return out
 
 
+_TABLE: dict[tuple, FragmentTable] = {}
+
+
+def table_of(key: tuple, make: Callable[[], FragmentTable]) -> FragmentTable:
+    """The worker's table for key. It holds one at a time, so those of earlier
+    stages don't add up in workers that go on."""
+    if key not in _TABLE:
+        _TABLE.clear()
+        _TABLE[key] = make()
+    return _TABLE[key]
+
+
 class ByteBPE:
     """Tables of one vocabulary file. special: strings that are one token each."""
 

@@ -159,16 +159,9 @@ def sample_rows(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SA
     return [(r["lang"], r["text"]) for r in found.select("lang", "r", "text").orderBy("lang", "r").collect()]  # at most sample rows a language
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(packed: bytes) -> Scorer:
     """One scorer for each model and worker."""
-    mark = zlib.crc32(packed)
-    if mark not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[mark] = Scorer(pickle.loads(packed))
-    return _SCORERS[mark]
+    return byte_bpe.table_of((Scorer, zlib.crc32(packed)), lambda: Scorer(pickle.loads(packed)))
 
 
 def _model(docs: DataFrame, fold: int, folds: int, sample: int) -> Broadcast:

@@ -163,16 +163,9 @@ def sample_rows(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int =
     return [(r["text"], r["quality"]) for r in sorted(found.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))]
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(logits: np.ndarray) -> Scorer:
     """One scorer for each model and worker."""
-    mark = zlib.crc32(logits.tobytes())
-    if mark not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[mark] = Scorer(logits)
-    return _SCORERS[mark]
+    return byte_bpe.table_of((Scorer, zlib.crc32(logits.tobytes())), lambda: Scorer(logits))
 
 
 def _model(docs: DataFrame, labels: DataFrame, fold: int, folds: int, sample: int) -> Broadcast:

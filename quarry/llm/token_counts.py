@@ -39,16 +39,11 @@ class Counter(byte_bpe.FragmentTable):
         return list(map(sum, self.resolve(batch)))
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocab not in _COUNTERS:
-            _COUNTERS[vocab] = Counter(vocab)
-        counter = _COUNTERS[vocab]
+        counter = byte_bpe.table_of((Counter, vocab), lambda: Counter(vocab))
         for batch in batches:
             for first, rows in in_slices(batch.column(1)):
                 n = counter.counts(rows)

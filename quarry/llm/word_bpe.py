@@ -87,11 +87,6 @@ class WordCodec(byte_bpe.FragmentTable):
         return [np.frombuffer(b"".join(found), dtype=self.dtype) for found in self.resolve(batch)]
 
 
-_CODECS: dict[str, WordCodec] = {}
-
-
 def codec(name: str) -> WordCodec:
     """One codec for each vocabulary and worker."""
-    if name not in _CODECS:
-        _CODECS[name] = WordCodec(name)
-    return _CODECS[name]
+    return byte_bpe.table_of((WordCodec, name), lambda: WordCodec(name))
