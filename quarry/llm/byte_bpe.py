@@ -20,6 +20,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from quarry.llm.common import vocabulary
@@ -36,6 +37,8 @@ _FRAGMENT = re.compile(rf"[{WS}]*[^{WS}]+|[{WS}]+")
 _PRETOKEN = regex.compile(PATTERN)
 #: Fragments that a worker keeps, and the longest of them.
 CACHE, KEPT_CHARS = 600_000, 48
+#: Words whose scores a worker keeps.
+SCORES = 300_000
 NONE = np.iinfo(np.int32).max
 #: Sequences of more symbols are merged by a heap.
 LONG = 4096
@@ -117,11 +120,18 @@ def table_of(key: tuple, make: Callable[[], FragmentTable]) -> FragmentTable:
     """The worker's table for key. It holds one at a time, so those of earlier
     stages don't add up in workers that go on."""
     if key not in _TABLE:
-        _TABLE.clear()
+        release()
         _TABLE[key] = make()
+    pa.default_memory_pool().release_unused()  # what the batches of earlier tasks have taken
     return _TABLE[key]
 
 
+def release() -> None:
+    """Gives back what the worker holds for other stages."""
+    _TABLE.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class ByteBPE:
     """Tables of one vocabulary file. special: strings that are one token each."""
 

@@ -98,7 +98,7 @@ class Model:
 class Scorer(byte_bpe.FragmentTable):
     """Words' row in a growing array of scores; row 0: no letter."""
 
-    def __init__(self, model: Model, cache: int = byte_bpe.CACHE):
+    def __init__(self, model: Model, cache: int = byte_bpe.SCORES):
         self.model = model
         self.rows = np.zeros((1 << 16, max(1, len(model.languages))), dtype=np.float32)
         super().__init__({}, cache)

@@ -127,7 +127,7 @@ def bucket_logits(vectors: np.ndarray, layer: np.ndarray) -> np.ndarray:
 class Scorer(byte_bpe.FragmentTable):
     """Words' (sum of logits, number of features), as complex numbers."""
 
-    def __init__(self, logits: np.ndarray, cache: int = byte_bpe.CACHE):
+    def __init__(self, logits: np.ndarray, cache: int = byte_bpe.SCORES):
         self.logits = logits
         self.end, self.repeat = complex(float(logits[END]), 1), complex(float(logits[REPEAT]), 1)
         super().__init__({}, cache)

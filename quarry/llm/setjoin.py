@@ -52,6 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import byte_bpe
 from quarry.llm.bpe_codec import in_slices
 from quarry.llm.common import discard, materialize, shuffle_parts, texts
 from quarry.llm.components import UnionFind, components
@@ -233,6 +234,7 @@ def _emit(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, turn = Bands(num, den), 0
+        byte_bpe.release()
         for batch in batches:
             names = batch.column(0).to_pylist()
             for first, rows in in_slices(batch.column(1), rows=2048, chars=1 << 22):
