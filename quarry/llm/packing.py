@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import word_bpe
+from quarry.llm import byte_bpe, word_bpe
 from quarry.llm.bpe_codec import in_slices
 from quarry.llm.common import materialize, shuffle_parts, texts
 
@@ -229,6 +229,7 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, win
     dealt = rows.sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "n", "ids", F.spark_partition_id().cast("long").alias("range"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        byte_bpe.release()  # the words met while encoding
         known, at, packer = shared.value, None, None
         held: dict[int, tuple[int | None, np.ndarray]] = {}  # documents of open windows, by number
         waiting: list[tuple[int | None, np.ndarray]] = []

@@ -60,7 +60,7 @@ from quarry.llm.components import UnionFind, components
 #: Ratio of a band's sizes, segments kept for hot keys (a share), a key's documents before it is hot.
 RATIO, SPARE, HOT = 1.4, 0.1, 64
 #: Documents of a block that is compared at once, bits of the map of needed documents, characters a bucket.
-TILE, MAP_BITS, BUCKET_CHARS = 512, 1 << 24, 1 << 24
+TILE, MAP_BITS, BUCKET_CHARS = 512, 1 << 24, 1 << 23
 #: Routes of at most so many rows (some 10 MB) are broadcast; steps to the root of a hot key's centre.
 FEW, HOPS = 200_000, 4
 #: Low bits of a key: its band, and whether it is one of the deletion allocation.
