@@ -75,7 +75,8 @@ def bigrams(tokens: Column) -> Column:
 
 
 def is_int(token: Column) -> Column:
-    return token.try_cast("int").isNotNull()
+    """Digits with or without a sign, as far as an int holds them (a cast alone would also take `1.`)."""
+    return token.rlike("^[+-]?[0-9]+$") & token.try_cast("int").isNotNull()
 
 
 def is_quoted(text: Column) -> Column:

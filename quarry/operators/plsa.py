@@ -80,8 +80,9 @@ def diagnostics(p: DataFrame, k: int) -> DataFrame:
 
 @dataclass
 class PLSA:
-    """stop: `gain` ends when the likelihood rises by less than tol after the
-    first round, `change` when it moves by less than tol either way."""
+    """stop: `gain` ends when the likelihood rises by less than tol from one
+    round to the next, `change` when it moves by less than tol either way. The
+    first round is compared with the second, not with the start."""
 
     k: int = 10
     max_iter: int = 30
@@ -96,7 +97,7 @@ class PLSA:
         for _ in range(self.max_iter):
             p = e_step(x, lam, theta, self.k)
             seen.append(log_likelihood(p).first()["loglik"] or 0.0)
-            if len(seen) > 1 and (seen[-1] - seen[-2] if self.stop == "gain" else abs(seen[-1] - seen[-2])) < self.tol:
+            if len(seen) > 2 and (seen[-1] - seen[-2] if self.stop == "gain" else abs(seen[-1] - seen[-2])) < self.tol:
                 break
             lam, theta = (checkpointed(d) for d in m_step(p, self.k))
         return lam, theta, seen

@@ -2,7 +2,9 @@
 
 A line is `headword, part of speech, synonym, ...`. Section lines and lines of
 one character are left out, and so is all from the ending line on. Entries are
-phrases of one or two words, without stop words, each stemmed as one string.
+phrases of one or two words, without stop words in whatever case, each stemmed
+as one string; the headword that others are synonyms of stays as it is,
+whatever it holds.
 """
 
 from __future__ import annotations
@@ -17,25 +19,25 @@ from quarry.functions.stopwords import ENGLISH
 SECTIONS, LAST = ("ASSOCIATED CONCEPTS", "FOREIGN PHRASES", "Generally", "Specifically"), "LASTLINE"
 
 
-def entries(lines: DataFrame, stop: list[str] | None = None, stem: bool = True) -> DataFrame:
+def entries(lines: DataFrame, stop: list[str] | None = None, stem: bool = True, keep_head: bool = False) -> DataFrame:
     """line_no, k, term: the phrases of every entry, in order. Lines with fewer
-    than two fields have none."""
+    than two fields have none. keep_head: headwords aren't filtered."""
     end = lines.where(F.col("line").contains(LAST)).agg(F.min("line_no").alias("_end"))
     rows = lines.crossJoin(F.broadcast(end)).where(F.col("_end").isNull() | (F.col("line_no") < F.col("_end")))  # one row
     rows = rows.where((F.length("line") > 1) & ~F.col("line").rlike("|".join(SECTIONS)))
     fields = F.split(F.trim("line"), ", ")
     rows = rows.where(F.size(fields) >= 2).select("line_no", fields.alias("f"))
-    rest = F.concat(F.slice("f", 1, 1), F.slice("f", 3, F.greatest(F.size("f") - 2, F.lit(0))))
-    kept = F.filter(rest, lambda w: (F.size(F.split(w, " ")) < 3) & ~w.isin(stop or ENGLISH))
+    head, rest = F.slice("f", 1, 1), F.slice("f", 3, F.greatest(F.size("f") - 2, F.lit(0)))
+    fits = lambda w: (F.size(F.split(w, " ")) < 3) & ~F.lower(w).isin(stop or ENGLISH)
+    kept = F.concat(head if keep_head else F.filter(head, fits), F.filter(rest, fits))
     rows = rows.select("line_no", F.posexplode(kept).alias("k", "term"))
     return stems(rows, "term", "stem").select("line_no", "k", F.col("stem").alias("term")) if stem else rows.select("line_no", "k", F.lower("term").alias("term"))
 
 
 def build(lines: DataFrame, mode: str = "headword", stop: list[str] | None = None, stem: bool = True) -> DataFrame:
-    """term, synonyms. headword: the first phrase of an entry maps to the
-    others, a later entry replacing an earlier one; symmetric: each phrase maps
+    """term, synonyms. headword: the headword of an entry maps to the others, a later entry replacing an earlier one; symmetric: each phrase maps
     to all others of its entry, the first entry staying."""
-    rows = entries(lines, stop, stem)
+    rows = entries(lines, stop, stem, keep_head=mode == "headword")
     pairs = rows.alias("a").join(rows.alias("b"), "line_no").select("line_no", F.col("a.k").alias("k"), F.col("a.term").alias("term"), F.col("b.k").alias("j"), F.col("b.term").alias("other"))
     if mode == "headword":
         first = rows.groupBy("line_no").agg(F.min("k").alias("k"))

@@ -90,10 +90,10 @@ register("bigrams", bigrams, f"WITH {index_sql(an.WS_STOP, ('body',))} SELECT do
 
 def is_int_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs_of(spark, sf_dir).select("doc_id", F.explode(an.treebank_words(F.col("text"))).alias("token"))
-    return rows.where(an.is_int(F.col("token")) & F.col("token").rlike("^[0-9]{1,9}$")).groupBy("doc_id").agg(F.count("*").alias("n_ints"), F.sum(F.col("token").cast("int")).alias("total"))
+    return rows.where(an.is_int(F.col("token"))).groupBy("doc_id").agg(F.count("*").alias("n_ints"), F.sum(F.col("token").cast("int")).alias("total"))
 
 
-register("is_int_tokens", is_int_tokens, f"WITH t AS (SELECT doc_id, unnest({an.Analyzer('treebank', 'punct_drop', (), False).sql('text')}) AS token FROM documents) SELECT doc_id, count(*) AS n_ints, CAST(sum(try_cast(token AS INT)) AS BIGINT) AS total FROM t WHERE try_cast(token AS INT) IS NOT NULL AND regexp_matches(token, '^[0-9]{{1,9}}$') GROUP BY doc_id")
+register("is_int_tokens", is_int_tokens, f"WITH t AS (SELECT doc_id, unnest({an.Analyzer('treebank', 'punct_drop', (), False).sql('text')}) AS token FROM documents) SELECT doc_id, count(*) AS n_ints, CAST(sum(try_cast(token AS INT)) AS BIGINT) AS total FROM t WHERE try_cast(token AS INT) IS NOT NULL AND regexp_matches(token, '^[+-]?[0-9]+$') GROUP BY doc_id")
 
 
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +203,7 @@ register("freetext_multiplicity", ranked(["Shea shea SHEA shea"]), free_text_sql
 register("freetext_ascending_as_coded", ranked(["shea"], as_coded=True), free_text_sql([["shea"]], ascending=True))
 register("freetext_canonical", ranked(["thst's reations, the Shea"], an.CANONICAL), free_text_sql([["thst", "reation", "the", "shea"]], an.CANONICAL))
 
-THESAURUS = ["thst, n, ndly, shea erth", "FOREIGN PHRASES", "erth, v, ntble, thst", "Thst, n, the, en", "x", "alone", "LASTLINE", "after, n, end"]
+THESAURUS = ["thst, n, ndly, shea erth", "FOREIGN PHRASES", "erth, v, ntble, thst", "Thst, n, the, en", "x", "alone", "state of mind, n, The, shea", "the, n, ndly", "LASTLINE", "after, n, end"]
 
 
 def thesaurus_lines(spark: SparkSession) -> DataFrame:
@@ -216,11 +216,16 @@ register("freetext_thesaurus", lambda spark, sf_dir: _free(spark, sf_dir, ["erth
 def _thesaurus_sql(mode: str) -> str:
     lines = ", ".join(f"({i}, '{t}')" for i, t in enumerate(THESAURUS))
     stop = ", ".join(repr(w) for w in an.ENGLISH)
-    return f"""WITH l AS (SELECT * FROM (VALUES {lines}) v(line_no, line) WHERE line_no < 6 AND length(line) > 1 AND NOT regexp_matches(line, 'ASSOCIATED CONCEPTS|FOREIGN PHRASES|Generally|Specifically')),
-f AS (SELECT line_no, string_split(trim(line), ', ') AS f FROM l), g AS (SELECT line_no, list_filter(list_concat(f[1:1], f[3:]), lambda w: len(string_split(w, ' ')) < 3 AND NOT list_contains([{stop}], w)) AS g FROM f WHERE len(f) >= 2),
+    rows = f"(VALUES {lines}) v(line_no, line) WHERE line_no < {THESAURUS.index('LASTLINE')} AND length(line) > 1 AND NOT regexp_matches(line, 'ASSOCIATED CONCEPTS|FOREIGN PHRASES|Generally|Specifically')"
+    if mode == "headword":  # by headwords as they are, and the other phrases
+        return f"""WITH f AS (SELECT line_no, string_split(trim(line), ', ') AS f FROM {rows}),
+h AS (SELECT line_no, lower(f[1]) AS term, list_filter(f[3:], lambda w: len(string_split(w, ' ')) < 3 AND lower(w) NOT IN ({stop})) AS s FROM f WHERE len(f) >= 2)
+SELECT term, lower(coalesce(array_to_string(arg_max(s, line_no), '|'), '')) AS synonyms FROM h GROUP BY term"""
+    return f"""WITH l AS (SELECT * FROM {rows}),
+f AS (SELECT line_no, string_split(trim(line), ', ') AS f FROM l), g AS (SELECT line_no, list_filter(list_concat(f[1:1], f[3:]), lambda w: len(string_split(w, ' ')) < 3 AND NOT list_contains([{stop}], lower(w))) AS g FROM f WHERE len(f) >= 2),
 r AS (SELECT line_no, k, lower(g[k]) AS term FROM (SELECT line_no, g, unnest(range(1, len(g) + 1)) AS k FROM g)),
-p AS (SELECT a.line_no, a.k, a.term, string_agg(b.term, '|' ORDER BY b.k) AS s FROM r a LEFT JOIN r b ON a.line_no = b.line_no AND a.k <> b.k {"WHERE a.k = 1" if mode == "headword" else ""} GROUP BY ALL)
-SELECT term, coalesce({"arg_max" if mode == "headword" else "arg_min"}(coalesce(s, ''), line_no * 100 + k), '') AS synonyms FROM p GROUP BY term"""
+p AS (SELECT a.line_no, a.k, a.term, string_agg(b.term, '|' ORDER BY b.k) AS s FROM r a LEFT JOIN r b ON a.line_no = b.line_no AND a.k <> b.k GROUP BY ALL)
+SELECT term, coalesce(arg_min(coalesce(s, ''), line_no * 100 + k), '') AS synonyms FROM p GROUP BY term"""
 
 
 for _mode in ("headword", "symmetric"):

@@ -66,7 +66,10 @@ def read_thesaurus_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def write_result(result: DataFrame, path: str) -> None:
     """One line: the ranked ids joined by blanks; an empty line for no result."""
-    result_line(result).select("line").coalesce(1).write.mode("overwrite").text(path)
+    line = result_line(result).select("line")
+    blank = result.sparkSession.range(1).select(F.lit("").alias("line"))
+    none = blank.join(line.limit(1).select(F.lit(1).alias("found")), F.col("found") == 1, "left_anti")
+    line.union(none).coalesce(1).write.mode("overwrite").text(path)
 
 
 def result_line(result: DataFrame) -> DataFrame:

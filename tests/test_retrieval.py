@@ -125,6 +125,8 @@ def test_query_file_and_result_line(spark, h1, tmp_path):
     assert query == src.QuerySpec("phone bank", (3, 1))
     src.write_result(search.search(spark, h1, query.text, query.relevant, an.WS), str(tmp_path / "out"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["3 1 2"]
+    src.write_result(search.search(spark, h1, "zzz", (), an.WS), str(tmp_path / "none"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "none")).collect()] == [""]
     (tmp_path / "empty.txt").write_text("")
     with pytest.raises(ValueError):
         src.read_query(spark, str(tmp_path / "empty.txt"))
@@ -138,6 +140,19 @@ def test_thesaurus_text(spark, tmp_path):
     assert head == {"run": ["walk"], "end": ["halt"]}
     both = {r["term"]: r["synonyms"] for r in thesaurus.build(lines, "symmetric").collect()}
     assert both["run"] == ["hurry up", "race"] and both["walk"] == ["run"]
+    path.write_text("state of mind, n, The, mood\nthe, n, article\n")
+    lines = src.read_thesaurus_lines(spark, str(path))
+    assert {r["term"]: r["synonyms"] for r in thesaurus.build(lines, stem=False).collect()} == {"state of mind": ["mood"], "the": ["article"]}
+    assert {r["term"]: r["synonyms"] for r in thesaurus.build(lines, "symmetric", stem=False).collect()} == {"mood": [], "article": []}
+
+
+def test_topics_stop_by_comparing_rounds(spark):
+    x = spark.createDataFrame([(d, f"w{(d * 3 + i) % 7}", 1.0 + i) for d in range(5) for i in range(4)], "doc_id long, term string, x double")
+    for stop in ("gain", "change"):
+        # any difference is below this tolerance: the start and two rounds are seen, as round 2 is the first to be compared
+        assert len(plsa.PLSA(2, 15, 1e9, stop).fit(x)[2]) == 3
+    seen = plsa.PLSA(2, 15, 0.05, "gain").fit(x)[2]
+    assert len(seen) == 15 or seen[-1] - seen[-2] < 0.05 and all(b - a >= 0.05 for a, b in zip(seen[1:-1], seen[2:-1]))
 
 
 def test_topics(spark):
