@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections import deque
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -85,23 +86,19 @@ class FragmentTable:
         raise NotImplementedError
 
     def resolve(self, batch: list[str | None]) -> list[list]:
-        known, lists, out = self.known, [], []
+        known = self.known
         known.new = new = []
         look = known.__getitem__
-        for text in batch:
-            lists.append(self.split(text) if text else [])
-            out.append(list(map(look, lists[-1])))
+        lists = [self.split(text) if text else [] for text in batch]
+        for parts in lists:
+            deque(map(look, parts), maxlen=0)  # notes what is new
         if new:
             try:
                 known.update(zip(new, self.learn(new), strict=True))
             except BaseException:
                 self.empty()
                 raise
-            for parts, found in zip(lists, out):
-                at = -1
-                for _ in range(found.count(None)):
-                    at = found.index(None, at + 1)
-                    found[at] = known[parts[at]]
+        out = [list(map(look, parts)) for parts in lists]
         if len(known) >= self.cache:  # what this batch holds stays
             self.empty()
             for parts, found in zip(lists, out):

@@ -64,15 +64,16 @@ class Keys:
     """Keys of content for a vocabulary of some size."""
 
     def __init__(self, size: int):
-        u = np.random.default_rng(17).random((2, size))
+        u = np.random.default_rng(17).random(size)
         self.hashes = (-np.log1p(-u) / np.log(np.arange(size) + 2.0) ** 8).astype(np.float32)  # the smaller the likelier for late entries
 
-    def of(self, ids: np.ndarray, tie: int) -> int:
-        """The document's place in order: two terms, and 23 bits of tie."""
-        out = 0
-        for h in self.hashes:
-            out = out << 20 | int(ids[h[ids].argmin()]) & 0xFFFFF
-        return out << 23 | tie & 0x7FFFFF
+    def of(self, terms: np.ndarray, tie: int) -> int:
+        """The place in order of a document of these distinct terms: the two of
+        smallest hash, and 23 bits of tie."""
+        hashes = self.hashes[terms]
+        first = hashes.argmin()
+        hashes[first] = np.inf
+        return (int(terms[first]) & 0xFFFFF) << 43 | (int(terms[hashes.argmin()]) & 0xFFFFF) << 23 | tie & 0x7FFFFF
 
 
 class Index:
@@ -180,12 +181,13 @@ def _encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
         for batch in batches:
             for first, part in in_slices(batch.column(1)):
                 ids = [np.concatenate([x, end]) for x in codec.encode(part)]
-                for x in ids:
+                key = []
+                for x, tie in zip(ids, batch.column(2).slice(first, len(ids)).to_pylist()):
                     held[x] = True
                     distinct = np.flatnonzero(held)
                     df[distinct] += 1
                     held[distinct] = False
-                key = [keys.of(x, t) for x, t in zip(ids, batch.column(2).slice(first, len(ids)).to_pylist())]
+                    key.append(keys.of(distinct, tie))
                 yield rows(batch.column(0).slice(first, len(ids)), key, [len(x) for x in ids], [x.astype(f"<u{x.dtype.itemsize}").tobytes() for x in ids], [None] * len(ids))
         yield rows(pa.array([None], pa.int64()), [None], [None], [None], [df.astype("<i8").tobytes()])
 
