@@ -93,7 +93,7 @@ def is_int_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(an.is_int(F.col("token"))).groupBy("doc_id").agg(F.count("*").alias("n_ints"), F.sum(F.col("token").cast("int")).alias("total"))
 
 
-register("is_int_tokens", is_int_tokens, f"WITH t AS (SELECT doc_id, unnest({an.Analyzer('treebank', 'punct_drop', (), False).sql('text')}) AS token FROM documents) SELECT doc_id, count(*) AS n_ints, CAST(sum(try_cast(token AS INT)) AS BIGINT) AS total FROM t WHERE try_cast(token AS INT) IS NOT NULL AND regexp_matches(token, '^[+-]?[0-9]+$') GROUP BY doc_id")
+register("is_int_tokens", is_int_tokens, f"WITH t AS (SELECT doc_id, unnest({an.Analyzer('treebank', 'punct_substring', (), False).sql('text')}) AS token FROM documents) SELECT doc_id, count(*) AS n_ints, CAST(sum(try_cast(ltrim(token, '+') AS INT)) AS BIGINT) AS total FROM t WHERE try_cast(ltrim(token, '+') AS INT) IS NOT NULL AND regexp_matches(token, '^[+-]?[0-9]+$') GROUP BY doc_id")
 
 
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
