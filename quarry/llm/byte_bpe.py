@@ -59,13 +59,18 @@ def utf8(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Known(dict):
-    """Values of fragments; one that isn't held is noted as new, with None."""
+    """Values of fragments, of which older ones come from old when they are
+    asked for; one that isn't held there either is noted as new, with None."""
 
+    old: dict
     new: list[str]
 
-    def __missing__(self, fragment: str) -> None:
-        self[fragment] = None
-        self.new.append(fragment)
+    def __missing__(self, fragment: str) -> object:
+        value = self.old.get(fragment)
+        if value is None:
+            self.new.append(fragment)
+        self[fragment] = value
+        return value
 
 
 class FragmentTable:
@@ -77,7 +82,11 @@ class FragmentTable:
         self.empty()
 
     def empty(self) -> None:
+        self._begin({})
+
+    def _begin(self, old: dict) -> None:
         self.known = _Known(self.fixed)
+        self.known.old = old
 
     def split(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -99,14 +108,12 @@ class FragmentTable:
                 self.empty()
                 raise
         out = [list(map(look, parts)) for parts in lists]
-        if len(known) >= self.cache:  # what this batch holds stays
-            self.empty()
-            for parts, found in zip(lists, out):
-                self.known.update(zip(parts, found))
-            known = self.known
         for p in new:
             if len(p) > KEPT_CHARS:
-                known.pop(p, None)
+                del known[p]
+        if 2 * len(known) >= self.cache:  # those that are asked for again stay, the others go with the next turn
+            known.old = {}
+            self._begin(known)
         return out
 
 

@@ -256,3 +256,12 @@ def test_empty_tables(spark):
     assert token_counts.count_tokens(none).count() == 0
     assert sstable.write_and_read(spark, none).count() == 0
     assert packing.pack(none).count() == 0
+
+
+def test_small_tables_give_the_same_ids(word):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdef") * rng.randint(1, 5) + str(rng.randint(0, 300)) for _ in range(80)) for _ in range(60)]
+    small, large = word_bpe.WordCodec("word_bpe_49k.json", cache=200), word_bpe.WordCodec("word_bpe_49k.json")
+    found = [x.tolist() for k in range(0, 60, 7) for x in small.encode(texts[k : k + 7])]
+    assert found == [x.tolist() for x in large.encode(texts)] == [word.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(small.known) < 1000 and small.known.old
