@@ -16,7 +16,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections import deque
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -99,15 +98,15 @@ class FragmentTable:
         known.new = new = []
         look = known.__getitem__
         lists = [self.split(text) if text else [] for text in batch]
-        for parts in lists:
-            deque(map(look, parts), maxlen=0)  # notes what is new
+        out = [list(map(look, parts)) for parts in lists]  # with None for what is new
         if new:
             try:
-                known.update(zip(new, self.learn(new), strict=True))
+                learned = dict(zip(new, self.learn(new), strict=True))
             except BaseException:
                 self.empty()
                 raise
-        out = [list(map(look, parts)) for parts in lists]
+            known.update(learned)
+            out = [[learned[p] if value is None else value for p, value in zip(parts, found)] for parts, found in zip(lists, out)]
         for p in new:
             if len(p) > KEPT_CHARS:
                 del known[p]

@@ -46,6 +46,8 @@ from quarry.llm.common import materialize, shuffle_parts, texts
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SHARD_DOCS, WINDOW, K1, B = 1024, 2048, 1.2, 0.75
 RANGE_SHARDS = 8
+#: Documents whose terms are counted together.
+SLICE = 64
 
 
 def weights_of(df: np.ndarray, n: int) -> np.ndarray:
@@ -76,16 +78,25 @@ class Keys:
         return (int(terms[first]) & 0xFFFFF) << 43 | (int(terms[hashes.argmin()]) & 0xFFFFF) << 23 | tie & 0x7FFFFF
 
 
+def counted(docs: list[np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, how often) of documents numbered from first, in order,
+    by one sort of them all."""
+    term = np.concatenate(docs).astype(np.int64)
+    span = term.max() + 1
+    key = np.repeat(np.arange(first, first + len(docs)), [len(x) for x in docs]) * span + term
+    key.sort()
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return *np.divmod(key[at], span), np.diff(at, append=len(key))
+
+
 class Index:
     """BM25 of a shard, by the terms that two of its documents hold: those of
     many documents as rows of a matrix, whose sums for all seeds are one
     product of matrices, the others as postings."""
 
     def __init__(self, docs: list[np.ndarray], stats: Statistics):
-        terms, counts = zip(*(np.unique(x, return_counts=True) for x in docs))
-        n, held = len(docs), [len(x) for x in terms]
-        size = np.array([len(x) for x in docs])
-        doc, term, tf = np.repeat(np.arange(n), held), np.concatenate(terms).astype(np.int64), np.concatenate(counts)
+        n, size = len(docs), np.array([len(x) for x in docs])
+        doc, term, tf = (np.concatenate(c) for c in zip(*(counted(docs[k : k + SLICE], k) for k in range(0, n, SLICE))))
         df = np.bincount(term)
         weight = stats.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / stats.mean))
         many = np.flatnonzero(df > max(8, n // 16))
