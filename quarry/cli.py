@@ -24,9 +24,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     one.add_argument("-d", "--index", required=True)
     one.add_argument("-q", "--query", required=True)
     one.add_argument("-o", "--output", required=True)
-    one.add_argument("--thesaurus", help="thesaurus text")
+    given = one.add_mutually_exclusive_group()
+    given.add_argument("--thesaurus", help="thesaurus text")
+    given.add_argument("--stored-thesaurus", help="thesaurus as the thesaurus command has written it")
     one.add_argument("--limit", type=int)
     one.add_argument("--as-coded", action="store_true")
+    book = commands.add_parser("thesaurus", help="store a thesaurus text for searches")
+    book.add_argument("-i", "--input", required=True)
+    book.add_argument("-o", "--output", required=True)
+    book.add_argument("--mode", choices=("headword", "symmetric"), default="headword")
     topics = commands.add_parser("plsa", help="fit a topic model over an index")
     topics.add_argument("-d", "--index", required=True)
     topics.add_argument("-o", "--output", required=True)
@@ -43,8 +49,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         build(read_csv(spark, args.input, args.limit), CANONICAL).save(args.output)
     elif args.command == "search":
         query = read_query(spark, args.query)
-        synonyms = thesaurus.build(read_thesaurus_lines(spark, args.thesaurus)) if args.thesaurus else None
+        synonyms = thesaurus.build(read_thesaurus_lines(spark, args.thesaurus)) if args.thesaurus else thesaurus.load(spark, args.stored_thesaurus) if args.stored_thesaurus else None
         write_result(search(spark, Index.load(spark, args.index), query.text, query.relevant, CANONICAL, synonyms, args.as_coded, args.limit), args.output)
+    elif args.command == "thesaurus":
+        thesaurus.save(thesaurus.build(read_thesaurus_lines(spark, args.input), args.mode), args.output)
     elif args.command == "plsa":
         lam, theta, _ = plsa.PLSA(args.k, args.max_iter, args.tol, args.stop).fit(plsa.doc_term_matrix(Index.load(spark, args.index)))
         lam.write.mode("overwrite").parquet(f"{args.output}/documents")

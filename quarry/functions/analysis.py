@@ -18,7 +18,7 @@ from quarry.functions.stopwords import ENGLISH
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 _PUNCT = "[!-/:-@\\[-`{-~]"
-#: Rewrites that set tokens apart by blanks: punctuation, final periods, contractions, joined words.
+#: Rewrites that set tokens apart by blanks: punctuation, final periods, contractions, closing apostrophes, joined words.
 TREEBANK = [
     (BLANKS, " "),
     ("([:,])([^0-9])", " \\1 \\2"),
@@ -26,7 +26,10 @@ TREEBANK = [
     ("(\\.\\.+)", " \\1 "),
     ("([;@#$%&?!*\\[\\](){}<>\"]|--)", " \\1 "),
     ("([^.])\\.(['\") \\]]*)( |$)", "\\1 . \\2\\3"),
-    ("([^' ])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T)( |$)", "\\1 \\2\\3"),
+    ("([^' ])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T|')( |$)", "\\1 \\2\\3"),
+    ("\\b([dD])('[yY][eE])\\b", "\\1 \\2"),
+    ("\\b([mM][oO][rR][eE])('[nN])\\b", "\\1 \\2"),
+    ("( |^)('[tT])([iI][sS]|[wW][aA][sS])\\b", "\\1\\2 \\3"),
     ("\\b([cC][aA][nN])([nN][oO][tT])\\b", "\\1 \\2"),
     ("\\b([gG][iI][mM])([mM][eE])\\b", "\\1 \\2"),
     ("\\b([gG][oO][nN])([nN][aA])\\b", "\\1 \\2"),

@@ -9,7 +9,7 @@ whatever it holds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.stem import stems
@@ -48,3 +48,13 @@ def build(lines: DataFrame, mode: str = "headword", stop: list[str] | None = Non
     lists = lists.select("term", F.struct("line_no", "k").alias("at"), F.transform("s", lambda x: x["other"]).alias("synonyms"))
     pick = F.max_by if mode == "headword" else F.min_by
     return lists.groupBy("term").agg(pick("synonyms", "at").alias("synonyms"))
+
+
+def save(table: DataFrame, path: str) -> None:
+    """Writes a thesaurus once, for searches to read; sorted by term, so that lookups skip row groups."""
+    table.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """term, synonyms of a stored thesaurus."""
+    return spark.read.parquet(path)

@@ -102,6 +102,20 @@ def test_treebank(spark):
     assert row["l"] == ["I", "ca", "nt", "they", "re", "gon", "na", "wellknown", "café", "end"]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("'Tis more'n I'd say", ["'T", "is", "more", "'n", "I", "'d", "say"]),
+        ("the dogs' bark", ["the", "dogs", "'", "bark"]),
+        ("'twas here, d'ye see", ["'t", "was", "here", ",", "d", "'ye", "see"]),
+        ("it's a judge's 'view'", ["it", "'s", "a", "judge", "'s", "'view", "'"]),
+        ("more'now 'tissue", ["more'now", "'tissue"]),
+    ],
+)
+def test_treebank_apostrophes(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(an.treebank_words(F.col("t")).alias("w")).first()["w"] == want
+
+
 def test_analyzers_and_bigrams(spark):
     df = spark.createDataFrame([("The cat, of the hill 7 !",)], "t string")
     row = df.select(an.WS_STOP.tokens(F.col("t")).alias("a"), an.bigrams(an.WS_STOP.tokens(F.col("t"))).alias("b"), an.without_punctuation(an.words(F.col("t"))).alias("p"), an.not_in_punctuation(an.words(F.col("t"))).alias("s")).first()
@@ -183,6 +197,13 @@ def test_command_line(spark, tmp_path):
     main(["index", "-i", str(tmp_path / "c.csv"), "-o", str(tmp_path / "i")], spark)
     main(["search", "-d", str(tmp_path / "i"), "-q", str(tmp_path / "q.txt"), "-o", str(tmp_path / "o")], spark)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "o")).collect()] == ["3 1"]
+    (tmp_path / "t.txt").write_text("phone, n, bank\nalone\n")
+    main(["thesaurus", "-i", str(tmp_path / "t.txt"), "-o", str(tmp_path / "t")], spark)
+    assert [tuple(r) for r in thesaurus.load(spark, str(tmp_path / "t")).collect()] == [("phone", ["bank"])]
+    (tmp_path / "q2.txt").write_text("phone\n")
+    for option, at in (("--thesaurus", "t.txt"), ("--stored-thesaurus", "t")):
+        main(["search", "-d", str(tmp_path / "i"), "-q", str(tmp_path / "q2.txt"), "-o", str(tmp_path / "o2"), option, str(tmp_path / at)], spark)
+        assert set(spark.read.text(str(tmp_path / "o2")).first()["value"].split()) == {"1", "2", "3"}
     main(["vocabulary", "-d", str(tmp_path / "i"), "-o", str(tmp_path / "v")], spark)
     main(["plsa", "-d", str(tmp_path / "i"), "-o", str(tmp_path / "p"), "-k", "2", "--max-iter", "2"], spark)
     assert spark.read.parquet(str(tmp_path / "p" / "top_words")).count() > 0
