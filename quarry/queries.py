@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from quarry.functions import analysis as an
 from quarry.functions.stem import stem_sql, stems
 from quarry.operators import plsa, search, thesaurus
-from quarry.plans.index import build, counts, first_seen, from_documents, term_rows, token_rows
+from quarry.plans.checkpoints import shared_folder
+from quarry.plans.index import Index, build, counts, first_seen, from_documents, term_rows, token_rows
 from quarry.sources import corpus as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +159,16 @@ LOOKUP = ["thst", "ndly", "shea", "zzzz"]
 register("postings_lookup", lambda spark, sf_dir: build(corpus_of(spark, sf_dir), an.WS, only=LOOKUP).lookup(LOOKUP), f"WITH {index_sql(an.WS)} SELECT * FROM postings WHERE term IN ('thst', 'ndly', 'shea', 'zzzz')")
 
 
+def stored_index(spark: SparkSession, sf_dir: str, analyzer: an.Analyzer) -> Index:
+    """The index of all documents, written and read again."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    build(corpus_of(spark, sf_dir), analyzer, checkpoint=True).save(path)
+    return Index.load(spark, path)
+
+
+register("postings_lookup_stored", lambda spark, sf_dir: stored_index(spark, sf_dir, an.WS).lookup(LOOKUP), ORACLE_SQL["postings_lookup"])
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = build(corpus_of(spark, sf_dir), an.WS, ("body",), ("uni",), only=["thst", "ndly"]).postings
     one = lambda t: p.where(F.col("term") == t).select("doc_id", F.col("wtf").cast("double").alias("score"))
@@ -206,6 +218,9 @@ register("freetext_canonical", ranked(["thst's reations, the Shea"], an.CANONICA
 THESAURUS = ["thst, n, ndly, shea erth", "FOREIGN PHRASES", "erth, v, ntble, thst", "Thst, n, the, en", "x", "alone", "state of mind, n, The, shea", "the, n, ndly", "LASTLINE", "after, n, end"]
 
 
+register("freetext_stored", lambda spark, sf_dir: search.free_text(spark, stored_index(spark, sf_dir, an.WS), [(0, "erth shea")], an.WS), free_text_sql([["erth", "shea"]]))
+
+
 def thesaurus_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(THESAURUS)), "line_no long, line string")
 
@@ -258,6 +273,8 @@ register("bool_zone_preference", _boolean("en AND thst"), boolean_sql([(0, "uni"
 register("bool_unknown_term_empty", _boolean("zzzz AND thst"), boolean_sql([(0, "uni", "zzzz"), (1, "uni", "thst")], 2))
 register("bool_single_word_empty", _boolean("thst"), boolean_sql([(0, "uni", "thst")], 99))
 
+register("bool_stored", lambda spark, sf_dir: search.boolean(spark, stored_index(spark, sf_dir, an.WS), [(0, "thst AND erth")], an.WS), ORACLE_SQL["bool_two_terms"])
+
 DISPATCH = ["thst AND erth", "ANDERSON", "salt and pepper", "SAND dunes", "AND"]
 
 
