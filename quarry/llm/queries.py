@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe_codec, language, licenses, mips, neardup, packing, quality, setjoin, sstable, token_counts, upsert
+from quarry.llm import bpe_codec, language, lexical, licenses, mips, neardup, packing, quality, segments, setjoin, sstable, token_counts, upsert
 from quarry.llm.common import importable
 
 
@@ -56,17 +56,27 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1, window=2048)
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_copy_on_write_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upsert_clients(spark, table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.search(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_quality_classifier, op3_token_id_shards, op4_license_scan, op5_embedding_near_duplicates, op6_ngram_jaccard_join, op7_language_id, op8_inner_product_search, op9_token_counts, op10_lexical_packing, op12_copy_on_write_upsert)
+    for f in (op1_bpe_round_trip, op2_quality_classifier, op3_token_id_shards, op4_license_scan, op5_embedding_near_duplicates, op6_ngram_jaccard_join, op7_language_id, op8_inner_product_search, op9_token_counts, op10_lexical_packing, op11_ranked_lexical_search, op12_copy_on_write_upsert, op13_exact_top_k)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": licenses.oracle(),
     "op5_embedding_near_duplicates": neardup.oracle(least=0.95),
     "op6_ngram_jaccard_join": setjoin.oracle(k=4, num=85, den=100),
+    "op11_ranked_lexical_search": lexical.oracle(k=10),
+    "op13_exact_top_k": segments.oracle(every=50, k=5, scale=256),
 }
