@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.sentences import KEPT, keep_periods
 from quarry.functions.stem import stem_array, stem_sql
 from quarry.functions.stopwords import ENGLISH
 
@@ -44,12 +45,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda t: t != "")
 
 
-def treebank_words(text: Column) -> Column:
-    """Words with punctuation and contractions as tokens of their own."""
+def treebank_words(text: Column, abbreviations: tuple[str, ...] | None = None) -> Column:
+    """Words with punctuation and contractions as tokens of their own. A period
+    before a blank is one, except after known abbreviations and initials where
+    these are given (an empty tuple: initials alone)."""
     out = F.coalesce(text, F.lit(""))
+    if abbreviations is not None:
+        out = keep_periods(F.trim(F.regexp_replace(out, BLANKS, " ")), abbreviations)
     for pattern, new in TREEBANK:
         out = F.regexp_replace(out, pattern, new.replace("\\1", "$1").replace("\\2", "$2").replace("\\3", "$3"))
-    return words(out)
+    return words(out if abbreviations is None else F.replace(out, F.lit(KEPT), F.lit(".")))
 
 
 def letters_only(tokens: Column) -> Column:
@@ -90,16 +95,19 @@ def is_quoted(text: Column) -> Column:
 @dataclass(frozen=True)
 class Analyzer:
     """split: ws or treebank; keep: letters, punct_drop (tokens with
-    punctuation go) or punct_substring (tokens that are punctuation go)."""
+    punctuation go) or punct_substring (tokens that are punctuation go).
+    abbreviations: words whose period ends no sentence (sentences.py learns
+    them from a corpus); None: every period before a blank ends one."""
 
     split: str = "treebank"
     keep: str = "letters"
     stop: tuple[str, ...] = tuple(ENGLISH)
     stem: bool = True
+    abbreviations: tuple[str, ...] | None = None
 
     def surface(self, text: Column) -> Column:
         """Tokens before stop words, lower case and stems."""
-        tokens = treebank_words(text) if self.split == "treebank" else words(text)
+        tokens = treebank_words(text, self.abbreviations) if self.split == "treebank" else words(text)
         return {"letters": letters_only, "punct_drop": without_punctuation, "punct_substring": not_in_punctuation}[self.keep](tokens)
 
     def tokens(self, text: Column) -> Column:
@@ -110,6 +118,8 @@ class Analyzer:
 
     def sql(self, expression: str) -> str:
         """tokens() of an SQL expression before stemming, as a DuckDB list."""
+        if self.abbreviations is not None:
+            raise ValueError("learned abbreviations have no SQL form")
         x = f"coalesce({expression}, '')"
         if self.split == "treebank":
             for pattern, new in TREEBANK:

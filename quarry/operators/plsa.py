@@ -1,22 +1,38 @@
 """Probabilistic latent semantic analysis by expectation-maximisation.
 
-The document-term matrix stays as (doc_id, term, x) triples; parameters are
-wide tables of k columns: l0.. for p(topic | document), t0.. for p(term |
-topic). Responsibilities are a projection of their join with the triples and
-exist for non-zero pairs only. Each round is two joins and two aggregates that
-combine before they shuffle, and starts from checkpointed parameters.
+The document-term matrix comes as (doc_id, term, x) triples. For fitting, it is
+laid out once as blocks: a range of documents by a range of terms, its non-zero
+entries as arrays, kept in files. A round is one pass over the blocks, each
+joined with the topic shares of its documents (lambda) and of its terms (theta);
+numpy computes the responsibilities of its entries and never keeps them. The
+pass yields sums for lambda, sums for theta and the likelihood together; they are
+combined within a task, added up by one shuffle, and packed again by range.
+Ranges bound what is joined to a block, however large the vocabulary is; the
+driver sees the likelihood and one sum a topic.
+
+e_step, m_step and log_likelihood are the same step on triples, as a projection
+of joins, for looking at single responsibilities.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.checkpoints import checkpointed
 from quarry.plans.index import Index
+from quarry.plans.ranges import numbered
+
+DOCS, TERMS = 4096, 32_768  #: of a block's ranges; not to change while a model is fitted
+ENTRIES = 1 << 18  #: of a block's row, at most
+HELD = 1 << 23  #: numbers a task adds up before it gives them out
+BROADCAST = 32 << 20  #: bytes of lambda or theta, up to which they are broadcast to the blocks
 
 
 def doc_term_matrix(index: Index) -> DataFrame:
@@ -78,6 +94,179 @@ def diagnostics(p: DataFrame, k: int) -> DataFrame:
     return p.agg(F.count_if(F.col("den") == 0).alias("zero_denominators"), F.sum(_sum([F.isnan(f"p{i}").cast("long") for i in range(k)])).alias("nan_values"))
 
 
+def _axis(x: DataFrame, key: str, width: int) -> DataFrame:
+    """key, chunk, at: each value's range and place in it, in ascending order."""
+    placed = numbered(x.select(key).distinct(), key)
+    return placed.select(key, F.floor(F.col("pos") / width).cast("int").alias("chunk"), (F.col("pos") % width).cast("int").alias("at"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted entries (i, j, d, w, x) as rows of arrays, one range pair each."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        i, j, d, w, x = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        edges = np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        edges = sorted({0, len(i), *edges.tolist()})
+        cuts = [(lo, min(lo + ENTRIES, hi)) for a, hi in zip(edges, edges[1:]) for lo in range(a, hi, ENTRIES)]
+        lists = lambda v, kind: pa.array([v[lo:hi] for lo, hi in cuts], pa.list_(kind))  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(i[[lo for lo, _ in cuts]]), pa.array(j[[lo for lo, _ in cuts]]), lists(d, pa.int32()), lists(w, pa.int32()), lists(x, pa.float64())], names=["i", "j", "d", "w", "x"])
+
+
+def _packed(rows: DataFrame, values: list[str]) -> DataFrame:
+    """kind, chunk, v: the values of a chunk's places as one array of doubles,
+    place by place; rows: kind, chunk, at and the values, every place once."""
+    n = len(values)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            v = np.zeros((max(int(a[-1]) for a, _ in held) + 1, n))
+            for a, part in held:
+                v[a] = part
+            return pa.RecordBatch.from_pylist([{"kind": now[0], "chunk": now[1], "v": v.ravel()}], schema=pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("v", pa.list_(pa.float64()))]))
+
+        for b in batches:
+            kind, chunk, at = (b.column(c).to_numpy() for c in range(3))
+            part = np.stack([b.column(3 + c).to_numpy() for c in range(n)], axis=1)
+            edges = sorted({0, len(kind), *(np.flatnonzero((np.diff(kind) != 0) | (np.diff(chunk) != 0)) + 1).tolist()})
+            for lo, hi in zip(edges, edges[1:]):
+                if now != (kind[lo], chunk[lo]):
+                    if held:
+                        yield out()
+                    now, held = (int(kind[lo]), int(chunk[lo])), []
+                held.append((at[lo:hi], part[lo:hi]))
+        if held:
+            yield out()
+
+    return rows.select("kind", "chunk", "at", *values).sortWithinPartitions("kind", "chunk", "at").mapInArrow(pack, "kind int, chunk int, v array<double>")
+
+
+@dataclass
+class State:
+    """Parameters before a round: table (kind, chunk, v) holds, for kind 0,
+    documents' sums for k topics and their weight, for kind 1 terms' sums;
+    totals: the terms' sums of each topic."""
+
+    table: DataFrame
+    totals: list[float]
+
+
+@dataclass
+class Blocks:
+    """The matrix in blocks: cells (i, j, d, w, x), the places of its documents
+    and terms, how many there are."""
+
+    cells: DataFrame
+    docs: DataFrame
+    terms: DataFrame
+    n_docs: int
+    n_terms: int
+    k: int
+
+    @classmethod
+    def of(cls, x: DataFrame, k: int) -> Blocks:
+        x = checkpointed(x)
+        docs, terms = _axis(x, "doc_id", DOCS), _axis(x, "term", TERMS)
+        cells = x.join(docs.select("doc_id", F.col("chunk").alias("i"), F.col("at").alias("d")), "doc_id").join(terms.select("term", F.col("chunk").alias("j"), F.col("at").alias("w")), "term")
+        cells = cells.select("i", "j", "d", "w", "x").repartition("i", "j", F.floor(F.col("d") / 512)).sortWithinPartitions("i", "j", "d", "w")  # a pair of ranges is dealt to some tasks
+        cells = checkpointed(cells.mapInArrow(_cut, "i int, j int, d array<int>, w array<int>, x array<double>"))
+        return cls(cells, docs, terms, docs.count(), terms.count(), k)
+
+    def start(self) -> State:
+        """The deterministic start of init(), packed."""
+        zero = F.lit(0.0).alias("n")
+        raw = lambda c, i: (((c * 31 + i * 17) % 97) + 1).cast("double")
+        total = _sum([raw(F.col("doc_id"), i) for i in range(self.k)]).alias("n")
+        docs = self.docs.select(F.lit(0).alias("kind"), "chunk", "at", *[raw(F.col("doc_id"), i).alias(f"s{i}") for i in range(self.k)], total)
+        terms = self.terms.select(F.lit(1).alias("kind"), "chunk", "at", *[raw(_code(F.col("term")), i).alias(f"s{i}") for i in range(self.k)], zero)
+        totals = terms.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(self.k)]).first()
+        return State(checkpointed(_packed(docs.union(terms).repartition("kind", "chunk"), self._values)), list(totals))
+
+    @property
+    def _values(self) -> list[str]:
+        return [*_cols("s", self.k), "n"]
+
+    def _parameters(self, state: State):
+        """(cells with the parameters of their documents and terms, a function
+        that gets them from a row). Small parameters are broadcast as arrays;
+        beyond BROADCAST they are joined by range."""
+        k = self.k
+        if 8 * (self.n_docs + self.n_terms) * (k + 1) <= BROADCAST:
+            held = {(r["kind"], r["chunk"]): np.array(r["v"]).reshape(-1, k + 1) for r in state.table.where("kind < 2").collect()}  # bounded above
+            shared = self.cells.sparkSession.sparkContext.broadcast(held)
+            return self.cells, lambda b, r: (shared.value[0, b.column(0)[r].as_py()], shared.value[1, b.column(1)[r].as_py()])
+        lam = state.table.where("kind = 0").select(F.col("chunk").alias("i"), F.col("v").alias("l"))
+        theta = state.table.where("kind = 1").select(F.col("chunk").alias("j"), F.col("v").alias("t"))
+        joined = self.cells.join(lam, "i").join(theta, "j").select("i", "j", "d", "w", "x", "l", "t")
+        return joined, lambda b, r: tuple(b.column(c)[r].values.to_numpy(zero_copy_only=False).reshape(-1, k + 1) for c in (5, 6))
+
+    def sums(self, state: State) -> DataFrame:
+        """kind, chunk, at, s0.., n of the next parameters, by one pass and one
+        shuffle; kind 2 has the terms' sums over all terms and the likelihood of
+        this state (n)."""
+        k, totals, n_terms = self.k, np.array(state.totals), self.n_terms
+        cells, parameters = self._parameters(state)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # (kind, chunk): sums, which places are met
+            size, loglik, all_terms = 0, 0.0, np.zeros(k)
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for (kind, chunk), (s, met) in held.items():
+                    at = np.flatnonzero(met)
+                    columns = [np.full(len(at), kind, dtype=np.int32), np.full(len(at), chunk, dtype=np.int32), at.astype(np.int32), *s[at].T]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["kind", "chunk", "at", *[f"s{c}" for c in range(k)], "n"])
+
+            for b in batches:
+                for r in range(b.num_rows):
+                    i, j = b.column(0)[r].as_py(), b.column(1)[r].as_py()
+                    d, w, x = (b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(2, 5))
+                    lam, theta = parameters(b, r)
+                    lam, theta = lam[d], theta[w, :k]
+                    lam = np.where(lam[:, k:] == 0, 1.0 / k, lam[:, :k] / np.where(lam[:, k:] == 0, 1.0, lam[:, k:]))
+                    p = lam * np.where(totals == 0, 1.0 / n_terms, theta / np.where(totals == 0, 1.0, totals))
+                    den = p.sum(1)
+                    loglik += float((x[den > 0] * np.log(den[den > 0])).sum())
+                    p *= (x / np.where(den > 0, den, 1.0))[:, None]
+                    all_terms += p.sum(0)
+                    for kind, chunk, at, width in ((0, i, d, DOCS), (1, j, w, TERMS)):
+                        if (kind, chunk) not in held:
+                            held[kind, chunk] = np.zeros((width, k + 1)), np.zeros(width, dtype=bool)
+                            size += width * (k + 1)
+                        s, met = held[kind, chunk]
+                        met[at] = True
+                        for c in range(k):
+                            s[:, c] += np.bincount(at, p[:, c], width)
+                        if kind == 0:
+                            s[:, k] += np.bincount(at, x, width)
+                    if size > HELD:
+                        yield from out()
+                        held, size = {}, 0
+            held[2, 0] = np.array([[*all_terms, loglik]]), np.ones(1, dtype=bool)
+            yield from out()
+
+        values = self._values
+        made = cells.mapInArrow(step, "kind int, chunk int, at int, " + ", ".join(f"{c} double" for c in values))
+        return made.repartition("kind", "chunk").groupBy("kind", "chunk", "at").agg(*[F.sum(c).alias(c) for c in values])
+
+    def round(self, state: State) -> tuple[State, float]:
+        """(the next state, the likelihood of this one)."""
+        table = checkpointed(_packed(self.sums(state), self._values))
+        *totals, loglik = table.where("kind = 2").select(*[F.element_at("v", c + 1) for c in range(self.k + 1)]).first()
+        return State(table, totals), loglik
+
+    def parameters(self, state: State) -> tuple[DataFrame, DataFrame]:
+        """(lambda, theta) as wide tables by doc_id and term."""
+        k = self.k
+        rows = state.table.select("kind", "chunk", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / (k + 1)).cast("int") - 1), lambda p: F.slice("v", p * (k + 1) + 1, k + 1))).alias("at", "s"))
+        n = F.col("s")[k]
+        lam = self.docs.join(rows.where("kind = 0"), ["chunk", "at"]).select("doc_id", *[F.when(n == 0, 1.0 / k).otherwise(F.col("s")[c] / n).alias(f"l{c}") for c in range(k)])
+        theta = self.terms.join(rows.where("kind = 1"), ["chunk", "at"])
+        return lam, theta.select("term", *[(F.lit(1.0 / max(1, self.n_terms)) if t == 0 else F.col("s")[c] / t).alias(f"t{c}") for c, t in enumerate(state.totals)])
+
+
 @dataclass
 class PLSA:
     """stop: `gain` ends when the likelihood rises by less than tol from one
@@ -91,24 +280,35 @@ class PLSA:
 
     def fit(self, x: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
         """(lambda, theta, the likelihood before each round)."""
-        x = checkpointed(x)
-        lam, theta = (checkpointed(d) for d in init(x, self.k))
+        blocks = Blocks.of(x, self.k)
+        state = blocks.start()
         seen: list[float] = []
         for _ in range(self.max_iter):
-            p = e_step(x, lam, theta, self.k)
-            seen.append(log_likelihood(p).first()["loglik"] or 0.0)
+            after, loglik = blocks.round(state)
+            seen.append(loglik)
             if len(seen) > 2 and (seen[-1] - seen[-2] if self.stop == "gain" else abs(seen[-1] - seen[-2])) < self.tol:
                 break
-            lam, theta = (checkpointed(d) for d in m_step(p, self.k))
-        return lam, theta, seen
+            state = after
+        return *blocks.parameters(state), seen
 
 
 def rounds(x: DataFrame, k: int, n: int) -> tuple[DataFrame, DataFrame]:
     """Parameters after n rounds."""
-    lam, theta = init(x, k)
+    blocks = Blocks.of(x, k)
+    state = blocks.start()
     for _ in range(n):
-        lam, theta = (checkpointed(d) for d in m_step(e_step(x, lam, theta, k), k))
-    return lam, theta
+        state, _ = blocks.round(state)
+    return blocks.parameters(state)
+
+
+def likelihoods(x: DataFrame, k: int, n: int) -> list[float]:
+    """The likelihood at the start and after each of n rounds."""
+    blocks = Blocks.of(x, k)
+    state, out = blocks.start(), []
+    for _ in range(n + 1):
+        state, loglik = blocks.round(state)
+        out.append(loglik)
+    return out
 
 
 def top_words(theta: DataFrame, k: int, n: int = 10) -> DataFrame:

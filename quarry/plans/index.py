@@ -1,13 +1,21 @@
 """The zoned inverted index as tables.
 
 postings   zone, kind, term, doc_id, wtf     1 + log10 of the term's count
+blocks     zone, kind, term, block, first, last, n, top, ids, weights
 dictionary zone, kind, term, df, idf         idf = ln N - ln df
 stats      n_docs
 
 Zones are body, title and court; body has unigrams and bigrams, the others
 unigrams. One pass over the corpus and one shuffle for the counts (combined
-before it); df is an aggregate of the postings on a prefix of the same key.
-Rows that repeat a document id are one document.
+before it). Rows that repeat a document id are one document.
+
+A stored index holds blocks: the postings of a key whose document ids share a
+range (block = id / WIDTH), with the first and last id, the number of postings
+and the largest weight in front. Searches decide by these small columns which
+blocks to open: a conjunction needs blocks of all its clauses that overlap, a
+ranking of the best k those whose largest weights can reach the kth score. The
+blocks of a frequent term are many rows, dealt to as many files as they need.
+Bloom filters and sorted row groups on term let lookups skip what lacks it.
 """
 
 from __future__ import annotations
@@ -19,8 +27,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions.analysis import CANONICAL, Analyzer, bigrams
 from quarry.plans.checkpoints import checkpointed
+from quarry.plans.ranges import numbered
 
 ZONES = ("body", "title", "court")
+KEYS = ("zone", "kind", "term")
+WIDTH = 256  #: document ids that a block spans
+HEAD = ("block", "first", "last", "n", "top")
+FEW = 1000  #: distinct terms up to which a lookup names them to the scan
 
 
 def from_documents(documents: DataFrame) -> DataFrame:
@@ -30,6 +43,14 @@ def from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if they come in fewer parts (a file of one row
+    group is read by one task): analysing a text takes far longer than moving
+    it. Large tables have more parts than cores and stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def token_rows(corpus: DataFrame, analyzer: Analyzer, zones: tuple[str, ...] = ZONES) -> DataFrame:
     """doc_id, zone, pos, term: every indexed token."""
     column = {"body": "content", "title": "title", "court": "court"}
@@ -53,27 +74,71 @@ def counts(terms: DataFrame) -> DataFrame:
     return terms.groupBy("zone", "kind", "term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def pack(postings: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Postings as blocks, sorted by key and block. Dealt by key and block, so
+    that a term of every document is no hot key."""
+    keyed = postings.withColumn("block", F.floor(F.col("doc_id") / width))
+    keyed = keyed.repartitionByRange(*KEYS, "block").sortWithinPartitions(*KEYS, "block")
+    pairs = F.array_sort(F.collect_list(F.struct("doc_id", "wtf"))).alias("p")
+    rows = keyed.groupBy(*KEYS, "block").agg(pairs, F.max("wtf").alias("top"))
+    ids, weights = F.transform("p", lambda x: x["doc_id"]), F.transform("p", lambda x: x["wtf"])
+    rows = rows.select(*KEYS, "block", F.col("p")[0]["doc_id"].alias("first"), F.element_at("p", -1)["doc_id"].alias("last"), F.size("p").alias("n"), "top", ids.alias("ids"), weights.alias("weights"))
+    return rows.sortWithinPartitions(*KEYS, "block")
+
+
+def unpack(blocks: DataFrame, *also: str) -> DataFrame:
+    """The postings of blocks, with further columns of theirs."""
+    rows = blocks.select(*KEYS, *also, F.explode(F.arrays_zip("ids", "weights")).alias("p"))
+    return rows.select(*KEYS, *also, F.col("p.ids").alias("doc_id"), F.col("p.weights").alias("wtf"))
+
+
+def _dictionary(df: DataFrame, stats: DataFrame) -> DataFrame:
+    n = stats.select(F.log(F.col("n_docs").cast("double")).alias("_n"))  # one row
+    return df.crossJoin(F.broadcast(n)).select(*KEYS, "df", (F.col("_n") - F.log(F.col("df").cast("double"))).alias("idf"))
+
+
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame
     dictionary: DataFrame
     stats: DataFrame
-
-    def save(self, path: str) -> None:
-        """Postings sorted by key within files, so that row groups can be skipped."""
-        keys = ["zone", "kind", "term"]
-        self.postings.repartitionByRange(*keys).sortWithinPartitions(*keys, "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.dictionary.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/dictionary")
+    stored: DataFrame | None = None
+
+    @property
+    def blocks(self) -> DataFrame:
+        return pack(self.postings) if self.stored is None else self.stored
+
+    def save(self, path: str, width: int = WIDTH) -> None:
+        """Writes blocks and statistics once; the dictionary comes from the
+        written blocks, so the corpus is analysed a single time."""
+        spark = self.stats.sparkSession
+        bloom = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.expected.ndv#term": "100000"}
+        pack(self.postings, width).write.mode("overwrite").options(**bloom).parquet(f"{path}/blocks")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        df = spark.read.parquet(f"{path}/blocks").groupBy(*KEYS).agg(F.sum("n").alias("df"))
+        dictionary = _dictionary(df, spark.read.parquet(f"{path}/stats"))
+        dictionary.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.mode("overwrite").options(**bloom).parquet(f"{path}/dictionary")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "dictionary", "stats")))
+        blocks, dictionary, stats = (spark.read.parquet(f"{path}/{t}") for t in ("blocks", "dictionary", "stats"))
+        return cls(unpack(blocks), dictionary, stats, blocks)
 
     def lookup(self, terms: list[str]) -> DataFrame:
         """Postings of a few terms; the filter reaches the scan."""
         return self.postings.where(F.col("term").isin(terms))
 
+    def narrowed(self, terms: DataFrame) -> Index:
+        """The index for queries of these terms (column term): where they are
+        few, scans of a stored index are told their names."""
+        if self.stored is None:
+            return self
+        names = [r["term"] for r in terms.select("term").distinct().take(FEW + 1)]
+        if len(names) > FEW:
+            return self
+        only = lambda df: df.where(F.col("term").isin(names))
+        return Index(only(self.postings), only(self.dictionary), self.stats, only(self.stored))
+
     def vocabulary(self) -> DataFrame:
         """Keys with their zone's prefix, as in a dump of the dictionary."""
         prefix = F.when(F.col("zone") == "body", F.lit("")).otherwise(F.concat(F.col("zone"), F.lit("#")))
@@ -93,17 +158,14 @@ def build(corpus: DataFrame, analyzer: Analyzer = CANONICAL, zones: tuple[str, .
     postings = counts(terms).select("zone", "kind", "term", "doc_id", (1 + F.log10("tf")).cast("float").alias("wtf"))
     postings = checkpointed(postings) if checkpoint else postings
     stats = corpus.agg(F.count_distinct("document_id").alias("n_docs"))
-    df = postings.groupBy("zone", "kind", "term").agg(F.count("*").alias("df"))
-    n = stats.select(F.log(F.col("n_docs").cast("double")).alias("_n"))  # one row
-    dictionary = df.crossJoin(F.broadcast(n)).select("zone", "kind", "term", "df", (F.col("_n") - F.log(F.col("df").cast("double"))).alias("idf"))
-    return Index(postings, dictionary, stats)
+    return Index(postings, _dictionary(postings.groupBy(*KEYS).agg(F.count("*").alias("df")), stats), stats)
 
 
 def first_seen(corpus: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """term, doc_id, pos of each term's first occurrence, and its rank."""
-    from pyspark.sql import Window
-
+    """term, doc_id, pos of each term's first occurrence, and its rank: range
+    sorted, so no task orders the whole vocabulary."""
     rows = token_rows(corpus, analyzer, ("body",))
     first = rows.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
     first = first.select("term", F.col("f.doc_id").alias("doc_id"), F.col("f.pos").cast("long").alias("pos"))
-    return first.withColumn("term_id", F.row_number().over(Window.orderBy("doc_id", "pos")).cast("long"))
+    placed = numbered(first, "doc_id", "pos", name="term_id")
+    return placed.withColumn("term_id", F.col("term_id") + 1)

@@ -12,7 +12,7 @@ from quarry.functions import analysis as an
 from quarry.functions.stem import stem_sql, stems
 from quarry.operators import plsa, search, thesaurus
 from quarry.plans.checkpoints import shared_folder
-from quarry.plans.index import Index, build, counts, first_seen, from_documents, term_rows, token_rows
+from quarry.plans.index import Index, build, counts, first_seen, from_documents, spread, term_rows, token_rows
 from quarry.sources import corpus as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,7 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_documents(docs_of(spark, sf_dir))
+    return from_documents(spread(docs_of(spark, sf_dir)))
 
 
 def register(name: str, query: Query, sql: str) -> None:
@@ -149,11 +149,16 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("vocabulary", vocabulary, f"WITH {index_sql(an.WS)} SELECT kind, CASE WHEN zone = 'body' THEN '' ELSE zone || '#' END || term AS term FROM dictionary")
-register(
-    "vocabulary_first_seen",
-    lambda spark, sf_dir: first_seen(corpus_of(spark, sf_dir), an.WS),
-    f"WITH {index_sql(an.WS, ('body',))}, f AS (SELECT term, min((doc_id, pos)) AS f FROM (SELECT term, doc_id, CAST(pos - 1 AS BIGINT) AS pos FROM tok) GROUP BY term), g AS (SELECT term, f[1] AS doc_id, f[2] AS pos FROM f) SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS term_id FROM g".replace("min((doc_id, pos))", "[min(doc_id), arg_min(pos, doc_id * 100000000 + pos)]"),
-)
+
+
+def _first_seen_sql(analyzer: an.Analyzer) -> str:
+    return f"""WITH {index_sql(analyzer, ('body',))}, g AS (SELECT term, min(doc_id) AS doc_id, CAST(arg_min(pos, doc_id * 100000000 + pos) - 1 AS BIGINT) AS pos FROM tok GROUP BY term)
+SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS term_id FROM g"""
+
+
+STEMMED = an.Analyzer("ws", "letters", (), True)
+for _name, _a in {"vocabulary_first_seen": an.WS, "vocabulary_first_seen_stems": STEMMED}.items():
+    register(_name, lambda spark, sf_dir, a=_a: first_seen(corpus_of(spark, sf_dir), a), _first_seen_sql(_a))
 
 LOOKUP = ["thst", "ndly", "shea", "zzzz"]
 register("postings_lookup", lambda spark, sf_dir: build(corpus_of(spark, sf_dir), an.WS, only=LOOKUP).lookup(LOOKUP), f"WITH {index_sql(an.WS)} SELECT * FROM postings WHERE term IN ('thst', 'ndly', 'shea', 'zzzz')")
@@ -180,6 +185,16 @@ register("and_merge", lambda spark, sf_dir: search.intersect_sum(*_lists(spark,
 register("or_merge", lambda spark, sf_dir: search.union_sum(*_lists(spark, sf_dir)).withColumn("score", F.round("score", 6)), f"{_TWO} SELECT doc_id, round(sum(score), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id")
 
 
+def _stored_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = stored_index(spark, sf_dir, an.WS)
+    rows = spark.createDataFrame([(0, "body", "uni", t, c, 1.0) for c, t in enumerate(("thst", "ndly"))], "query_id long, zone string, kind string, term string, clause_id long, w double")
+    need = rows.groupBy("query_id").agg(F.count_distinct("clause_id").alias("need"))
+    return search.conjunction(index.narrowed(rows), rows, need, small=True).select("doc_id", "score")
+
+
+register("and_merge_stored", _stored_pair, ORACLE_SQL["and_merge"])
+
+
 # free text
 
 def free_text_sql(base: list[list[str]], analyzer: an.Analyzer = an.WS, zones: bool = True, ascending: bool = False, syn: list[tuple[int, str]] = ()) -> str:
@@ -201,7 +216,7 @@ def ranked(texts: list[str], analyzer: an.Analyzer = an.WS, **options) -> Query:
 
 def _free(spark: SparkSession, sf_dir: str, texts: list[str], analyzer: an.Analyzer, synonyms: DataFrame | None = None, **options) -> DataFrame:
     specs = list(enumerate(texts))
-    _, names = search.query_terms(spark, search.free_text_terms(spark, specs, analyzer, synonyms, options.get("zones", True)))
+    names = sorted({r["term"] for r in search.free_text_terms(spark, specs, analyzer, synonyms, options.get("zones", True)).collect()})  # of a few texts
     index = build(corpus_of(spark, sf_dir), analyzer, kinds=("uni",), only=names, checkpoint=True)
     return search.free_text(spark, index, specs, analyzer, synonyms, **options)
 
@@ -271,23 +286,61 @@ register("bool_bigram", _boolean('"thanedble the" AND anea'), boolean_sql([(0, "
 register("bool_trigram", _boolean("and attion to AND eriner"), boolean_sql([(0, "bi", "and attion"), (0, "bi", "attion to"), (0, "uni", "and"), (0, "uni", "attion"), (0, "uni", "to"), (1, "uni", "eriner")], 2))
 register("bool_zone_preference", _boolean("en AND thst"), boolean_sql([(0, "uni", "en"), (1, "uni", "thst")], 2))
 register("bool_unknown_term_empty", _boolean("zzzz AND thst"), boolean_sql([(0, "uni", "zzzz"), (1, "uni", "thst")], 2))
-register("bool_single_word_empty", _boolean("thst"), boolean_sql([(0, "uni", "thst")], 99))
+register("bool_single_word_empty", _boolean("thst"), f"{boolean_sql([(0, 'uni', 'thst')], 1)} WHERE 2 * (SELECT count(*) FROM it) - 1 >= 3")  # items and connectives
 
 register("bool_stored", lambda spark, sf_dir: search.boolean(spark, stored_index(spark, sf_dir, an.WS), [(0, "thst AND erth")], an.WS), ORACLE_SQL["bool_two_terms"])
 
-DISPATCH = ["thst AND erth", "ANDERSON", "salt and pepper", "SAND dunes", "AND"]
+
+# tables of queries, drawn from the benchmark's texts
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, text: every three neighbouring words of an item as a query;
+    by the place of the first: `a b c`, `a AND b c`, `a b AND c` or `a b c AND`,
+    which is invalid."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", an.letters_only(an.words(F.lower("text"))).alias("w"))
+    at = words.where(F.size("w") >= 3).select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 3)).alias("i"))
+    a, b, c = (F.get("w", F.col("i") + k) for k in range(3))
+    text = F.when(F.col("i") % 4 == 0, F.concat_ws(" ", a, b, c)).when(F.col("i") % 4 == 1, F.concat_ws(" ", a, F.lit("AND"), b, c))
+    text = text.when(F.col("i") % 4 == 2, F.concat_ws(" ", a, b, F.lit("AND"), c)).otherwise(F.concat_ws(" ", a, b, c, F.lit("AND")))
+    return at.select((F.col("item_id") * 100_000 + F.col("i")).alias("query_id"), text.alias("text"))
+
+
+DRAWN = f"""bw AS (SELECT item_id, {an.WS.sql('lower(text)')} AS w FROM benchmark),
+bi AS (SELECT item_id, w, unnest(range(0, len(w) - 2)) AS i FROM bw),
+bq AS (SELECT item_id * 100000 + i AS query_id, i % 4 AS form, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c FROM bi)"""
+_TEXT = "CASE form WHEN 0 THEN a || ' ' || b || ' ' || c WHEN 1 THEN a || ' AND ' || b || ' ' || c WHEN 2 THEN a || ' ' || b || ' AND ' || c ELSE a || ' ' || b || ' ' || c || ' AND' END"
+_ITEMS = """bx AS (SELECT query_id, form, unnest(CASE form WHEN 1 THEN [{'c': 0, 'k': 'uni', 't': a}, {'c': 1, 'k': 'bi', 't': b || ' ' || c}, {'c': 1, 'k': 'uni', 't': b}, {'c': 1, 'k': 'uni', 't': c}]
+  ELSE [{'c': 0, 'k': 'bi', 't': a || ' ' || b}, {'c': 0, 'k': 'uni', 't': a}, {'c': 0, 'k': 'uni', 't': b}, {'c': 1, 'k': 'uni', 't': c}] END) AS x, unnest(range(4)) AS item_id FROM bq WHERE form IN (1, 2)),
+it AS (SELECT query_id, CAST(x.c AS BIGINT) AS clause_id, CAST(item_id AS BIGINT) AS item_id, x.k AS kind, x.t AS term FROM bx)"""
 
 
 def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in DISPATCH], "text string")
-    return rows.select("text", F.col("text").contains("AND").alias("as_coded"), F.col("text").rlike(r"\bAND\b").alias("is_boolean"))
+    """Both rules over drawn queries, and over the same with the word glued to its neighbour."""
+    rows = drawn(spark, sf_dir)
+    rows = rows.union(rows.select("query_id", F.regexp_replace("text", "AND ", "AND")))
+    return rows.select("query_id", "text", search.boolean_column(F.col("text"), True).alias("as_coded"), search.boolean_column(F.col("text")).alias("is_boolean"))
+
+
+register("mode_dispatch", mode_dispatch, f"WITH {DRAWN}, t AS (SELECT query_id, {_TEXT} AS text FROM bq), u AS (SELECT * FROM t UNION ALL SELECT query_id, replace(text, 'AND ', 'AND') FROM t) SELECT query_id, text, contains(text, 'AND') AS as_coded, regexp_matches(text, '{search.WORD_AND}') AS is_boolean FROM u")
+register("bool_items", lambda spark, sf_dir: search.boolean_plan(spark, drawn(spark, sf_dir).where(search.boolean_column(F.col("text"))), an.WS), f"WITH {DRAWN}, {_ITEMS} SELECT * FROM it")
+
+
+def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of every drawn query over a stored index, errors as rows."""
+    return search.answer(spark, stored_index(spark, sf_dir, an.WS), drawn(spark, sf_dir), an.WS, limit=10)
 
 
-register("mode_dispatch", mode_dispatch, f"SELECT text, contains(text, 'AND') AS as_coded, regexp_matches(text, '\\bAND\\b') AS is_boolean FROM (VALUES {', '.join(f'({t!r})' for t in DISPATCH)}) v(text)")
 register(
-    "bool_items",
-    lambda spark, sf_dir: search.boolean_plan(spark, [(0, '"Thst ndly" AND shea'), (1, "a b c AND d")], an.WS),
-    "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 0::BIGINT, 'bi', 'thst ndly'), (0, 0, 1, 'uni', 'thst'), (0, 0, 2, 'uni', 'ndly'), (0, 1, 3, 'uni', 'shea'), (1, 0, 0, 'bi', 'a b'), (1, 0, 1, 'bi', 'b c'), (1, 0, 2, 'uni', 'a'), (1, 0, 3, 'uni', 'b'), (1, 0, 4, 'uni', 'c'), (1, 1, 5, 'uni', 'd')) v(query_id, clause_id, item_id, kind, term)",
+    "batch_answers",
+    batch_answers,
+    f"""WITH {index_sql(an.WS)}, {DRAWN}, {_ITEMS},
+ft AS (SELECT DISTINCT query_id, unnest([a, b, c]) AS term FROM bq WHERE form = 0),
+fq AS (SELECT query_id, zone, term, CASE zone WHEN 'body' THEN 1.0 ELSE 3.0 END AS boost FROM ft, (VALUES ('body'), ('title'), ('court')) v(zone)),
+fs AS (SELECT query_id, doc_id, round(sum(wtf::DOUBLE * idf * boost::DOUBLE), 6) AS score FROM fq JOIN postings p USING (zone, term) JOIN dictionary d USING (zone, kind, term) WHERE kind = 'uni' GROUP BY ALL),
+z AS (SELECT kind, term, min_by(zone, CASE zone WHEN 'court' THEN 1 WHEN 'title' THEN 2 ELSE 3 END) AS zone FROM dictionary WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+bs AS (SELECT query_id, doc_id, round(sum(wtf::DOUBLE * idf), 6) AS score FROM it JOIN z USING (kind, term) JOIN postings USING (zone, kind, term) JOIN dictionary USING (zone, kind, term) GROUP BY query_id, doc_id HAVING count(DISTINCT clause_id) = 2),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM (SELECT * FROM fs UNION ALL SELECT * FROM bs))
+SELECT query_id, rank, doc_id, score, CAST(NULL AS VARCHAR) AS error FROM r WHERE rank <= 10 UNION ALL SELECT query_id, NULL, NULL, NULL, '{search.ERROR}' FROM bq WHERE form = 3""",
 )
 
 
@@ -299,6 +352,7 @@ def relevance_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("relevance_feedback", relevance_feedback, f"SELECT query_id, row_number() OVER (ORDER BY (doc_id % 7 = 0) DESC, rank) AS rank, doc_id, score FROM ({free_text_sql([['shea', 'ndly']], zones=False)})")
+register("topk_stored", lambda spark, sf_dir: search.free_text(spark, stored_index(spark, sf_dir, an.WS), list(enumerate(["thst erth", "shea", "ntble en"])), an.WS, limit=10), f"SELECT * FROM ({free_text_sql([['thst', 'erth'], ['shea'], ['ntble', 'en']])}) WHERE rank <= 10")
 register("topk", lambda spark, sf_dir: search.top(_free(spark, sf_dir, ["thst erth"], an.WS), 10), f"SELECT * FROM ({free_text_sql([['thst', 'erth']])}) ORDER BY score DESC, query_id, doc_id LIMIT 10")
 register("result_line", lambda spark, sf_dir: src.result_line(_free(spark, sf_dir, ["shea", "ndly erth"], an.WS)), f"SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) AS line FROM ({free_text_sql([['shea'], ['ndly', 'erth']])}) GROUP BY query_id")
 register("sample_rows", lambda spark, sf_dir: src.sample_rows(docs_of(spark, sf_dir), "doc_id"), "SELECT * FROM documents ORDER BY doc_id LIMIT 10")
@@ -339,17 +393,13 @@ def _rounded(df: DataFrame, key: str, prefix: str, digits: int = 8) -> DataFrame
     return df.select(key, *[F.round(f"{prefix}{i}", digits).alias(f"{prefix}{i}") for i in range(K)])
 
 
-def _after(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from quarry.plans.checkpoints import checkpointed
-
-    x = checkpointed(_matrix(spark, sf_dir))
-    return x, *plsa.rounds(x, K, n)
+def _after(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame]:
+    return plsa.rounds(_matrix(spark, sf_dir), K, n)
 
 
 def plsa_em(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, lam, theta = _after(spark, sf_dir, 2)
-    out = plsa.log_likelihood(plsa.e_step(x, *plsa.init(x, K), K)).select(F.lit(0).cast("long").alias("round"), F.round("loglik", 3).alias("loglik"))
-    return out.union(plsa.log_likelihood(plsa.e_step(x, lam, theta, K)).select(F.lit(2).cast("long"), F.round("loglik", 3)))
+    seen = plsa.likelihoods(_matrix(spark, sf_dir), K, 2)
+    return spark.createDataFrame([(0, seen[0]), (2, seen[2])], "round long, loglik double").withColumn("loglik", F.round("loglik", 3))
 
 
 _L, _T, _P = (", ".join(f"round({p}{i}, 8) AS {p}{i}" for i in range(K)) for p in "ltp")
@@ -364,8 +414,8 @@ def plsa_e_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("plsa_e_step", plsa_e_step, f"{plsa_sql(0)} SELECT doc_id, term, {_P} FROM p0_")
-register("plsa_m_step", lambda spark, sf_dir: _rounded(_after(spark, sf_dir, 1)[1], "doc_id", "l"), f"{plsa_sql(1)} SELECT doc_id, {_L} FROM l1_")
-register("plsa_m_step_terms", lambda spark, sf_dir: _rounded(_after(spark, sf_dir, 1)[2], "term", "t"), f"{plsa_sql(1)} SELECT term, {_T} FROM t1_")
+register("plsa_m_step", lambda spark, sf_dir: _rounded(_after(spark, sf_dir, 1)[0], "doc_id", "l"), f"{plsa_sql(1)} SELECT doc_id, {_L} FROM l1_")
+register("plsa_m_step_terms", lambda spark, sf_dir: _rounded(_after(spark, sf_dir, 1)[1], "term", "t"), f"{plsa_sql(1)} SELECT term, {_T} FROM t1_")
 register("plsa_loglik", plsa_em, f"{plsa_sql(2)} SELECT 0::BIGINT AS round, round(sum(CASE WHEN den > 0 THEN x * ln(den) END), 3) AS loglik FROM p0_ UNION ALL SELECT 2, round(sum(CASE WHEN den > 0 THEN x * ln(den) END), 3) FROM p2_")
 
 
@@ -375,14 +425,14 @@ def plsa_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("plsa_diagnostics", plsa_diagnostics, f"{plsa_sql(0)} SELECT count(*) FILTER (den = 0) AS zero_denominators, CAST(sum({' + '.join(f'isnan(p{i})::INT' for i in range(K))}) AS BIGINT) AS nan_values FROM p0_")
-register("plsa_topic_top_words", lambda spark, sf_dir: plsa.top_words(_after(spark, sf_dir, 2)[2], K), f"{plsa_sql(2)}, u AS ({' UNION ALL '.join(f'SELECT {i}::BIGINT AS topic, term, round(t{i}, 10) AS p FROM t2_' for i in range(K))}) SELECT topic, rank, term, p FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY p DESC, term) AS rank FROM u) WHERE rank <= 10")
+register("plsa_topic_top_words", lambda spark, sf_dir: plsa.top_words(_after(spark, sf_dir, 2)[1], K), f"{plsa_sql(2)}, u AS ({' UNION ALL '.join(f'SELECT {i}::BIGINT AS topic, term, round(t{i}, 10) AS p FROM t2_' for i in range(K))}) SELECT topic, rank, term, p FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY p DESC, term) AS rank FROM u) WHERE rank <= 10")
 
 _QUERY = ["thst", "erth", "thst", "zzzz"]
 _FOLD = f"q AS (SELECT {', '.join(f'sum(t{i} * (1 + log10(n))) AS q{i}' for i in range(K))} FROM t2_ JOIN (VALUES ('thst', 2), ('erth', 1), ('zzzz', 1)) v(term, n) USING (term)), s AS (SELECT doc_id, ({' + '.join(f'l{i} * q{i}' for i in range(K))}) / (sqrt({' + '.join(f'l{i} * l{i}' for i in range(K))}) * sqrt({' + '.join(f'q{i} * q{i}' for i in range(K))})) AS s FROM l2_, q)"
 
 
 def plsa_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, lam, theta = _after(spark, sf_dir, 2)
+    lam, theta = _after(spark, sf_dir, 2)
     return plsa.nearest(lam, plsa.fold_in(theta, _QUERY, K), K)
 
 
@@ -390,7 +440,7 @@ register("plsa_query_topk", plsa_query_topk, f"{plsa_sql(2)}, {_FOLD} SELECT row
 
 
 def cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, lam, theta = _after(spark, sf_dir, 2)
+    lam, theta = _after(spark, sf_dir, 2)
     found = plsa.cosine(lam, plsa.fold_in(theta, _QUERY, K), K)
     return found.select("doc_id", F.round("similarity", 8).alias("similarity")).where("similarity > 0.5")
 
