@@ -8,9 +8,10 @@ from pyspark.sql import SparkSession
 
 from quarry.functions.analysis import CANONICAL
 from quarry.operators import plsa, thesaurus
-from quarry.operators.search import search
+from quarry.operators.search import answer, search
+from quarry.plans.checkpoints import checkpointed
 from quarry.plans.index import Index, build
-from quarry.sources.corpus import read_csv, read_query, read_thesaurus_lines, write_result
+from quarry.sources.corpus import read_csv, read_queries, read_query, read_thesaurus_lines, write_result
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -29,6 +30,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     given.add_argument("--stored-thesaurus", help="thesaurus as the thesaurus command has written it")
     one.add_argument("--limit", type=int)
     one.add_argument("--as-coded", action="store_true")
+    many = commands.add_parser("answer", help="answer a folder of query files, a line each, errors as a table")
+    many.add_argument("-d", "--index", required=True)
+    many.add_argument("-q", "--queries", required=True)
+    many.add_argument("-o", "--output", required=True)
+    many.add_argument("--stored-thesaurus")
+    many.add_argument("--limit", type=int)
+    many.add_argument("--as-coded", action="store_true")
     book = commands.add_parser("thesaurus", help="store a thesaurus text for searches")
     book.add_argument("-i", "--input", required=True)
     book.add_argument("-o", "--output", required=True)
@@ -51,6 +59,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         query = read_query(spark, args.query)
         synonyms = thesaurus.build(read_thesaurus_lines(spark, args.thesaurus)) if args.thesaurus else thesaurus.load(spark, args.stored_thesaurus) if args.stored_thesaurus else None
         write_result(search(spark, Index.load(spark, args.index), query.text, query.relevant, CANONICAL, synonyms, args.as_coded, args.limit), args.output)
+    elif args.command == "answer":
+        synonyms = thesaurus.load(spark, args.stored_thesaurus) if args.stored_thesaurus else None
+        found = checkpointed(answer(spark, Index.load(spark, args.index), read_queries(spark, args.queries), CANONICAL, synonyms, args.as_coded, args.limit))
+        write_result(found.where("error IS NULL"), f"{args.output}/lines")
+        found.where("error IS NOT NULL").select("query_id", "error").write.mode("overwrite").parquet(f"{args.output}/errors")
     elif args.command == "thesaurus":
         thesaurus.save(thesaurus.build(read_thesaurus_lines(spark, args.input), args.mode), args.output)
     elif args.command == "plsa":

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import analysis as an
+from quarry.functions import sentences
 from quarry.functions.stem import stem_sql, stems
 from quarry.operators import plsa, search, thesaurus
 from quarry.plans.checkpoints import shared_folder
@@ -98,6 +99,13 @@ def is_int_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("is_int_tokens", is_int_tokens, f"WITH t AS (SELECT doc_id, unnest({an.Analyzer('treebank', 'punct_substring', (), False).sql('text')}) AS token FROM documents) SELECT doc_id, count(*) AS n_ints, CAST(sum(try_cast(ltrim(token, '+') AS INT)) AS BIGINT) AS total FROM t WHERE try_cast(ltrim(token, '+') AS INT) IS NOT NULL AND regexp_matches(token, '^[+-]?[0-9]+$') GROUP BY doc_id")
 
 
+register(
+    "abbreviation_scores",
+    lambda spark, sf_dir: sentences.abbreviation_scores(sentences.word_counts(F.col("text"), spread(docs_of(spark, sf_dir)))).withColumn("score", F.round("score", 6)),
+    f"SELECT * REPLACE (round(score, 6) + 0 AS score) FROM ({sentences.scores_sql()})",
+)
+
+
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts(term_rows(corpus_of(spark, sf_dir), an.WS, ("body",), ("uni",))).select("doc_id", "term", "tf")
 
@@ -243,23 +251,38 @@ def thesaurus_lines(spark: SparkSession) -> DataFrame:
 register("freetext_thesaurus", lambda spark, sf_dir: _free(spark, sf_dir, ["erth shea"], an.WS, thesaurus.build(thesaurus_lines(spark), stem=False)), free_text_sql([["erth", "shea"]], syn=[(0, "ntble"), (0, "thst")]))
 
 
+def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_no, line: each document's first six words as an entry with a phrase
+    of two; every seventeenth is a section's; then the last line and one more."""
+    w = docs_of(spark, sf_dir).select(F.col("doc_id").alias("line_no"), an.WS.tokens(F.substring_index("text", "\n", 1)).alias("w")).where(F.size("w") >= 6)
+    at = lambda i: F.get("w", F.lit(i))
+    line = F.concat_ws(", ", at(0), F.lit("n"), F.concat_ws(" ", at(1), at(2)), at(3), at(4), at(5))
+    rows = w.select("line_no", F.concat(F.when(F.col("line_no") % 17 == 0, F.lit("Generally, ")).otherwise(F.lit("")), line).alias("line"))
+    end = docs_of(spark, sf_dir).agg(F.max("doc_id").alias("m"))
+    return rows.union(end.select(F.col("m") + 1, F.lit("LASTLINE"))).union(end.select(F.col("m") + 2, F.lit("after, n, end")))
+
+
+def _stored_thesaurus(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/thesaurus-{uuid.uuid4().hex}"
+    thesaurus.save(thesaurus.build(_document_lines(spark, sf_dir), mode), path)
+    return thesaurus.load(spark, path).select("term", F.array_join("synonyms", "|").alias("synonyms"))
+
+
 def _thesaurus_sql(mode: str) -> str:
-    lines = ", ".join(f"({i}, '{t}')" for i, t in enumerate(THESAURUS))
     stop = ", ".join(repr(w) for w in an.ENGLISH)
-    rows = f"(VALUES {lines}) v(line_no, line) WHERE line_no < {THESAURUS.index('LASTLINE')} AND length(line) > 1 AND NOT regexp_matches(line, 'ASSOCIATED CONCEPTS|FOREIGN PHRASES|Generally|Specifically')"
-    if mode == "headword":  # by headwords as they are, and the other phrases
-        return f"""WITH f AS (SELECT line_no, string_split(trim(line), ', ') AS f FROM {rows}),
-h AS (SELECT line_no, lower(f[1]) AS term, list_filter(f[3:], lambda w: len(string_split(w, ' ')) < 3 AND lower(w) NOT IN ({stop})) AS s FROM f WHERE len(f) >= 2)
-SELECT term, lower(coalesce(array_to_string(arg_max(s, line_no), '|'), '')) AS synonyms FROM h GROUP BY term"""
-    return f"""WITH l AS (SELECT * FROM {rows}),
-f AS (SELECT line_no, string_split(trim(line), ', ') AS f FROM l), g AS (SELECT line_no, list_filter(list_concat(f[1:1], f[3:]), lambda w: len(string_split(w, ' ')) < 3 AND NOT list_contains([{stop}], lower(w))) AS g FROM f WHERE len(f) >= 2),
-r AS (SELECT line_no, k, lower(g[k]) AS term FROM (SELECT line_no, g, unnest(range(1, len(g) + 1)) AS k FROM g)),
-p AS (SELECT a.line_no, a.k, a.term, string_agg(b.term, '|' ORDER BY b.k) AS s FROM r a LEFT JOIN r b ON a.line_no = b.line_no AND a.k <> b.k GROUP BY ALL)
-SELECT term, coalesce(arg_min(coalesce(s, ''), line_no * 100 + k), '') AS synonyms FROM p GROUP BY term"""
+    head = "w[1:1]" if mode == "headword" else f"list_filter(w[1:1], lambda x: NOT list_contains([{stop}], x))"
+    rows = f"""WITH l AS (SELECT doc_id AS line_no, {an.WS.sql("split_part(text, chr(10), 1)")} AS w FROM documents),
+g AS (SELECT line_no, list_concat({head}, list_filter([w[2] || ' ' || w[3], w[4], w[5], w[6]], lambda x: NOT list_contains([{stop}], x))) AS g FROM l WHERE len(w) >= 6 AND line_no % 17 <> 0),
+r AS (SELECT line_no, unnest(range(1, len(g) + 1)) AS k, unnest(g) AS word FROM g), st AS ({stem_sql('(SELECT DISTINCT word FROM r)', 'word', 'term')}), e AS (SELECT line_no, k, term FROM r JOIN st USING (word))"""
+    if mode == "headword":
+        return f"""{rows}, p AS (SELECT a.line_no, a.term, coalesce(string_agg(b.term, '|' ORDER BY b.k), '') AS s FROM e a LEFT JOIN e b ON a.line_no = b.line_no AND b.k > 1 WHERE a.k = 1 GROUP BY ALL)
+SELECT term, arg_max(s, line_no) AS synonyms FROM p GROUP BY term"""
+    return f"""{rows}, p AS (SELECT a.line_no, a.k, a.term, coalesce(string_agg(b.term, '|' ORDER BY b.k), '') AS s FROM e a LEFT JOIN e b ON a.line_no = b.line_no AND a.k <> b.k GROUP BY ALL)
+SELECT term, arg_min(s, line_no * 100 + k) AS synonyms FROM p GROUP BY term"""
 
 
 for _mode in ("headword", "symmetric"):
-    register(f"thesaurus_{_mode}", lambda spark, sf_dir, m=_mode: thesaurus.build(thesaurus_lines(spark), m, stem=False).select("term", F.array_join("synonyms", "|").alias("synonyms")), _thesaurus_sql(_mode))
+    register(f"thesaurus_{_mode}", lambda spark, sf_dir, m=_mode: _stored_thesaurus(spark, sf_dir, m), _thesaurus_sql(_mode))
 
 
 # Boolean
@@ -356,6 +379,26 @@ register("topk_stored", lambda spark, sf_dir: search.free_text(spark, stored_ind
 register("topk", lambda spark, sf_dir: search.top(_free(spark, sf_dir, ["thst erth"], an.WS), 10), f"SELECT * FROM ({free_text_sql([['thst', 'erth']])}) ORDER BY score DESC, query_id, doc_id LIMIT 10")
 register("result_line", lambda spark, sf_dir: src.result_line(_free(spark, sf_dir, ["shea", "ndly erth"], an.WS)), f"SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) AS line FROM ({free_text_sql([['shea'], ['ndly', 'erth']])}) GROUP BY query_id")
 register("sample_rows", lambda spark, sf_dir: src.sample_rows(docs_of(spark, sf_dir), "doc_id"), "SELECT * FROM documents ORDER BY doc_id LIMIT 10")
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as quoted CSV and back."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = docs_of(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.col("lang").alias("court"))
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return src.read_csv(spark, path).select("document_id", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "court")
+
+
+register("csv_corpus", _csv, "SELECT doc_id AS document_id, md5(text) AS content_md5, lang AS court FROM documents")
+
+
+def _csv_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/sample-{uuid.uuid4().hex}"
+    src.write_sample_csv(docs_of(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")), "document_id", path)
+    return src.read_csv(spark, path)
+
+
+register("sample_csv", _csv_sample, "SELECT doc_id AS document_id, text AS content FROM documents ORDER BY doc_id LIMIT 10")
 register("row_slice", lambda spark, sf_dir: src.slice_rows(docs_of(spark, sf_dir).select("doc_id", "n_chars"), "doc_id", 60, 79), "SELECT * FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM documents) WHERE line BETWEEN 60 AND 79")
 register("row_count", lambda spark, sf_dir: src.count_rows(docs_of(spark, sf_dir)), "SELECT count(*) AS n_rows FROM documents")
 
@@ -419,6 +462,18 @@ register("plsa_m_step_terms", lambda spark, sf_dir: _rounded(_after(spark, sf_di
 register("plsa_loglik", plsa_em, f"{plsa_sql(2)} SELECT 0::BIGINT AS round, round(sum(CASE WHEN den > 0 THEN x * ln(den) END), 3) AS loglik FROM p0_ UNION ALL SELECT 2, round(sum(CASE WHEN den > 0 THEN x * ln(den) END), 3) FROM p2_")
 
 
+def plsa_stop_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rules with a tolerance that any gain is below: the start and two
+    rounds are seen, as round 2 is the first to be compared."""
+    x = _matrix(spark, sf_dir)
+    rows = [(stop, i, v) for stop in ("gain", "change") for i, v in enumerate(plsa.PLSA(K, 9, 1e12, stop).fit(x)[2])]
+    return spark.createDataFrame(rows, "stop string, round long, loglik double").withColumn("loglik", F.round("loglik", 3))
+
+
+_SEEN = " UNION ALL ".join(f"SELECT {i}::BIGINT AS round, round(sum(CASE WHEN den > 0 THEN x * ln(den) END), 3) AS loglik FROM p{i}_" for i in range(3))
+register("plsa_stop_rules", plsa_stop_rules, f"{plsa_sql(2)}, seen AS ({_SEEN}) SELECT stop, round, loglik FROM seen, (VALUES ('gain'), ('change')) v(stop)")
+
+
 def plsa_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _matrix(spark, sf_dir)
     return plsa.diagnostics(plsa.e_step(x, *plsa.init(x, K), K), K)

@@ -50,7 +50,7 @@ def sample_rows(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
 
 
 def write_sample_csv(rows: DataFrame, key: str, path: str, n: int = 10) -> None:
-    sample_rows(rows, key, n).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    sample_rows(rows, key, n).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def slice_rows(rows: DataFrame, key: str, first: int, last: int) -> DataFrame:
@@ -80,12 +80,19 @@ def read_query(spark: SparkSession, path: str) -> QuerySpec:
     return QuerySpec(lines[0].strip(), tuple(int(x) for x in lines[1:] if x.strip()))
 
 
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, text, relevant: a table of queries from a folder of query
+    files, numbered from 0 by file name. An empty file is a query without text."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("f"))
+    relevant = F.filter(F.transform(F.slice("f", 2, F.size("f")), lambda x: F.trim(x).try_cast("long")), lambda x: x.isNotNull())
+    rows = numbered(files.select("path", F.trim(F.col("f")[0]).alias("text"), relevant.alias("relevant")), "path", name="query_id")
+    return rows.select("query_id", "text", "relevant")
+
+
 def read_thesaurus_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, line of a thesaurus text, up to the line that ends it or the
-    end of the file. A thesaurus is a file of a few MB, read as one."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return lines.withColumn("line_no", F.col("line_no").cast("long"))
+    """line_no, line of a thesaurus text, read in parts and numbered in file
+    order; what ends it is for the builder to find."""
+    return numbered_lines(spark, path).select(F.col("line").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def write_result(result: DataFrame, path: str) -> None:
