@@ -2,11 +2,12 @@
 
 A byte pair that stands inside no token of the vocabulary can be inside no
 merge result either, so a token boundary lies between its two bytes wherever
-it occurs: a certain cut. White space after anything else is such a place, and
-the pre-tokenizer's pattern also begins anew there without looking back, so
-texts fall into fragments there that nothing outside can change. Within a
-pre-token, every certain cut of the table splits it into pieces whose merges
-are independent. Before the pre-tokens are known, other pairs of the table are
+it occurs: a certain cut. Texts first fall into fragments at white space after
+anything else, where the pre-tokenizer's pattern begins anew without looking
+back, so that nothing outside a fragment can change it. (Most of these places
+are cuts of the table too, but not all: the first bytes of white space beyond
+ASCII also stand inside tokens.) Within a pre-token, every certain cut of the
+table splits it into pieces whose merges are independent. Before the pre-tokens are known, other pairs of the table are
 no safe places: the pattern looks ahead past runs of white space and takes a
 run of marks as a whole.
 """

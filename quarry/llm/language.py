@@ -151,12 +151,24 @@ def sample_rows(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SA
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return []
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
+
+    def taken(some: DataFrame) -> dict[str, list[str | None]]:
+        """Of each language the rows with the lowest hashes, at most sample."""
+        order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+        found = some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("lang", "r", "text").orderBy("lang", "r")
+        out: dict[str, list[str | None]] = {}
+        for r in found.collect():  # at most sample rows a language
+            out.setdefault(r["lang"], []).append(r["text"])
+        return out
+
     # rows whose hash is low enough to be among the first, before any shuffle
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2.0 * sample / n))])
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("h") < F.element_at(share, F.col("lang")) * (1 << 30))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    found = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
-    return [(r["lang"], r["text"]) for r in found.select("lang", "r", "text").orderBy("lang", "r").collect()]  # at most sample rows a language
+    found = taken(rows.where(F.col("h") < F.element_at(share, F.col("lang")) * (1 << 30)))
+    # where rows repeat so much that few hashes are low, all rows of the language are looked at
+    short = [lang for lang, n in counts.items() if len(found.get(lang, [])) < min(sample, n)]
+    found |= taken(rows.where(F.col("lang").isin(short))) if short else {}
+    return [(lang, text) for lang in sorted(found) for text in found[lang]]
 
 
 def _scorer(packed: bytes) -> Scorer:

@@ -18,7 +18,9 @@ the centres, and the cells' sizes (at most CELLS a block).
 
 Vectors that are null, zero, or hold null or non-finite components, and rows
 without vec_id, link with nothing; vectors of different lengths don't either.
-Rows that repeat a vec_id are separate vectors with the same name.
+Rows that repeat a vec_id are separate vectors with the same name: each has
+links and a component of its own. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -129,7 +131,9 @@ def links_of(block: int, x: np.ndarray, y: np.ndarray, same: bool, least: float)
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors."""
     rows = plain(vectors)
-    classes = materialize(rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("w")), "classes")
+    # a class has a number of its own: different vectors may share an id
+    classes = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("w")).withColumn("class", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")
     cells = Cells(sample(classes, SAMPLE), classes.count(), least)
 
     def placed(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -146,7 +150,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
                     out.append((d, b, int(c), bool(o), int(n)))
             yield pa.RecordBatch.from_pylist([dict(zip(("d", "b", "cell", "own", "n"), r)) for r in out], schema=pa.schema([("d", pa.int32()), ("b", pa.int32()), ("cell", pa.int32()), ("own", pa.bool_()), ("n", pa.int64())]))
 
-    base = classes.select("vec_id", "w", "v")
+    base = classes.select(F.col("class").alias("vec_id"), "w", "v")
     sizes = base.mapInArrow(count, "d int, b int, cell int, own boolean, n long").groupBy("d", "b", "cell", "own").agg(F.sum("n").alias("n")).collect()
     chunks = {(r["d"], r["b"], r["cell"], r["own"]): -(-r["n"] // CHUNK) for r in sizes}
 
@@ -190,10 +194,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
 
     dealt = base.mapInArrow(deal, "d int, b int, cell int, i int, j int, side int, vec_id long, w long, v binary")
     found = materialize(dealt.groupBy("d", "b", "cell", "i", "j").applyInArrow(join, "a long, b long, n long"), "found")
-    links = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
-    label = components(found.select("a", "b"))
-    known = classes.join(links, "vec_id", "left").join(label, F.col("vec_id") == F.col("id"), "left")
-    known = known.select(F.col("v"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    links = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+    label = components(found.select("a", "b")).select(F.col("id").alias("class"), F.col("component_id").alias("root"))
+    known = classes.join(links, "class", "left").join(label, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    known = materialize(known.select("root", "vec_id", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links")), "known")
+    known = known.join(known.groupBy("root").agg(F.min("vec_id").alias("component_id")), "root").select("v", "n_links", "component_id")
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     every = every.withColumn("v", F.when(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False)), F.col("v")))
     out = every.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -3,10 +3,14 @@
 New pre-tokens of many texts lie in one ragged numpy array of symbols. In each
 round every sequence finds its lowest-rank pair, and all sequences merge
 theirs at once (byte_bpe.RankMerger); the symbols that survive are the count.
-Counts of fragments are kept in a table of bounded size in each worker.
+Counts of fragments are kept in a table of bounded size in each worker. A
+single sequence of more than byte_bpe.LONG symbols, which would need a round
+for nearly each of its merges, is merged by a heap instead; the ids are the same.
 
 Null texts count as empty (0 bytes, 0 tokens); repeated rows give repeated
-rows; other columns are not read. No shuffle.
+rows; other columns, whatever their names, are not read. Very long texts are
+counted whole, in slices of rows of bounded size; an empty table gives an empty
+result. No shuffle.
 """
 
 from __future__ import annotations

@@ -254,3 +254,11 @@ def test_scan_is_near_the_products():
 def test_vectors_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neardup.near_duplicates(none).count() == 0 and mips.search(none).count() == 0
+
+
+def test_different_vectors_of_one_id(spark):
+    """Counts and components belong to vectors, not to names."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.02, 0.0]), (4, [1.0, 0.0, 0.01]), (5, [1.0, 0.0, 0.02]), (7, [0.0, 0.0, 1.0]), (7, [0.0, 0.01, 1.0]), (6, [0.0, 1.0, 0.01])]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found.collect())
+    assert got == [(1, 1, 1), (1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (5, 4, 1), (6, 1, 1), (7, 1, 7), (7, 1, 7)]

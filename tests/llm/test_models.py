@@ -213,3 +213,13 @@ def test_repeated_licenses(spark):
     ]
     out = licenses.scan(spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(cases)], "doc_id long, text string")).collect()
     assert [(r["licenses"], r["unmatched"]) for r in sorted(out, key=lambda r: r["doc_id"])] == [(name, left) for _, name, left in cases]
+
+
+def test_languages_whose_rows_share_an_id_are_learned(spark):
+    """Neither equal ids nor equal rows keep a language out of the sample."""
+    docs = [(8, "de", f"das ist der satz {i % 7}") for i in range(3000)] + [(9, "fr", "le meme texte")] * 3000 + [(i, "en", f"this is the sentence {i}") for i in range(50)]
+    df = spark.createDataFrame([(i, t, lang) for i, lang, t in docs], "doc_id long, text string, lang string")
+    rows = language.sample_rows(df, sample=1000)
+    assert {lang: sum(x == lang for x, _ in rows) for lang in ("de", "fr")} == {"de": 1000, "fr": 1000}
+    assert 30 <= sum(x == "en" for x, _ in rows) <= 50
+    assert rows == language.sample_rows(df.repartition(7), sample=1000)
