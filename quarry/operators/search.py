@@ -267,11 +267,12 @@ def answer(spark: SparkSession, index: Index, queries: Queries, analyzer: Analyz
     its error; one without hits has none."""
     table = query_table(spark, queries)
     mode = boolean_column(F.col("text"), as_coded)
-    found = free_text(spark, index, table.where(~mode), analyzer, thesaurus, as_coded=as_coded, limit=None if table.where(F.size("relevant") > 0).take(1) else limit)
-    found = found.union(boolean(spark, index, table.where(mode), analyzer, as_coded=as_coded, strict=False))
     known = table.select("query_id", F.explode("relevant").alias("doc_id"))
-    if known.take(1):
-        found = with_feedback(found, known)
+    feedback = bool(known.take(1))
+    first = None if feedback else limit  # feedback may lift documents from far down
+    found = free_text(spark, index, table.where(~mode), analyzer, thesaurus, as_coded=as_coded, limit=first)
+    found = found.union(boolean(spark, index, table.where(mode), analyzer, as_coded=as_coded, limit=first, strict=False))
+    found = with_feedback(found, known) if feedback else found
     found = found.where(F.col("rank") <= limit) if limit is not None else found
     wrong = clauses(spark, table.where(mode), analyzer).where("error IS NOT NULL")
     none = lambda kind: F.lit(None).cast(kind)

@@ -12,7 +12,7 @@ from quarry.functions import analysis as an
 from quarry.functions import sentences
 from quarry.functions.stem import stem_sql, stems
 from quarry.operators import plsa, search, thesaurus
-from quarry.plans.checkpoints import shared_folder
+from quarry.plans.checkpoints import session_folder
 from quarry.plans.index import Index, build, counts, first_seen, from_documents, spread, term_rows, token_rows
 from quarry.sources import corpus as src
 
@@ -174,7 +174,7 @@ register("postings_lookup", lambda spark, sf_dir: build(corpus_of(spark, sf_dir)
 
 def stored_index(spark: SparkSession, sf_dir: str, analyzer: an.Analyzer) -> Index:
     """The index of all documents, written and read again."""
-    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/index-{uuid.uuid4().hex}"
     build(corpus_of(spark, sf_dir), analyzer, checkpoint=True).save(path)
     return Index.load(spark, path)
 
@@ -263,7 +263,7 @@ def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_thesaurus(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/thesaurus-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/thesaurus-{uuid.uuid4().hex}"
     thesaurus.save(thesaurus.build(_document_lines(spark, sf_dir), mode), path)
     return thesaurus.load(spark, path).select("term", F.array_join("synonyms", "|").alias("synonyms"))
 
@@ -383,7 +383,7 @@ register("sample_rows", lambda spark, sf_dir: src.sample_rows(docs_of(spark, sf_
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as quoted CSV and back."""
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/csv-{uuid.uuid4().hex}"
     rows = docs_of(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.col("lang").alias("court"))
     rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return src.read_csv(spark, path).select("document_id", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "court")
@@ -393,7 +393,7 @@ register("csv_corpus", _csv, "SELECT doc_id AS document_id, md5(text) AS content
 
 
 def _csv_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/sample-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/sample-{uuid.uuid4().hex}"
     src.write_sample_csv(docs_of(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")), "document_id", path)
     return src.read_csv(spark, path)
 
