@@ -7,8 +7,13 @@ document's identifiers is then matched against ordered licence rules, each a
 sequence of identifiers; the first rule that fits takes its identifiers away,
 so a rule for a whole licence comes before rules for its parts.
 
-Null and empty texts have no sentence and no licence. Repeated rows give
-repeated rows. One projection of each row: no shuffle, no join, no Python.
+A tag line `SPDX-License-Identifier: X` is a sentence where X is a single known
+identifier that ends its line or comment; expressions of several are none.
+
+Null and empty texts have no sentence and no licence, an empty table gives an
+empty result, very long texts are looked at whole; other columns, whatever
+their names, are not read. Repeated rows give repeated rows. One projection of
+each row: no shuffle, no join, no Python.
 """
 
 from __future__ import annotations
@@ -61,7 +66,7 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC0-1.0", ["CC0Ref"]),
     ("all-rights-reserved", ["Reserved"]),
 ]
-_BY = ("Licensed under", "Released under", "Distributed under", "This work is licensed under")
+_BY = ("Licensed under", "Released under", "Distributed under", *(f"This {x} is {how} under" for x in ("work", "project", "code", "software", "library", "package", "program", "repository", "file", "document", "dataset") for how in ("licensed", "released", "distributed")))
 _FREE = "you can redistribute it and/or modify it under the terms of the"
 _OF_FSF = "as published by the Free Software Foundation"
 
@@ -114,6 +119,52 @@ STANDARD_RULES: list[tuple[str, list[str]]] = [
         ("AGPL-3.0-or-later", "AGPL3LaterGrant"), ("GPL-3.0-only", "GPL3OnlyGrant"), ("GPL-2.0-only", "GPL2OnlyGrant"),
     ) for rest in (["GPLWarranty"], [])),
 ]
+#: Further licences' own sentences, and the whole texts' warranty paragraphs and titles.
+FURTHER: dict[str, list[str]] = {
+    "MITAsIs": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
+    "MITLiable": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "BSDAsIs": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
+    "BSDLiable": [f"IN NO EVENT SHALL THE COPYRIGHT {x} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE." for x in ("HOLDER", "OWNER", "HOLDERS")],
+    "BSDStyle": [f"Use of this source code is governed by a BSD{x}style license that can be found in the LICENSE file." for x in "- "],
+    "ISCGrant": [f"Permission to use, copy, modify, {x} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies." for x in ("and/or", "and")],
+    "0BSDGrant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "ISCAsIs": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
+    "UnlicenseFree": ["This is free and unencumbered software released into the public domain."],
+    "UnlicenseAnyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "BoostRef": [*_by("the Boost Software License, Version 1.0"), "Boost Software License - Version 1.0 - August 17th, 2003"],
+    "BoostGrant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "ZlibGrant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "ZlibOrigin": ["The origin of this software must not be misrepresented; you must not claim that you wrote the original software."],
+    "EPL2Notice": [f"This program and the accompanying materials are made available under the terms of the Eclipse Public License {v}2.0 which {x} available at {u}" for v in ("", "v. ", "v") for x in ("is", "accompanies this distribution, and is") for u in ("https://www.eclipse.org/legal/epl-2.0/", "http://www.eclipse.org/legal/epl-2.0", "https://www.eclipse.org/legal/epl-2.0")],
+    "EPL1Notice": [f"All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at {u}" for u in ("http://www.eclipse.org/legal/epl-v10.html", "https://www.eclipse.org/legal/epl-v10.html")],
+    "ApacheTitle": ["Apache License Version 2.0, January 2004"],
+    "GPL3Title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "GPL2Title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL3Title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL21Title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "AGPL3Title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "MPL2Title": ["Mozilla Public License Version 2.0"],
+}
+#: Identifiers of the public licence list that a tag line may name.
+SPDX = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 "
+    "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+).split()
+FURTHER |= {f"SPDX-{x}": [f"SPDX-License-Identifier {x}"] for x in SPDX}
+#: Rules of these, before all others; longer ones first.
+FURTHER_RULES: list[tuple[str, list[str]]] = [
+    *((x, [f"SPDX-{x}"]) for x in SPDX),
+    *(("MIT", ["MITGrant", "MITNotice", *rest]) for rest in (["MITAsIs", "MITLiable"], ["MITAsIs"])),
+    *((name, ["BSDGrant", "BSDSource", "BSDBinary", *end, *rest]) for rest in (["BSDAsIs", "BSDLiable"], ["BSDAsIs"]) for name, end in (("BSD-3-Clause", ["BSDEndorse"]), ("BSD-2-Clause", []))),
+    *((name, [grant, *rest]) for rest in (["ISCAsIs"], []) for name, grant in (("ISC", "ISCGrant"), ("0BSD", "0BSDGrant"))),
+    *(("Unlicense", x) for x in (["UnlicenseFree", "UnlicenseAnyone"], ["UnlicenseFree"])),
+    *(("BSL-1.0", x) for x in (["BoostRef", "BoostGrant"], ["BoostGrant"], ["BoostRef"])),
+    *(("Zlib", x) for x in (["ZlibGrant", "ZlibOrigin"], ["ZlibGrant"])),
+    ("EPL-2.0", ["EPL2Notice"]), ("EPL-1.0", ["EPL1Notice"]), ("BSD-style", ["BSDStyle"]),
+    ("Apache-2.0", ["ApacheTitle"]), ("GPL-3.0-only", ["GPL3Title"]), ("GPL-2.0-only", ["GPL2Title"]), ("LGPL-3.0-only", ["LGPL3Title"]), ("LGPL-2.1-only", ["LGPL21Title"]), ("AGPL-3.0-only", ["AGPL3Title"]), ("MPL-2.0", ["MPL2Title"]),
+]
+STANDARD |= FURTHER
+STANDARD_RULES = FURTHER_RULES + STANDARD_RULES
 ALL_SENTENCES = {k: SENTENCES.get(k, []) + STANDARD.get(k, []) for k in {**SENTENCES, **STANDARD}}
 ALL_RULES = STANDARD_RULES + RULES
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,6 +183,7 @@ def known(sentences: dict[str, list[str]]) -> dict[str, str]:
 
 #: Where sentences break, in order.
 BREAKS = [
+    (r"spdx-license-identifier:[ \t]*([a-z0-9][a-z0-9.-]*)(?=[ \t]*(?:\*/|-->|\r?\n|\r?$))", "\n\nspdx-license-identifier $1\n\n"),
     (r"(?m)^[ \t]*+(?:(?:/[*/]|[*#;%>|•·–-])++[ \t]*+)++", ""),
     (r"(?m)^([ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4})|(?:\(c\)|©)[ \t]*[0-9]{4})[^\r\n]*)$", "$1\n\n"),
     (r"(?m)^([ \t]*<?https?://[^ \t\r\n]+[ \t\r]*)$", "\n\n$1\n\n"),
@@ -143,9 +195,9 @@ BREAKS = [
 ENDORSE = "^neither the names? of .{1,120}? nor the names of (?:its|any|their|other) contributors may"
 
 
-def _sentences(text: Column, table: Column) -> Column:
-    """Normalised sentences. Marks of comments and lists that begin a line are
-    taken away; what follows a list's number, a copyright line or a line of an
+def _parts(text: Column) -> Column:
+    """A text's parts, sentences or several lines. Marks of comments and lists
+    that begin a line are taken away; what follows a list's number, a copyright line or a line of an
     address alone is looked at by itself. A stop or colon ends a sentence
     before blanks or a line end and then a letter, a double quote or a bracket
     (so not in `v. 2.0`), or at a line end before a digit, and so does an empty
@@ -154,9 +206,12 @@ def _sentences(text: Column, table: Column) -> Column:
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     for pattern, put in BREAKS:
         lower = F.regexp_replace(lower, pattern, put)
-    parts = F.split(lower, r"\n[ \t\r]*\n[ \t\r\n]*")
-    plain = lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), ENDORSE, "neither the name of the copyright holder nor the names of its contributors may")
-    return F.flatten(F.transform(parts, lambda s: F.when(F.map_contains_key(table, plain(s)), F.array(plain(s))).otherwise(F.transform(F.split(s, r"[\r\n]+"), plain))))
+    return F.split(lower, r"\n[ \t\r]*\n[ \t\r\n]*")
+
+
+def _normal_sql(x: str) -> str:
+    """A part's normalised text; x: an expression of Spark's SQL."""
+    return f"regexp_replace(trim(regexp_replace({x}, '[^a-z0-9]+', ' ')), '{ENDORSE}', 'neither the name of the copyright holder nor the names of its contributors may')"
 
 
 def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
@@ -164,17 +219,26 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
     licenses (in rule order, by commas), unmatched (identifiers that no rule
     has taken)."""
     by_text = known(sentences or ALL_SENTENCES)
-    table = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
+    # as SQL text: normalised sentences hold letters, digits and blanks alone; IN looks them up by hash
+    names, table = ", ".join(f"'{t}'" for t in by_text), F.expr("map(" + ", ".join(f"'{t}', '{i}'" for t, i in by_text.items()) + ")")
     rules = rules or (RULES if sentences else ALL_RULES)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _sentences(F.col("text").cast("string"), table).alias("s"))
-    found = found.select("doc_id", F.transform(F.filter("s", lambda s: F.map_contains_key(table, s)), lambda s: F.element_at(table, s)).alias("ids"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _parts(F.col("text").cast("string")).alias("p"))
+    whole = f"transform(p, x -> struct(x, {_normal_sql('x')} AS n))"
+    lines = f"transform(split(y.x, '[\\\\r\\\\n]+'), z -> {_normal_sql('z')})"
+    found = found.select("doc_id", F.expr(f"flatten(transform({whole}, y -> IF(y.n IN ({names}), array(y.n), {lines})))").alias("s"))
+    found = found.select("doc_id", F.transform(F.expr(f"filter(s, x -> x IN ({names}))"), lambda s: F.element_at(table, s)).alias("ids"))
     found = found.withColumn("left", F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
-    hits = []
-    for k, (_, sequence) in enumerate(rules):
-        mark = "".join(f"<{x}>" for x in sequence)  # no sign is shared, so adjacent ones all match
-        found = found.withColumn(f"r{k}", F.col("left").contains(mark)).withColumn("left", F.replace("left", F.lit(mark), F.lit("|")))
-        hits.append(F.when(F.col(f"r{k}"), F.lit(rules[k][0])))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ",").alias("licenses"), F.trim(F.regexp_replace("left", "[<>|]+", " ")).alias("unmatched"))
+    # no sign is shared by two marks, so adjacent ones all match; documents without sentences have nothing to match
+    marks = F.expr("array(" + ", ".join(f"named_struct('mark', '{''.join(f'<{x}>' for x in sequence)}', 'name', '{name}')" for name, sequence in rules) + ")")
+    none = F.array().cast("array<string>")
+    start = F.struct(F.col("left").alias("left"), none.alias("hits"))
+
+    def take(state: Column, rule: Column) -> Column:
+        hits = F.when(state["left"].contains(rule["mark"]), F.array_append(state["hits"], rule["name"])).otherwise(state["hits"])
+        return F.struct(F.replace(state["left"], rule["mark"], F.lit("|")).alias("left"), hits.alias("hits"))
+
+    found = found.withColumn("m", F.when(F.size("ids") == 0, start).otherwise(F.aggregate(marks, start, take)))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_distinct("m.hits"), ",").alias("licenses"), F.trim(F.regexp_replace("m.left", "[<>|]+", " ")).alias("unmatched"))
 
 
 def oracle(sentences: dict[str, list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> str:

@@ -223,3 +223,38 @@ def test_languages_whose_rows_share_an_id_are_learned(spark):
     assert {lang: sum(x == lang for x, _ in rows) for lang in ("de", "fr")} == {"de": 1000, "fr": 1000}
     assert 30 <= sum(x == "en" for x, _ in rows) <= 50
     assert rows == language.sample_rows(df.repartition(7), sample=1000)
+
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT"""
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"),
+        ("# SPDX-License-Identifier: MIT", "MIT"),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ""),
+        ("SPDX-License-Identifier: Unknown-9", ""),
+        ("Copyright (c) 2001 A\n\n" + ISC, "ISC"),
+        ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.", "Unlicense"),
+        ("// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file)", "BSL-1.0"),
+        ("Permission is granted to anyone to use this software for any purpose,\n  including commercial applications, and to alter it and redistribute it\n  freely, subject to the following restrictions:\n\n  1. The origin of this software must not be misrepresented; you must not\n     claim that you wrote the original software. If you use", "Zlib"),
+        ("Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.", "BSD-style"),
+        ("This project is licensed under the MIT License.", "MIT"),
+        ("This code is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "GPL-3.0-only"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", "Apache-2.0"),
+        ("x " * 100_000 + "\n\nThis library is distributed under the MIT License.\n", "MIT"),
+    ],
+)
+def test_further_licences(spark, text, want):
+    df = spark.createDataFrame([(1, text, "clash")], "doc_id long, text string, licenses string")
+    assert licenses.scan(df).first()["licenses"] == want
+    assert licenses.scan(df.limit(0)).collect() == []
