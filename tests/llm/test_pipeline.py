@@ -36,4 +36,12 @@ def test_entry_points(spark):
     import __spark_entry__ as e
 
     names = {n.split("_")[0] for n in e.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in e.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in e.queries()
+
+
+def test_an_empty_table_stays_empty(spark, tmp_path):
+    import corpus_pipeline
+
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
