@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("quarry").getOrCreate()
     if args.command == "index":
-        build(read_csv(spark, args.input, args.limit), CANONICAL).save(args.output)
+        build(checkpointed(read_csv(spark, args.input, args.limit)), CANONICAL).save(args.output)  # parsed once, though read twice
     elif args.command == "search":
         query = read_query(spark, args.query)
         synonyms = thesaurus.build(read_thesaurus_lines(spark, args.thesaurus)) if args.thesaurus else thesaurus.load(spark, args.stored_thesaurus) if args.stored_thesaurus else None
