@@ -82,7 +82,8 @@ def read_query(spark: SparkSession, path: str) -> QuerySpec:
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """query_id, text, relevant: a table of queries from a folder of query
-    files, numbered from 0 by file name. An empty file is a query without text."""
+    files, numbered from 0 by file name. A first line without text is a query
+    without text; Spark skips files of no bytes, so they are no query."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("f"))
     relevant = F.filter(F.transform(F.slice("f", 2, F.size("f")), lambda x: F.trim(x).try_cast("long")), lambda x: x.isNotNull())
     rows = numbered(files.select("path", F.trim(F.col("f")[0]).alias("text"), relevant.alias("relevant")), "path", name="query_id")

@@ -262,7 +262,7 @@ def test_a_folder_of_query_files(spark, stored, tmp_path):
     made, _ = stored
     made.save(str(tmp_path / "i"))
     (tmp_path / "q").mkdir()
-    for name, text in (("a", "late\n850\nx\n"), ("b", "a b c d AND e\n"), ("c", ""), ("d", "far AND near\r\n")):
+    for name, text in (("a", "late\n850\nx\n"), ("b", "a b c d AND e\n"), ("c", "\n"), ("c0", ""), ("d", "far AND near\r\n")):
         (tmp_path / "q" / name).write_text(text, newline="")
     rows = src.read_queries(spark, str(tmp_path / "q")).orderBy("query_id").collect()
     assert [(r["query_id"], r["text"], r["relevant"]) for r in rows] == [(0, "late", [850]), (1, "a b c d AND e", []), (2, "", []), (3, "far AND near", [])]
