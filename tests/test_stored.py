@@ -256,6 +256,28 @@ def test_a_round_is_one_shuffle(spark):
     assert sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange ") == 1
 
 
+def test_rows_are_joined_with_their_own_terms_alone(spark, monkeypatch):
+    for name, value in (("ENTRIES", 8), ("DOCS", 4), ("BROADCAST", 0)):
+        monkeypatch.setattr(plsa, name, value)
+    x = spark.createDataFrame([(d, f"w{d}x{i}", 1.0) for d in range(40) for i in range(3)], "doc_id long, term string, x double")
+    blocks = plsa.Blocks.of(x, 2)
+    joined, _ = blocks._parameters(blocks.start())
+    assert joined.count() > 8 and joined.agg(F.sum(F.size("t"))).first()[0] == 120 * 3  # an entry's share of each topic and number
+    assert sorted(r["doc_id"] for r in blocks.docs.collect()) == list(range(40))
+
+
+def test_terms_are_counted_where_their_text_lies(spark):
+    docs = [(1, "b a", "b a b", "x"), (2, "", None, None), (3, "c", "a", "y")]
+    corpus = spark.createDataFrame(docs, "document_id long, title string, content string, court string")
+    made = build(corpus, an.WS)
+    assert "Exchange" not in made.postings._jdf.queryExecution().executedPlan().toString() and made.together
+    got = {(r["zone"], r["kind"], r["term"], r["doc_id"]): round(10 ** (r["wtf"] - 1)) for r in made.postings.collect()}
+    assert len(got) == made.postings.count() == 10 and got["body", "uni", "b", 1] == 2 and got["body", "bi", "a b", 1] == 1
+    twice = build(corpus.union(corpus), an.WS)  # rows of one id are one document
+    got = {k: 2 * n for k, n in got.items()}
+    assert not twice.together and got == {(r["zone"], r["kind"], r["term"], r["doc_id"]): round(10 ** (r["wtf"] - 1)) for r in twice.postings.collect()}
+
+
 def test_a_folder_of_query_files(spark, stored, tmp_path):
     from quarry.cli import main
 
