@@ -207,3 +207,17 @@ def test_command_line(spark, tmp_path):
     main(["vocabulary", "-d", str(tmp_path / "i"), "-o", str(tmp_path / "v")], spark)
     main(["plsa", "-d", str(tmp_path / "i"), "-o", str(tmp_path / "p"), "-k", "2", "--max-iter", "2"], spark)
     assert spark.read.parquet(str(tmp_path / "p" / "top_words")).count() > 0
+
+
+def test_stems_of_lists_keep_frequent_words_and_hold_parts(monkeypatch):
+    import pyarrow as pa
+
+    from quarry.functions import stem
+
+    monkeypatch.setattr(stem, "KEPT", 2)
+    monkeypatch.setattr(stem, "PART", 3)
+    monkeypatch.setattr(stem, "_known", {})
+    lists = [["running", "flies"], [], ["Running", "cats", "cats"], ["ponies"], ["flies"]]
+    assert stem._stem_lists(pa.array(lists)).to_pylist() == [[stem.stem_word(w) for w in words] for words in lists]
+    assert stem._known == {"running": "run", "flies": "fli"}  # never cleared, never more
+    assert stem._stem_lists(pa.array([], pa.list_(pa.string()))).to_pylist() == []
