@@ -31,6 +31,20 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
 
 
+PART = 1 << 20  #: characters of text, about, that a task holds as Python objects
+
+
+def _parts(values: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) of the values in parts of about PART bytes, one value at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(values):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + PART, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def _ranges(b: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
     """((path, start), from, to) of a batch's rows."""
     path, start = b.column(1).to_pylist(), b.column(2).to_numpy()
@@ -113,6 +127,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((no, own, now[1], seq, "\n".join(held), begun and done))
             held, seq = [], seq + 1
 
+    def out() -> pa.RecordBatch:
+        nonlocal rows
+        made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        rows = []
+        return made
+
     for b in batches:
         for key, lo, hi in _ranges(b):
             if key != now:
@@ -121,30 +141,32 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 no, own = no - 1, own - 1  # what comes before the first begin belongs to the record before
             values = b.column(0).slice(lo, hi - lo)
             before, quotes, blank = _before(values)
-            begins = ((before + odd) % 2 == 0).tolist()
-            for text, new, empty in zip(values.to_pylist(), begins, blank.tolist()):
-                if new:
-                    close(True)
-                    if empty:
-                        begun = False
-                        continue
-                    no, own, begun = no + 1, own + 1, True
-                held.append(text)
+            begins = (before + odd) % 2 == 0
+            for a, z in _parts(values):
+                for text, new, empty in zip(values.slice(a, z - a).to_pylist(), begins[a:z].tolist(), blank[a:z].tolist()):
+                    if new:
+                        close(True)
+                        if empty:
+                            begun = False
+                            continue
+                        no, own, begun = no + 1, own + 1, True
+                    held.append(text)
+                if rows:
+                    yield out()
             odd = (odd + quotes) % 2
-        if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
-            rows = []
     close(odd == 0)
     if rows:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+        yield out()
 
 
 def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     csv.field_size_limit(sys.maxsize)
     for b in batches:
-        parsed = [next(csv.reader(io.StringIO(t.removesuffix("\r"), newline=""))) for t in b.column(2).to_pylist()]
-        fields = [[f or None for f in row] for row in parsed]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fields, pa.list_(pa.string()))], names=["no", "own", "f"])
+        for lo, hi in _parts(b.column(2)):
+            part = b.slice(lo, hi - lo)
+            parsed = [next(csv.reader(io.StringIO(t.removesuffix("\r"), newline=""))) for t in part.column(2).to_pylist()]
+            fields = [[f or None for f in row] for row in parsed]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fields, pa.list_(pa.string()))], names=["no", "own", "f"])
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:

@@ -292,3 +292,15 @@ def test_a_folder_of_query_files(spark, stored, tmp_path):
     lines = [p for p in (tmp_path / "o" / "lines").iterdir() if p.suffix == ".txt"][0].read_text().split("\n")
     assert len(lines) == 3 and lines[0].startswith("850 ") and len(lines[1].split()) == 3
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "o" / "errors")).collect()] == [(1, search.ERROR)]
+
+
+def test_records_are_parsed_in_bounded_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(quoted, "PART", 100)
+    texts = [f'{i},"{"x" * (i * 7 % 60)}"' for i in range(50)] + [f'50,"{"y" * 500}"']
+    b = pa.RecordBatch.from_arrays([pa.array(range(51)), pa.array(range(51)), pa.array(texts)], names=["no", "own", "text"])
+    made = list(quoted._fields(iter([b])))
+    assert all(m.num_rows == 1 or sum(len(f or "") for row in m.column(2).to_pylist() for f in row) <= 100 for m in made)
+    assert [r for m in made for r in m.column(0).to_pylist()] == list(range(51))
+    assert [f for m in made for f in m.column(2).to_pylist()] == [[f or None for f in next(csv.reader([t]))] for t in texts]
