@@ -16,13 +16,22 @@ and the largest weight in front. Searches decide by these small columns which
 blocks to open: a conjunction needs blocks of all its clauses that overlap, a
 ranking of the best k those whose largest weights can reach the kth score. The
 blocks of a frequent term are many rows, dealt to as many files as they need.
-Bloom filters and sorted row groups on term let lookups skip what lacks it.
+Bloom filters and sorted pages on term let lookups skip what lacks it.
+
+To store an index, the texts are dealt by range of ids, SEGMENT bytes or so to
+a task, which counts, packs and sorts its own documents' postings: texts are
+shuffled once, postings never. A key's document frequency is the sum over its
+blocks, so the dictionary of a stored index is read from them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +44,11 @@ KEYS = ("zone", "kind", "term")
 WIDTH = 256  #: document ids that a block spans
 HEAD = ("block", "first", "last", "n", "top")
 FEW = 1000  #: distinct terms up to which a lookup names them to the scan
+MANY = 100_000  #: distinct terms up to which blocks of other terms are dropped at the scan
+SEGMENT = 8 << 20  #: bytes of text whose postings a task stores, or so
+RUN = 8 << 20  #: bytes of tokens that a task counts at once; a range of ids stays whole
+PART = 50_000  #: blocks that leave a task's counting at once
+BLOCK = "zone string, kind string, term string, block long, first long, last long, n int, top float, ids array<long>, weights array<float>"
 
 
 def from_documents(documents: DataFrame) -> DataFrame:
@@ -103,6 +117,97 @@ def pack(postings: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.sortWithinPartitions(*KEYS, "block")
 
 
+def _no_id(ids: np.ndarray) -> pa.Array:
+    """ids, null where they stand for none."""
+    return pa.array(ids, pa.int64(), mask=ids == np.iinfo(np.int64).min)
+
+
+def _blocks(zone: str, kind: str, docs: np.ndarray, lines: pa.StringArray, width: int) -> pa.RecordBatch:
+    """Blocks of one zone of documents, whose tokens come as lines."""
+    some = pc.not_equal(lines, "").to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(lines.filter(pa.array(some)), " ")
+    sizes = np.zeros(len(lines), dtype=np.int64)
+    sizes[some] = pc.list_value_length(lists).to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    words, place = coded.dictionary.take(order), np.empty(len(order), dtype=np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    ids, of = np.unique(docs, return_inverse=True)
+    of, code = np.repeat(of, sizes), place[coded.indices.to_numpy()]
+    if kind == "bi":
+        row = np.repeat(np.arange(len(lines)), sizes)
+        inner = row[1:] == row[:-1]
+        of, code = of[1:][inner], (code[:-1] * len(words) + code[1:])[inner]
+    known = None
+    if len(words) ** 2 * len(ids) >= 1 << 63:  # numbers of pairs and documents together would run over
+        known, code = np.unique(code, return_inverse=True)
+    key = np.sort(code * len(ids) + of)  # by term, then document
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    weights = (1 + np.log10(np.diff(starts, append=len(key)))).astype(np.float32)
+    code, of = np.divmod(key[starts], max(1, len(ids)))
+    code = code if known is None else known[code]
+    doc = ids[of]
+    block = doc // width
+    at = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(block, prepend=block[:1]))
+    size = np.diff(at, append=len(code))
+    if kind == "bi":
+        a, b = np.divmod(code[at], max(1, len(words)))
+        terms = pc.binary_join_element_wise(words.take(pa.array(a)), words.take(pa.array(b)), " ")
+    else:
+        terms = words.take(pa.array(code[at]))
+    top = np.maximum.reduceat(weights, at) if len(at) else weights
+    alone, kept = size == 1, np.repeat(size > 1, size)  # a block of one posting is told by its first and top
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(alone, 0, size))]).astype(np.int32))
+    listed = lambda values: pa.ListArray.from_arrays(offsets, values, mask=pa.array(alone))
+    none = doc[at] == np.iinfo(np.int64).min
+    columns = [pa.repeat(pa.scalar(zone), len(at)), pa.repeat(pa.scalar(kind), len(at)), terms, pa.array(block[at], pa.int64(), mask=none), _no_id(doc[at]), pa.array(doc[at + size - 1], pa.int64(), mask=none | alone), pa.array(size, pa.int32(), mask=alone), pa.array(top), listed(_no_id(doc[kept])), listed(pa.array(weights[kept]))]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BLOCK.split(", ")])
+
+
+def _segment(zones: tuple[str, ...], kinds: tuple[str, ...], width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from documents' tokens (doc_id, a line for each zone), in the
+    order of ranges of ids, to blocks, each whole."""
+
+    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        docs = pc.fill_null(table.column(0), np.iinfo(np.int64).min).to_numpy()
+        for i, zone in enumerate(zones, 1):
+            lines = table.column(i).chunk(0)
+            for kind in ("uni", "bi"):
+                if kind in kinds and (kind == "uni" or zone == "body"):
+                    out = _blocks(zone, kind, docs, lines, width)
+                    yield from (out.slice(k, PART) for k in range(0, out.num_rows, PART))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for batch in batches:
+            ranges = pc.fill_null(batch.column(0), np.iinfo(np.int64).min).to_numpy() // width
+            cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), batch.num_rows]
+            sizes = np.cumsum([0, *sum(pc.binary_length(batch.column(i)).to_numpy() for i in range(1, batch.num_columns))])
+            for a, b in zip(cuts, cuts[1:]):  # documents of one range
+                if size > RUN and ranges[a] != last:
+                    yield from made(held)
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size, last = size + int(sizes[b] - sizes[a]), ranges[a]
+        if held:
+            yield from made(held)
+
+    return run
+
+
+def segments(corpus: DataFrame, analyzer: Analyzer, zones: tuple[str, ...] = ZONES, kinds: tuple[str, ...] = ("uni", "bi"), width: int = WIDTH) -> DataFrame:
+    """The blocks of a corpus without repeated ids, sorted by key and block
+    within each segment."""
+    column = {"body": "content", "title": "title", "court": "court"}
+    size = corpus.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    parts = max(corpus.sparkSession.sparkContext.defaultParallelism, -(-size // SEGMENT))
+    dealt = corpus.withColumn("block", F.floor(F.col("document_id") / width)).repartition(parts, "block").sortWithinPartitions("block", "document_id")
+    lines = [F.concat_ws(" ", analyzer.tokens(F.col(column[z]))).alias(z) for z in zones]  # no token holds a blank
+    tokens = dealt.select(F.col("document_id").cast("long").alias("doc_id"), *lines)
+    return tokens.mapInArrow(_segment(zones, kinds, width), BLOCK).sortWithinPartitions(*KEYS, "block")
+
+
 def unpack(blocks: DataFrame, *also: str) -> DataFrame:
     """The postings of blocks, with further columns of theirs."""
     rows = blocks.select(*KEYS, *also, F.explode(F.arrays_zip("ids", "weights")).alias("p"))
@@ -121,41 +226,47 @@ class Index:
     stats: DataFrame
     stored: DataFrame | None = None
     together: bool = False  #: whether a document's postings follow each other
+    segments: Callable[[int], DataFrame] | None = None  #: from the width of blocks to all of them, where ids don't repeat
 
     @property
     def blocks(self) -> DataFrame:
         return pack(self.postings) if self.stored is None else self.stored
 
     def save(self, path: str, width: int = WIDTH) -> None:
-        """Writes blocks and statistics once; the dictionary comes from the
-        written blocks, so the corpus is analysed a single time."""
-        spark = self.stats.sparkSession
-        bloom = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.expected.ndv#term": "100000"}
-        pack(self.postings, width).write.mode("overwrite").options(**bloom).parquet(f"{path}/blocks")
+        """Writes blocks and statistics once. Terms hardly repeat within a
+        file, so they are written without a dictionary."""
+        bloom = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.expected.ndv#term": "100000", "parquet.enable.dictionary#term": "false", "compression": "zstd"}
+        blocks = pack(self.postings, width) if self.segments is None else self.segments(width)
+        blocks.write.mode("overwrite").options(**bloom).parquet(f"{path}/blocks")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        df = spark.read.parquet(f"{path}/blocks").groupBy(*KEYS).agg(F.sum("n").alias("df"))
-        dictionary = _dictionary(df, spark.read.parquet(f"{path}/stats"))
-        dictionary.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.mode("overwrite").options(**bloom).parquet(f"{path}/dictionary")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        blocks, dictionary, stats = (spark.read.parquet(f"{path}/{t}") for t in ("blocks", "dictionary", "stats"))
-        return cls(unpack(blocks), dictionary, stats, blocks)
+        blocks, stats = (spark.read.parquet(f"{path}/{t}") for t in ("blocks", "stats"))
+        one = {"last": F.col("first"), "n": F.lit(1), "ids": F.array("first"), "weights": F.array("top")}  # of blocks of one posting
+        return cls.of(blocks.select(*[F.coalesce(c, one[c]).alias(c) if c in one else c for c in blocks.columns]), stats)
+
+    @classmethod
+    def of(cls, blocks: DataFrame, stats: DataFrame) -> Index:
+        """A stored index; its dictionary is summed up over the blocks."""
+        return cls(unpack(blocks), _dictionary(blocks.groupBy(*KEYS).agg(F.sum("n").alias("df")), stats), stats, blocks)
 
     def lookup(self, terms: list[str]) -> DataFrame:
         """Postings of a few terms; the filter reaches the scan."""
         return self.postings.where(F.col("term").isin(terms))
 
     def narrowed(self, terms: DataFrame) -> Index:
-        """The index for queries of these terms (column term): where they are
-        few, scans of a stored index are told their names."""
+        """The index for queries of these terms (column term): of a stored
+        index, blocks of other terms are dropped at the scan, which is told the
+        terms' names where they are few."""
         if self.stored is None:
             return self
         names = [r["term"] for r in terms.select("term").distinct().take(FEW + 1)]
-        if len(names) > FEW:
-            return self
-        only = lambda df: df.where(F.col("term").isin(names))
-        return Index(only(self.postings), only(self.dictionary), self.stats, only(self.stored))
+        if len(names) <= FEW:
+            return Index.of(self.stored.where(F.col("term").isin(names)), self.stats)
+        wanted = terms.select("term").distinct()
+        small = len(wanted.select(F.lit(1)).take(MANY + 1)) <= MANY
+        return Index.of(self.stored.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").select(self.stored.columns), self.stats)
 
     def vocabulary(self) -> DataFrame:
         """Keys with their zone's prefix, as in a dump of the dictionary."""
@@ -174,7 +285,8 @@ def build(corpus: DataFrame, analyzer: Analyzer = CANONICAL, zones: tuple[str, .
     postings = terms.select("zone", "kind", "term", "doc_id", (1 + F.log10("tf")).cast("float").alias("wtf"))
     postings = checkpointed(postings) if checkpoint else postings
     stats = corpus.agg(F.count_distinct("document_id").alias("n_docs"))
-    return Index(postings, _dictionary(postings.groupBy(*KEYS).agg(F.count("*").alias("df")), stats), stats, together=together)
+    whole = None if only is not None or not together else lambda width: segments(corpus, analyzer, zones, kinds, width)
+    return Index(postings, _dictionary(postings.groupBy(*KEYS).agg(F.count("*").alias("df")), stats), stats, together=together, segments=whole)
 
 
 def first_seen(corpus: DataFrame, analyzer: Analyzer) -> DataFrame:

@@ -175,7 +175,7 @@ register("postings_lookup", lambda spark, sf_dir: build(corpus_of(spark, sf_dir)
 def stored_index(spark: SparkSession, sf_dir: str, analyzer: an.Analyzer) -> Index:
     """The index of all documents, written and read again."""
     path = f"{session_folder(spark)}/index-{uuid.uuid4().hex}"
-    build(corpus_of(spark, sf_dir), analyzer, checkpoint=True).save(path)
+    build(from_documents(docs_of(spark, sf_dir)), analyzer).save(path)
     return Index.load(spark, path)
 
 

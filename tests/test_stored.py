@@ -278,6 +278,29 @@ def test_terms_are_counted_where_their_text_lies(spark):
     assert not twice.together and got == {(r["zone"], r["kind"], r["term"], r["doc_id"]): round(10 ** (r["wtf"] - 1)) for r in twice.postings.collect()}
 
 
+def test_storing_an_index_shuffles_texts_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quarry.plans.index.RUN", 60)
+    monkeypatch.setattr("quarry.plans.index.SEGMENT", 100)
+    rnd = random.Random(5)
+    word = lambda: rnd.choice(["b", "a", "a\u00e9", "\u4e2d", "ab", "!", "x-y", "\x01", "B"])
+    docs = [(i * 3 - 50, word(), " ".join(word() for _ in range(rnd.randrange(20))) if i % 9 else None, "c") for i in range(80)]
+    corpus = spark.createDataFrame(docs, "document_id long, title string, content string, court string")
+    for analyzer in (an.WS, an.CANONICAL, an.Analyzer("ws", "punct_substring", (), False)):
+        made = build(corpus, analyzer)
+        plan = made.segments(16)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > plan.index("MapInArrow")
+        made.save(str(tmp_path / "s"), width=16)
+        got = Index.load(spark, str(tmp_path / "s"))
+        assert sorted(map(tuple, got.postings.collect())) == sorted(map(tuple, made.postings.collect()))
+        assert sorted(map(tuple, got.dictionary.collect())) == sorted(map(tuple, made.dictionary.collect()))
+        assert got.stored.groupBy("zone", "kind", "term", "block").count().where("count > 1").count() == 0
+    assert spark.read.parquet(str(tmp_path / "s" / "blocks")).where("n = 1").count() == 0  # such blocks have no lists
+    build(corpus.limit(0), an.WS).save(str(tmp_path / "e"))
+    assert Index.load(spark, str(tmp_path / "e")).dictionary.count() == 0
+    build(corpus.union(corpus), an.WS).save(str(tmp_path / "r"), width=16)  # repeated ids
+    assert Index.load(spark, str(tmp_path / "r")).dictionary.agg(F.max("df")).first()[0] == 80
+
+
 def test_a_folder_of_query_files(spark, stored, tmp_path):
     from quarry.cli import main
 
