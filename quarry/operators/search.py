@@ -11,6 +11,10 @@ all its clauses overlap. For the best k of a query, a block range is bounded by
 the sum of its terms' largest weights: the k ranges with the highest bounds are
 scored, their kth score is a threshold, and of the other ranges those are
 opened that can reach it. Nothing is cut that could matter, ties included.
+
+For a batch of many terms nearly all blocks are wanted by some query. They are
+dealt by range of ids once, as they are stored; a task has all postings of its
+documents, so it scores them for all queries, and only its best leave it.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from quarry.plans.index import HEAD, KEYS, Index, unpack
 from quarry.plans.ranges import ranks
 
 QUERIES = "query_id long, text string, relevant array<long>"
+BATCH = 1_000  #: rows of query terms beyond which blocks are read once for all queries, not chosen for each
+RANGES = 4_096  #: documents whose postings a task scores, or so, for such batches
 SMALL = 100_000  #: rows of query terms up to which they are broadcast (some MB)
 ERROR = "Boolean query contains invalid item"
 
@@ -125,8 +131,26 @@ def opened(index: Index, terms: DataFrame, small: bool = False, chosen: DataFram
     return index.postings.join(_hinted(terms, small), list(KEYS))
 
 
+def batched(index: Index, terms: DataFrame, small: bool) -> bool:
+    """Whether a stored index is read once for all queries of these terms."""
+    return index.stored is not None and small and len(terms.select(F.lit(1)).take(BATCH + 1)) > BATCH
+
+
+def dealt(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of a batch's terms, with the columns of terms, by block:
+    all of a document's lie in one task. Terms are broadcast."""
+    parts = max(index.stats.sparkSession.sparkContext.defaultParallelism, -(-index.stats.first()["n_docs"] // RANGES))
+    blocks = index.stored.repartition(parts, "block").join(F.broadcast(terms), list(KEYS))
+    return unpack(blocks, "block", *[c for c in terms.columns if c not in KEYS])
+
+
+def _document(hits: DataFrame) -> list[str]:
+    """What a query's score of a document is grouped by; block is known by doc_id."""
+    return [c for c in ("block", "query_id", "doc_id") if c in hits.columns]
+
+
 def _sums(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("wtf").cast("double") * F.col("w")), 6).alias("score"))
+    return hits.groupBy(*_document(hits)).agg(F.round(F.sum(F.col("wtf").cast("double") * F.col("w")), 6).alias("score")).select("query_id", "doc_id", "score")
 
 
 def bounds(index: Index, terms: DataFrame, small: bool = False) -> DataFrame:
@@ -161,6 +185,8 @@ def free_text(spark: SparkSession, index: Index, queries: Queries, analyzer: Ana
     if limit is None or as_coded or index.stored is None or zone_boost < 0:
         return _ranked(_sums(opened(index, weighted(index, terms, small), small)), as_coded, limit)
     terms = checkpointed(weighted(index, terms, small))
+    if batched(index, terms, small):
+        return _best(_sums(dealt(index, terms)), limit)
     scores, rest = top_blocks(index, terms, limit, small)
     return _best(scores.union(_sums(opened(index, terms, chosen=rest))), limit)
 
@@ -216,8 +242,11 @@ def conjunction(index: Index, zoned: DataFrame, need: DataFrame, small: bool = F
     """query_id, doc_id, score: documents that match every clause. zoned:
     query_id, zone, kind, term, clause_id, w; need: clauses of each query. A
     stored index opens overlapping blocks alone."""
-    hits = opened(index, zoned, small, overlapping(index, zoned, need, small) if index.stored is not None else None)
-    sums = hits.groupBy("query_id", "doc_id").agg(F.count_distinct("clause_id").alias("n"), F.round(F.sum(F.col("wtf").cast("double") * F.col("w")), 6).alias("score"))
+    if batched(index, zoned, small):
+        hits, need = dealt(index, zoned), F.broadcast(need)
+    else:
+        hits = opened(index, zoned, small, overlapping(index, zoned, need, small) if index.stored is not None else None)
+    sums = hits.groupBy(*_document(hits)).agg(F.count_distinct("clause_id").alias("n"), F.round(F.sum(F.col("wtf").cast("double") * F.col("w")), 6).alias("score"))
     return sums.join(need, "query_id").where("n = need").select("query_id", "doc_id", "score")
 
 

@@ -144,6 +144,19 @@ def test_shuffled_terms_give_the_same(spark, stored, monkeypatch):
     assert rows_of(search.free_text(spark, index, texts, an.WS)) == want
 
 
+def test_a_batch_reads_blocks_once_and_shuffles_no_hits(spark, stored, monkeypatch):
+    _, index = stored
+    queries = [(i, t) for i, t in enumerate(["rich all", "far near", "late", "none", "far AND near", "all AND late", "far AND late", "rich AND all late"])]
+    want = [search.answer(spark, index, search.query_table(spark, queries), an.WS, limit=k).collect() for k in (1, 7, 2000)]
+    monkeypatch.setattr(search, "BATCH", 0)
+    monkeypatch.setattr(search, "RANGES", 100)
+    assert [sorted(map(str, search.answer(spark, index, search.query_table(spark, queries), an.WS, limit=k).collect())) for k in (1, 7, 2000)] == [sorted(map(str, w)) for w in want]
+    terms = search.weighted(index, search.free_text_terms(spark, queries[:4], an.WS), True).localCheckpoint()
+    sums = search._sums(search.dealt(index, terms))
+    sums.collect()
+    assert sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1  # of blocks, as stored
+
+
 def test_ranks_and_numbers(spark):
     rows = spark.range(5000).select((F.col("id") % 3 == 0).cast("long").alias("g"), (F.col("id") * 37 % 5000).alias("v"))
     assert all(r["pos"] == r["v"] for r in numbered(rows, "v").collect())
