@@ -12,7 +12,7 @@ from quarry.functions import analysis as an
 from quarry.functions import sentences
 from quarry.functions.stem import stem_sql, stems
 from quarry.operators import plsa, search, thesaurus
-from quarry.plans.checkpoints import session_folder
+from quarry.plans.checkpoints import checkpointed, session_folder
 from quarry.plans.index import Index, build, counts, first_seen, from_documents, spread, token_rows
 from quarry.sources import corpus as src
 
@@ -458,7 +458,7 @@ register("plsa_init_terms", lambda spark, sf_dir: _rounded(plsa.init(_matrix(spa
 
 
 def plsa_e_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _matrix(spark, sf_dir)
+    x = checkpointed(_matrix(spark, sf_dir))  # read three times
     return plsa.e_step(x, *plsa.init(x, K), K).select("doc_id", "term", *[F.round(f"p{i}", 8).alias(f"p{i}") for i in range(K)])
 
 
@@ -482,7 +482,7 @@ register("plsa_stop_rules", plsa_stop_rules, f"{plsa_sql(2)}, seen AS ({_SEEN})
 
 
 def plsa_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _matrix(spark, sf_dir)
+    x = checkpointed(_matrix(spark, sf_dir))
     return plsa.diagnostics(plsa.e_step(x, *plsa.init(x, K), K), K)
 
 

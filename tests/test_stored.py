@@ -340,3 +340,11 @@ def test_records_are_parsed_in_bounded_parts(monkeypatch):
     assert all(m.num_rows == 1 or sum(len(f or "") for row in m.column(2).to_pylist() for f in row) <= 100 for m in made)
     assert [r for m in made for r in m.column(0).to_pylist()] == list(range(51))
     assert [f for m in made for f in m.column(2).to_pylist()] == [[f or None for f in next(csv.reader([t]))] for t in texts]
+
+
+def test_the_topic_steps_analyse_texts_once(spark):
+    from quarry.queries import QUERIES
+
+    for name in ("plsa_e_step", "plsa_diagnostics"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in plan.lower() and "split(" not in plan.lower()  # texts are behind a table that is written
