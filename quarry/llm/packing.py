@@ -184,7 +184,7 @@ def _encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_bpe.codec(vocab)
         end, df = np.array([end_id], dtype=codec.dtype), np.zeros(max(codec.library.get_vocab_size(), end_id + 1), dtype=np.int64)
-        held, keys = np.zeros(len(df), dtype=bool), Keys(len(df))
+        keys = Keys(len(df))
 
         def rows(names: pa.Array, key: list, n: list, ids: list, counts: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([names, pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "key", "n", "ids", "counts"])
@@ -192,13 +192,14 @@ def _encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
         for batch in batches:
             for first, part in in_slices(batch.column(1)):
                 ids = [np.concatenate([x, end]) for x in codec.encode(part)]
-                key = []
-                for x, tie in zip(ids, batch.column(2).slice(first, len(ids)).to_pylist()):
-                    held[x] = True
-                    distinct = np.flatnonzero(held)
-                    df[distinct] += 1
-                    held[distinct] = False
-                    key.append(keys.of(distinct, tie))
+                key, ties = [], batch.column(2).slice(first, len(ids)).to_pylist()
+                for k in range(0, len(ids), SLICE):
+                    some = ids[k : k + SLICE]
+                    doc, term, _ = counted(some, 0)
+                    present = np.bincount(term)
+                    df[: len(present)] += present
+                    cuts = np.searchsorted(doc, np.arange(len(some) + 1)).tolist()
+                    key += [keys.of(term[i:j], tie) for i, j, tie in zip(cuts, cuts[1:], ties[k:])]
                 yield rows(batch.column(0).slice(first, len(ids)), key, [len(x) for x in ids], [x.astype(f"<u{x.dtype.itemsize}").tobytes() for x in ids], [None] * len(ids))
         yield rows(pa.array([None], pa.int64()), [None], [None], [None], [df.astype("<i8").tobytes()])
 

@@ -265,3 +265,15 @@ def test_small_tables_give_the_same_ids(word):
     found = [x.tolist() for k in range(0, 60, 7) for x in small.encode(texts[k : k + 7])]
     assert found == [x.tolist() for x in large.encode(texts)] == [word.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(small.known) < 1000 and small.known.old
+
+
+def test_terms_of_many_documents_are_counted_together(docs, word, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 3)
+    rows = packing._encoded(docs, "word_bpe_49k.json", 1).collect()
+    df = sum(np.frombuffer(r["counts"], dtype="<i8") for r in rows if r["counts"] is not None)
+    want, keys = np.zeros(len(df), dtype=np.int64), packing.Keys(len(df))
+    for r in (r for r in rows if r["n"] is not None):
+        terms = np.unique(packing._ids(r["ids"], r["n"])).astype(np.int64)
+        want[terms] += 1
+        assert r["key"] >> 23 == keys.of(terms, 0) >> 23
+    assert (df == want).all()
