@@ -114,6 +114,34 @@ def test_language_learns_every_language(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in found} == {i: lang for i, _, lang in rows}
 
 
+def test_language_learns_from_every_row(spark):
+    """A held-out row's only word is one that a single other row teaches."""
+    rng, rows, want = random.Random(8), [], {}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    held, taught = [i for i in range(12000) if fold(i) == 2], [i for i in range(12000) if fold(i) != 2]
+    for k, (i, j) in enumerate(zip(held, taught)):
+        lang, word = ("en", "de")[k % 2], "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+        rows += [(i, word, None), (j, f"{word} " * 4, lang)]
+        want[i] = lang
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(want) // 2 > language.SAMPLE
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).where("held_out").collect()} == want
+    assert language.keep_known(docs, 0.75).where("lang IS NULL").count() == len(want)
+
+
+def test_language_counts_as_one_task_would(spark):
+    """Over portions of few bytes and several tasks."""
+    words = "Der\x1cdie\u2003DAS über ÜBER! İstanbul ŒUVRE l'été x 12 a1b 中文字 ^a$ straße \U00020000\U00020001 ŉ".split() + ["der", "die"]
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["", " ", "\t"]).join([" ", *(f"{w} " for w in rng.choices(words, k=rng.randint(0, 30)))]), ("x", "y", "z")[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (300, None, "x"), (301, "abc", None), (302, "", "w")], "doc_id long, text string, lang string").repartition(5)
+    want = language.Model([(lang, text) for i, text, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2])
+    found = language.learn(docs, text_bytes=64, word_bytes=32)
+    assert found.languages == want.languages == ["x", "y", "z"]
+    for (a, x), (b, y) in zip(found.tables, want.tables, strict=True):
+        assert {p: x[k].tolist() for p, k in a.items()} == {p: y[k].tolist() for p, k in b.items()} and len(a) > 0
+
+
 def test_quality_equals_a_plain_forward_pass(docs, labels):
     vectors, layer = quality.train(quality.sample_rows(docs, labels))
     found = {(r["doc_id"], round(r["score"], 5)) for r in quality.classify(docs, labels).collect()}
