@@ -251,10 +251,11 @@ def learn(docs: DataFrame, fold: int = 2, folds: int = 4, text_bytes: int = TEXT
     # how many n-grams a word has follows from its length
     chars = F.length("word")
     many = {n: F.lit(1) if n == 0 else chars if n == 1 else F.greatest(chars + 3 - n, F.lit(0)) for n in LENGTHS}
-    found = {r["lang"]: r for r in words.groupBy("lang").agg(*[F.sum(F.col("k") * x).alias(f"n{n}") for n, x in many.items()]).collect()}  # one row a language
+    sizes = words.groupBy("lang").agg(*[F.sum(F.col("k") * x).alias(f"n{n}") for n, x in many.items()])
+    found = {r["lang"]: r for r in sizes.collect()}  # one row a language
     languages = sorted(found)
     size = {n: np.array([found[lang][f"n{n}"] for lang in languages], dtype=np.int64) for n in LENGTHS}
-    all_of = docs.sparkSession.createDataFrame([(n, lang, int(k)) for n in LENGTHS for lang, k in zip(languages, size[n])], "n int, lang string, size long")
+    all_of = sizes.select("lang", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"n{n}").alias("size")) for n in LENGTHS])).alias("x")).select("x.n", "lang", "x.size")
     # each task has counted its own, so they are dealt by part once, without the language
     parts = words.mapInArrow(lambda b: _part_counts(b, word_bytes), "n int, part string, lang string, k long").repartition("n", "part").groupBy("n", "part", "lang").agg(F.sum("k").alias("k"))
     parts = parts.join(F.broadcast(all_of), ["n", "lang"]).groupBy("n", "part").agg(F.sum("k").alias("total"), F.max(F.col("k") >= FLOOR * F.col("size")).alias("common"), F.collect_list(F.struct("lang", "k")).alias("by"))
