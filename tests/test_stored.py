@@ -348,3 +348,40 @@ def test_the_topic_steps_analyse_texts_once(spark):
     for name in ("plsa_e_step", "plsa_diagnostics"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_replace" not in plan.lower() and "split(" not in plan.lower()  # texts are behind a table that is written
+
+
+def test_stop_rules_share_matrix_and_rounds(spark, monkeypatch):
+    from quarry.queries import QUERIES
+
+    made = []
+    of, one = plsa.Blocks.of.__func__, plsa.Blocks.round
+    monkeypatch.setattr(plsa.Blocks, "of", classmethod(lambda cls, *a: made.append("matrix") or of(cls, *a)))
+    monkeypatch.setattr(plsa.Blocks, "round", lambda self, state: made.append("round") or one(self, state))
+    rows = QUERIES["plsa_stop_rules"](spark, "/root/testdata/sf0.001").collect()
+    assert made == ["matrix", "round", "round", "round"] and [r["loglik"] for r in rows[:3]] == [r["loglik"] for r in rows[3:]]
+    x = spark.createDataFrame([(d, f"w{(d * d + i) % 23}", 1.0 + i % 3) for d in range(40) for i in range(9)], "doc_id long, term string, x double").cache()
+    rules = [plsa.PLSA(2, 12, 0.5, "gain"), plsa.PLSA(2, 4, 1e-9, "change"), plsa.PLSA(2, 12, 1e9, "change")]
+    want = [rule.fit(x)[2] for rule in rules]
+    got = plsa.seen_by(x, rules)
+    assert [len(s) for s in got] == [len(s) for s in want] and len(got[1]) == 4 and len(got[2]) == 3
+    assert all(math.isclose(a, b, rel_tol=1e-12) for s, t in zip(got, want) for a, b in zip(s, t))
+
+
+def test_records_of_the_matrix_and_its_terms_are_bounded(spark, monkeypatch):
+    for name, value in (("PIECE", 16), ("ENTRIES", 100), ("USES", 8), ("BROADCAST", 0)):
+        monkeypatch.setattr(plsa, name, value, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        x = spark.createDataFrame([(d, f"w{(d * 5 + i * i) % 31}", 1.0 + d % 3) for d in range(50) for i in range(6)], "doc_id long, term string, x double").distinct()
+        blocks = plsa.Blocks.of(x, 2)
+        sizes = blocks.cells.agg(F.max(F.size("u")), F.sum(F.size("u")), F.count_distinct("row")).first()
+        assert sizes[0] < 16 + 8 and sizes[1] == x.count() and sizes[2] < 12
+        assert blocks.ranges.count() > 5 and [r[0] for r in blocks.ranges.orderBy("chunk").select(F.explode("terms")).collect()] == [r[0] for r in x.select("term").distinct().orderBy("term").collect()]
+        state, _ = blocks.round(blocks.start())
+        lam, theta = blocks.parameters(state)
+        want = plsa.m_step(plsa.e_step(x, *plsa.init(x, 2), 2), 2)
+        for a, b in zip((lam, theta), want):
+            got, known = (sorted(map(tuple, t.collect())) for t in (a, b))
+            assert len(got) == len(known) and all(g[0] == w[0] and math.isclose(g[1], w[1], rel_tol=1e-9) and math.isclose(g[2], w[2], rel_tol=1e-9) for g, w in zip(got, known))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
