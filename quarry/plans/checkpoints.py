@@ -50,12 +50,12 @@ def clear(spark: SparkSession) -> None:
         pass
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, **options: str) -> DataFrame:
     """df, written to the shared folder and read from there: later plans start
     from files that outlive any executor, and know their size."""
     spark = df.sparkSession
     path = f"{session_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

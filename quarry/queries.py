@@ -385,8 +385,8 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as quoted CSV and back."""
     path = f"{session_folder(spark)}/csv-{uuid.uuid4().hex}"
     rows = docs_of(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.col("lang").alias("court"))
-    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return src.read_csv(spark, path).select("document_id", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "court")
+    src.write_csv(rows, path)
+    return src.read_csv(spark, path, empty=True).select("document_id", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "court")
 
 
 register("csv_corpus", _csv, "SELECT doc_id AS document_id, md5(text) AS content_md5, lang AS court FROM documents")
@@ -395,7 +395,7 @@ register("csv_corpus", _csv, "SELECT doc_id AS document_id, md5(text) AS content
 def _csv_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{session_folder(spark)}/sample-{uuid.uuid4().hex}"
     src.write_sample_csv(docs_of(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")), "document_id", path)
-    return src.read_csv(spark, path)
+    return src.read_csv(spark, path, empty=True)
 
 
 register("sample_csv", _csv_sample, "SELECT doc_id AS document_id, text AS content FROM documents ORDER BY doc_id LIMIT 10")

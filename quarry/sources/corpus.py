@@ -18,14 +18,14 @@ from quarry.sources.quoted import numbered_lines, records
 CORPUS = "document_id BIGINT, title STRING, content STRING, date_posted TIMESTAMP, court STRING"
 
 
-def read_csv(spark: SparkSession, path: str, limit: int | None = None, header: bool = True, first: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, limit: int | None = None, header: bool = True, first: int | None = None, empty: bool = False) -> DataFrame:
     """A quoted CSV corpus; fields may hold line ends and doubled quotes, and
     one file is read by many tasks. The first record of each file names the
     columns; header=False: it counts as a row, and columns go by position (the
     names of CORPUS). limit: the rows with the smallest ids; first: the first
     rows in file order. Fields that don't fit their column's type are null;
-    missing ones too."""
-    rows = records(spark, path)
+    missing and empty ones too (empty: quoted empty ones are empty strings)."""
+    rows = records(spark, path, empty)
     kinds = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], CORPUS).schema}
     names = list(kinds)
     if header:
@@ -49,8 +49,14 @@ def sample_rows(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
     return rows.orderBy(key).limit(n)
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """rows as CSV: whatever needs quotes has them, empty strings too; nulls are
+    fields with nothing at all."""
+    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def write_sample_csv(rows: DataFrame, key: str, path: str, n: int = 10) -> None:
-    sample_rows(rows, key, n).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    write_csv(sample_rows(rows, key, n), path)
 
 
 def slice_rows(rows: DataFrame, key: str, first: int, last: int) -> DataFrame:

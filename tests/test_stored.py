@@ -385,3 +385,27 @@ def test_records_of_the_matrix_and_its_terms_are_bounded(spark, monkeypatch):
             assert len(got) == len(known) and all(g[0] == w[0] and math.isclose(g[1], w[1], rel_tol=1e-9) and math.isclose(g[2], w[2], rel_tol=1e-9) for g, w in zip(got, known))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_csv_survives_other_splits_and_empty_strings(spark, tmp_path):
+    """A second reading may cut files elsewhere, as cores come and go."""
+    from quarry.queries import QUERIES
+
+    texts = [None, "", " ", "\n", "\r", "a\r", "a\r\nb", '"', '""', '"\n', '\n"\n"', "\\", 'a\\"b', "\0", "﻿", " ", "a,b", ",", "#c", "\t", "\x0b", "\n\n", "NULL"]
+    rows = [(i, t, lang) for i, t in enumerate(texts) for lang in (None, "", "en", "\r", '"')]
+    rows += [(1000 + i, f'line "{i}"\n\n' * 40, "en") for i in range(600)] + [(None, "x", "en"), (0, "twice", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    for query, columns in (("csv_corpus", ("doc_id", F.md5(F.encode("text", "UTF-8")), "lang")), ("sample_csv", ("doc_id", "text"))):
+        got = QUERIES[query](spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        try:
+            if query == "csv_corpus":
+                assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, docs.select(*columns).collect()), key=repr)
+            else:
+                made = sorted(map(tuple, got.collect()), key=repr)
+                assert len(made) == 10 and set(made) <= set(map(tuple, docs.select(*columns).collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
