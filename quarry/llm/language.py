@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quarry.llm import byte_bpe
 from quarry.llm.bpe_codec import in_slices
@@ -164,10 +165,12 @@ class Scorer(byte_bpe.FragmentTable):
         return langs, scores
 
 
-def _teaching(docs: DataFrame, fold: int, folds: int) -> DataFrame:
-    """doc_id, lang, text of the rows that teach."""
+def _teaching(docs: DataFrame, fold: int | None, folds: int) -> DataFrame:
+    """doc_id, lang, text of the rows that teach; fold None: nothing is held
+    out, and rows without doc_id teach too."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.where(F.col("lang").isNotNull() & (crc_fold("doc_id", folds) != fold))
+    rows = rows.where(F.col("lang").isNotNull())
+    return rows if fold is None else rows.where(crc_fold("doc_id", folds) != fold)
 
 
 def _portions(batches: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[pa.Table]:
@@ -244,7 +247,7 @@ def _part_counts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
             yield out(n, pa.array([flat[i : i + n] for i in first.tolist()], pa.string()), lang.take(pa.array(of[first])), pa.array(count))
 
 
-def learn(docs: DataFrame, fold: int = 2, folds: int = 4, text_bytes: int = TEXT_BYTES, word_bytes: int = WORD_BYTES) -> Model:
+def learn(docs: DataFrame, fold: int | None = 2, folds: int = 4, text_bytes: int = TEXT_BYTES, word_bytes: int = WORD_BYTES) -> Model:
     """The model of all rows outside the held-out fold that have a language."""
     counted = _teaching(docs, fold, folds).where(F.col("text").isNotNull()).select("lang", "text").mapInArrow(lambda b: _word_counts(b, text_bytes), "lang string, word string, k long")
     words = materialize(counted.groupBy("lang", "word").agg(F.sum("k").alias("k")), "words")
@@ -274,7 +277,7 @@ def learn(docs: DataFrame, fold: int = 2, folds: int = 4, text_bytes: int = TEXT
     return Model.of_counts(languages, counts)
 
 
-def sample_rows(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SAMPLE) -> list[tuple[str, str | None]]:
+def sample_rows(docs: DataFrame, fold: int | None = 2, folds: int = 4, sample: int = SAMPLE) -> list[tuple[str, str | None]]:
     """(lang, text) of at most sample rows of each language, outside the
     held-out fold."""
     rows = _teaching(docs, fold, folds)
@@ -306,7 +309,7 @@ def _scorer(packed: bytes) -> Scorer:
     return byte_bpe.table_of((Scorer, zlib.crc32(packed)), lambda: Scorer(pickle.loads(packed)))
 
 
-def _model(docs: DataFrame, fold: int, folds: int, sample: int | None) -> Broadcast:
+def _model(docs: DataFrame, fold: int | None, folds: int, sample: int | None) -> Broadcast:
     """The model, of bounded size, packed."""
     model = learn(docs, fold, folds) if sample is None else Model(sample_rows(docs, fold, folds, sample))
     return docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
@@ -328,9 +331,12 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int | None
     return scored.select("doc_id", F.coalesce(crc_fold("doc_id", folds) == fold, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.0, fold: int = 2, folds: int = 4, sample: int | None = None) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.0, fold: int | None = 2, folds: int = 4, sample: int | None = None) -> DataFrame:
     """The rows of docs, all columns, that have a language: not `und`, and (if
-    it is asked for) a score of at least least. sample: as for identify."""
+    it is asked for) a score of at least least; with the language found and its
+    score as lang_pred and lang_score, which replace columns of these names.
+    fold None: nothing is held out. sample: as for identify."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = _model(docs, fold, folds, sample)
     at = docs.columns.index("text")
 
@@ -338,7 +344,9 @@ def keep_known(docs: DataFrame, least: float = 0.0, fold: int = 2, folds: int =
         scorer = _scorer(shared.value)
         for batch in batches:
             for first, rows in in_slices(batch.column(at)):
-                kept = [lang != "und" and score >= least for lang, score in zip(*scorer.predict(rows))]
-                yield batch.slice(first, len(rows)).filter(pa.array(kept, pa.bool_()))
+                langs, scores = scorer.predict(rows)
+                kept = [lang != "und" and score >= least for lang, score in zip(langs, scores)]
+                found = batch.slice(first, len(rows)).append_column("lang_pred", pa.array(langs, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
+                yield found.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))

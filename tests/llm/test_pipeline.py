@@ -1,5 +1,7 @@
 """The pipeline's stages on a small corpus, each against its own operator."""
 
+from pyspark.sql import functions as F
+
 from quarry.llm import language, quality, setjoin
 
 
@@ -45,3 +47,22 @@ def test_an_empty_table_stays_empty(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_the_language_stage_learns_from_all_rows_and_gives_what_it_finds(spark, tmp_path):
+    import zlib
+
+    import corpus_pipeline
+
+    words = {"en": "the of and to in that is was".split(), "xx": "zun quork vlim jopt draf".split()}
+    rows = []
+    for i in range(400):  # all rows in xx are in the fold that op 7 holds out
+        lang = "xx" if zlib.crc32(str(i).encode()) % 4 == 2 else "en"
+        rows.append((i, " ".join(words[lang][(i + j * j) % len(words[lang])] for j in range(12)), lang if i % 5 else None, "s", 0))
+    rows += [(1000, "12 34", "en", "s", 0), (1001, None, "en", "s", 0), (None, "zun vlim", "xx", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.STAGES[1][1](spark, docs.withColumn("lang_pred", F.lit("?")), str(tmp_path))
+    assert found.columns == [*docs.columns, "lang_pred", "lang_score"]
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert [r[:5] for r in got] == sorted(rows[:400] + rows[402:], key=repr)
+    assert all(r[5] == ("xx" if r[1].split()[0] in words["xx"] else "en") and 0.5 < r[6] <= 1 for r in got)
